@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ def only(df: DataFrame, **named: str) -> DataFrame:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
+    x = np.atleast_1d(x)
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -54,7 +56,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Slices of a batch whose values in a string column have about `limit` bytes together,
     so that a batch of very long texts needs no more memory than one of short ones."""
-    lengths = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for i, n in enumerate(lengths):
         size += int(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -91,35 +92,61 @@ def pack_vectors(tokens: np.ndarray, loss: np.ndarray, room: int, max_segments:
     return bins
 
 
+def _take(piece: tuple, n: int) -> tuple[tuple, tuple | None]:
+    """A piece's first n tokens, and what is left of it."""
+    doc, start, length, bearing, ids, whole, silent = piece
+    if n >= length:
+        return piece, None
+    part = n - max(0, min(silent - start, n))
+    return (doc, start, n, part, ids[:n], whole, silent), (doc, start + n, length - n, bearing - part, ids[n:], whole, silent)
+
+
+def _fit(piece: tuple, tokens: int, loss: int) -> int:
+    """How many of a piece's first tokens fit into so many tokens and loss-bearing tokens."""
+    return min(piece[2], tokens, max(0, piece[6] - piece[1]) + loss)
+
+
 def _lay_out(pieces: list[tuple], room: int, max_segments: int, max_loss: int, next_id: int, final: bool) -> tuple[list[tuple], list[tuple], int]:
-    """Rows for full bins. Bins that are not full go back to the pool, or, at the end, are cut
-    into sequences of power-of-two length, which need no padding."""
+    """Rows for full sequences. A bin's gap is filled with a cut from the last bin. What can't be
+    filled goes back to the pool, or, at the end, is cut to sequences of power-of-two length, which
+    need no padding."""
     tokens = np.array([p[2] for p in pieces], np.int64)
     loss = np.array([p[3] for p in pieces], np.int64)
+    bins = deque([pieces[i] for i in got] for got in pack_vectors(tokens, loss, room, max_segments, max_loss))
     rows, back = [], []
-    for got in pack_vectors(tokens, loss, room, max_segments, max_loss):
-        total = int(tokens[got].sum())
-        if total == room:
-            sizes = [room]
-        elif final:
-            sizes = [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
+
+    def put(got: list[tuple]) -> None:
+        nonlocal next_id
+        offset = 0
+        for doc, start, n, bearing, ids, whole, _ in got:
+            rows.append((doc, start, n, zlib.crc32(ids.astype("<u4").tobytes()), whole, next_id, offset, bearing))
+            offset += n
+        next_id += 1
+
+    while bins:
+        got = bins.popleft()
+        gap, bear = room - sum(p[2] for p in got), max_loss - sum(p[3] for p in got)
+        while gap and bins and len(got) < max_segments and (n := _fit(bins[-1][-1], gap, bear)):
+            part, rest = _take(bins[-1].pop(), n)
+            bins[-1] += [rest] if rest else []
+            if not bins[-1]:
+                bins.pop()
+            got.append(part)
+            gap, bear = gap - part[2], bear - part[3]
+        if not gap:
+            put(got)
+        elif not final:
+            back += got
         else:
-            back += [pieces[i] for i in got]
-            continue
-        queue, at = [pieces[i] for i in got], 0
-        for size in sizes:
-            offset = 0
-            while offset < size:
-                doc, start, n, mask_loss, ids, whole, silent = queue[at]
-                take = min(n, size - offset)
-                quiet = max(0, min(silent - start, take))
-                rows.append((doc, start, take, zlib.crc32(ids[:take].astype("<u4").tobytes()), whole, next_id, offset, take - quiet))
-                offset += take
-                if take == n:
-                    at += 1
-                else:
-                    queue[at] = (doc, start + take, n - take, max(0, mask_loss - (take - quiet)), ids[take:], whole, silent)
-            next_id += 1
+            total = room - gap
+            for size in (1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1):
+                own = []
+                while size:
+                    part, rest = _take(got.pop(0), size)
+                    got[:0] = [rest] if rest else []
+                    own.append(part)
+                    size -= part[2]
+                put(own)
     return rows, back, next_id
 
 
@@ -130,8 +157,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent
     leading ids that bear no loss (a prompt's); the rest bears loss. A sequence is bound by
     tokens, by max_segments pieces and by max_loss loss-bearing tokens (default: length). Full
     stretches of a document fill sequences of their own; the rests are packed by pack_vectors
-    in windows of `window` rests, and what a window can't fill goes on to the next. At the end
-    of a partition the unfilled bins are cut to powers of two, so no sequence has padding.
+    in windows of `window` rests; a gap that is left in a bin is filled with a cut from another,
+    and what a window can't fill goes on to the next. At the end of a partition the unfilled bin is
+    cut to powers of two, so no sequence has padding.
     Where max_loss is less than length, cuts also keep a piece within it.
 
     Every partition of the input packs alone, without a shuffle; sequence_id is the partition
@@ -175,7 +203,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent
                 if len(pool) >= window:
                     more, pool, next_id = _lay_out(pool, length, max_segments, cap, next_id, False)
                     rows += more
-                    if len(pool) > window // 2:
+                    if len(pool) > window // 2:  # bins that another limit closed before they were full
                         more, pool, next_id = _lay_out(pool, length, max_segments, cap, next_id, True)
                         rows += more
                 if rows:
