@@ -15,6 +15,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -39,5 +45,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_minhash_near_dedup, op4_quality, op5_language, op9_packing)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op9_packing, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
