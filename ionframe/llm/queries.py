@@ -39,6 +39,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -51,5 +63,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op9_packing, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op6_pii, op7_secrets, op9_packing, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
