@@ -51,6 +51,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -63,5 +69,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op6_pii, op7_secrets, op9_packing, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op6_pii, op7_secrets, op8_line_dedup, op9_packing, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
