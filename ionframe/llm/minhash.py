@@ -9,6 +9,8 @@ the number of agreements is concentrated as with t independent hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, components, mix64, only, stored
 
-T, ROWS = 160, 4
+T, ROWS, BANDS = 256, 4, 40
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +55,9 @@ def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def bands(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each run of `rows` coordinates, with the run's place mixed in."""
-    n = sk.shape[1] // rows
+def bands(sk: np.ndarray, rows: int = ROWS, most: int = BANDS) -> np.ndarray:
+    """A 64-bit key for each of the first runs of `rows` coordinates, with the run's place mixed in."""
+    n = min(most, sk.shape[1] // rows)
     h = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64) * _K, (len(sk), n)).copy()
     for r in range(rows):
         h = mix64(h ^ sk[:, r : n * rows : rows]) + _K
@@ -72,55 +74,68 @@ def _digests(batches, t, rows, width):
             sigs: list = [None] * len(sets)
             if full:
                 sk = sketch([sets[i] for i in full], t)
-                for i, row, lanes in zip(full, bands(sk, rows), np.ascontiguousarray(sk.astype(np.uint8)).view(np.int64), strict=True):
-                    lists[i], sigs[i] = row, lanes
+                for i, row, low in zip(full, bands(sk, rows), sk.astype(np.uint8), strict=True):
+                    lists[i], sigs[i] = row, low.tobytes()
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
             )
 
 
-def _verify(batches, width, num, den):
-    """Rows come sorted by (pivot, salt, role): the pivot's texts (role 0), then its partners'."""
+def _verify(batches, num, den):
+    """Rows come sorted by (pivot, salt, role): the pivot's sets (role 0), then its partners'."""
     at, pivots = None, []
     for batch in batches:
-        found = []
-        for part in chunks(batch, "text"):
-            for pivot, salt, role, other, text in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                s = shingles(text, width)
+        found: tuple[list, list] = ([], [])
+        for part in chunks(batch, "members"):
+            for pivot, salt, role, other, members in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                s = np.frombuffer(members, np.uint64)
                 if (pivot, salt) != at:
                     at, pivots = (pivot, salt), []
                 if role == 0:
                     pivots.append(s)
                     continue
                 for p in pivots:
-                    if den * min(len(p), len(s)) < num * max(len(p), len(s)):
-                        continue
-                    same = len(np.intersect1d(p, s, assume_unique=True))
-                    if den * same >= num * (len(p) + len(s) - same):
-                        found.append((pivot, other))
+                    both = np.concatenate([p, s])
+                    both.sort(kind="stable")
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if den * same >= num * (len(both) - same):
+                        found[0].append(pivot)
+                        found[1].append(other)
                         break
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([o for _, o in found], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
-def _texts(batches, width):
-    """Candidates' texts, without rows that carry the same id and another set of shingles."""
+def _sets(batches, width):
+    """Candidates' sets, without rows that carry the same id and another set of shingles."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == k if len(s := shingles(x, width)) else False for x, k in zip(part.column("text").to_pylist(), part.column("set_key").to_pylist(), strict=True)]
-            yield part.select(["node", "text"]).filter(pa.array(same))
-
-
-def _differ(t: int):
-    """How many coordinates of sl and sh differ, from their low bytes, eight to a long."""
-    total = F.lit(0)
-    for i in range(t // 8):
-        x = F.col("sl")[i].bitwiseXOR(F.col("sh")[i])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+            rows = []
+            for node, key, text in zip(*(part.column(c).to_pylist() for c in ("node", "set_key", "text")), strict=True):
+                raw = shingles(text, width).tobytes()
+                if xxhash.xxh3_128_digest(raw) == key:
+                    rows.append((node, raw))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())], names=["node", "members"])
+
+
+def _least_agreements(t: int, share: float, miss: float = 1e-6) -> int:
+    """The largest k for which a set pair of that similarity agrees in fewer than k of t coordinates
+    with probability miss at most."""
+    total, k = 0.0, 0
+    while total <= miss:
+        total += math.comb(t, k) * share**k * (1 - share) ** (t - k)
+        k += 1
+    return k - 1
+
+
+def _agree(batches, least):
+    """The pairs whose sketches agree in at least so many coordinates, by their low bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sl", "sh"))
+        yield batch.select(["lo", "hi", "pivot"]).filter(pa.array((a == b).sum(1) >= least))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, t: int = T, rows: int = ROWS, salt_rows: int = 256) -> DataFrame:
@@ -135,9 +150,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component, those first that share the most buckets. Each is verified against the members of
     other components and leaves the bucket. A bucket is done when
     one component is left in it, so each candidate pair is verified or known to be connected, with
-    no cap on bucket size. Before texts are compared, a pair must agree in two thirds of num/den of all
+    no cap on bucket size. Before texts are compared, a pair must agree in enough of all 256
     coordinates: by the sketch's concentration a pair at the bound falls short of that with
-    probability 1e-10. A pivot's partners are dealt out in salted runs; the reader holds one pivot
+    probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt out in salted runs; the reader holds one pivot
     at a time.
 
     Null or empty texts, or texts of white space, have n_shingles 0 and link with nothing. A null id keeps its row
@@ -146,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, whatever their names.
     """
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, rows, width), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig array<long>"), "digests")
+    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, rows, width), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "digests")
     nodes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -156,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(central, "node").select("bucket", "node", "n", "central"), "members")
 
     sigs = nodes.select("node", "sig")
-    texts = None
+    sets = None
     links = roots = seen = None
     pivots_each, first = 1, True
     while True:
@@ -169,31 +184,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         main = parts.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         main = stored(main.select("bucket", (-F.col("m.c")).alias("main")), "unsettled")
         live = members.join(main, "bucket")
-        live = stored(live.select("bucket", "node", "n", "central", "comp", "main"), "live")
+        live = stored(live.join(sigs, "node").select("bucket", "node", "n", "central", "comp", "main", F.col("sig").alias("sl")), "live")
         if live.isEmpty():
             break
         rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
         free = live if first else live.where("comp <> main")
         slot = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        chosen = stored(free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("p")).select("bucket", "p.pivot", "p.pn", "p.pcomp"), "pivots")
+        chosen = stored(free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("p")).select("bucket", "p.pivot", "p.pn", "p.pcomp").join(sigs.select(F.col("node").alias("pivot"), F.col("sig").alias("sh")), "pivot"), "pivots")
         pairs = live.join(chosen, "bucket").where(f"node <> pivot and comp <> pcomp and {den} * least(n, pn) >= {num} * greatest(n, pn)")
-        pairs = pairs.select(F.least("node", "pivot").alias("lo"), F.greatest("node", "pivot").alias("hi"), "pivot").groupBy("lo", "hi").agg(F.min("pivot").alias("pivot"))
+        pairs = pairs.select(F.least("node", "pivot").alias("lo"), F.greatest("node", "pivot").alias("hi"), "pivot", "sl", "sh")
+        pairs = pairs.mapInArrow(lambda b: _agree(b, _least_agreements(t, num / den)), "lo long, hi long, pivot long").groupBy("lo", "hi").agg(F.min("pivot").alias("pivot"))
         if seen is not None:
             pairs = pairs.join(seen, ["lo", "hi"], "left_anti")
-        pairs = pairs.join(sigs.select(F.col("node").alias("lo"), F.col("sig").alias("sl")), "lo").join(sigs.select(F.col("node").alias("hi"), F.col("sig").alias("sh")), "hi")
-        pairs = stored(pairs.where(_differ(t) <= t - t * num // den * 2 // 3).select("lo", "hi", "pivot"), "pairs")
+        pairs = stored(pairs, "pairs")
         seen = pairs.select("lo", "hi") if seen is None else seen.unionAll(pairs.select("lo", "hi"))
         other = F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
         pairs = pairs.select("pivot", other)
-        if texts is None:
+        if sets is None:
             wanted = members.select("node").distinct().join(nodes.select("node", "set_key"), "node")
-            texts = stored(docs.join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _texts(b, width), "node long, text string"), "texts")
+            sets = stored(docs.join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
         counts = stored(pairs.groupBy("pivot").agg(F.count("*").alias("k")), "fans")
         salted = pairs.join(counts, "pivot").select("pivot", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / salt_rows)).cast("int").alias("salt"))
-        partners = salted.join(texts.withColumnRenamed("node", "other"), "other").select("pivot", "salt", F.lit(1).alias("role"), "other", "text")
-        heads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / salt_rows).cast("int") - 1)).alias("salt")).join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("other"), "text")
+        partners = salted.join(sets.withColumnRenamed("node", "other"), "other").select("pivot", "salt", F.lit(1).alias("role"), "other", "members")
+        heads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / salt_rows).cast("int") - 1)).alias("salt")).join(sets.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("other"), "members")
         runs = heads.unionAll(partners).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-        new = stored(runs.mapInArrow(lambda b: _verify(b, width, num, den), "a long, b long"), "links")
+        new = stored(runs.mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links")
         if first or not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             roots = stored(components(links), "components")
