@@ -1 +1 @@
-"""Spark-native mass-spectrometry analytics."""
+"""Column expressions and numeric kernels."""
