@@ -19,7 +19,7 @@ def residues(seq: Column) -> Column:
     """A peptide's residues with their modifications, which may hold one level of brackets. A leading
     modification stays with the first residue's position: it is its own first token."""
     lead = F.regexp_extract(seq, rf"^((?:{MOD})+)", 1)
-    rest = F.regexp_extract_all(seq, F.lit(RESIDUE), F.lit(0))
+    rest = F.regexp_extract_all(F.regexp_replace(seq, rf"^(?:{MOD})+", ""), F.lit(RESIDUE), F.lit(0))
     return F.when(lead != "", F.concat(F.array(lead), rest)).otherwise(rest)
 
 

@@ -1,0 +1,22 @@
+"""Monotone q-values without one task for all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def monotone(df: DataFrame, raw: str, order: list[tuple[str, bool]], out: str) -> DataFrame:
+    """The smallest raw value at or beyond each row in the order's direction (best first).
+
+    As for running sums: range partitions take their own running minimum, and the minima of the partitions
+    beyond (one row per partition) are folded in.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.desc(c) if down else F.asc(c) for c, down in order]
+    dealt = df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = dealt.withColumn("_m", F.min(raw).over(w))
+    rest = local.groupBy("_part").agg(F.min("_m").alias("_p"))
+    beyond = rest.select("_part", F.min("_p").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_b"))
+    return local.join(F.broadcast(beyond), "_part").withColumn(out, F.least("_m", "_b")).drop("_part", "_m", "_b")

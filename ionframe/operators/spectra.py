@@ -14,8 +14,9 @@ def merge_peaks(peaks: DataFrame, mz: str, intensity: str, tol: float, on: list[
     """(key, anchor, intensity, n): each peak goes to the leftmost peak within the relative tolerance
     below it (one hop, not the chain), and intensities of an anchor add up. Zero peaks and
     non-positive m/z are dropped first."""
-    w = Window.partitionBy(*on).orderBy(F.ln(mz)).rangeBetween(-math.log1p(tol), 0)
-    return peaks.where((F.col(mz) > 0) & (F.col(intensity) > 0)).withColumn("anchor", F.min(mz).over(w)).groupBy(*on, "anchor").agg(F.sum(intensity).alias(intensity), F.count("*").alias("n"))
+    keys = ", ".join(f"`{c}`" for c in on)
+    anchor = F.expr(f"min(`{mz}`) over (partition by {keys} order by ln(`{mz}`) range between {math.log1p(tol)!r}D preceding and current row)")
+    return peaks.where((F.col(mz) > 0) & (F.col(intensity) > 0)).withColumn("anchor", anchor).groupBy(*on, "anchor").agg(F.sum(intensity).alias(intensity), F.count("*").alias("n"))
 
 
 def tolerance_bins(centres: DataFrame, mz: str, tol: float, on: list[str]) -> DataFrame:

@@ -1 +1 @@
-"""Spark-native mass-spectrometry analytics."""
+"""Registered queries: operators applied to the driver's tables, with equivalent SQL."""
