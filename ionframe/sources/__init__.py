@@ -1 +1 @@
-"""Spark-native mass-spectrometry analytics."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""Spark-native mass-spectrometry analytics."""
+"""Streams of scans and events."""
