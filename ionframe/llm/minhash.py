@@ -14,12 +14,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunks, components, mix64, only, stored
 
-T, ROWS, BANDS = 256, 4, 40
+T = 160  # coordinates; 40 bands of 4, each packed into one long
+ROWS = 4
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,31 +56,25 @@ def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def bands(sk: np.ndarray, rows: int = ROWS, most: int = BANDS) -> np.ndarray:
-    """A 64-bit key for each of the first runs of `rows` coordinates, with the run's place mixed in."""
-    n = min(most, sk.shape[1] // rows)
-    h = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64) * _K, (len(sk), n)).copy()
-    for r in range(rows):
-        h = mix64(h ^ sk[:, r : n * rows : rows]) + _K
-    return h.view(np.int64)
+def bands(sk: np.ndarray) -> np.ndarray:
+    """Runs of four coordinates as longs of four 16-bit lanes: a band's identity, and its coordinates."""
+    return np.ascontiguousarray(sk.astype(np.uint16)).view(np.int64)
 
 
-def _digests(batches, t, rows, width):
+def _digests(batches, t, width):
     for batch in batches:
         for part in chunks(batch, "text", 4 << 20):
             sets = [shingles(x, width) for x in part.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             lists: list = [None] * len(sets)
-            sigs: list = [None] * len(sets)
             if full:
-                sk = sketch([sets[i] for i in full], t)
-                for i, row, low in zip(full, bands(sk, rows), sk.astype(np.uint8), strict=True):
-                    lists[i], sigs[i] = row, low.tobytes()
+                for i, row in zip(full, bands(sketch([sets[i] for i in full], t)), strict=True):
+                    lists[i] = row
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
 
@@ -129,16 +124,40 @@ def _least_agreements(t: int, share: float, miss: float = 1e-6) -> int:
     return k - 1
 
 
-def _agree(batches, least):
-    """The pairs whose sketches agree in at least so many coordinates, by their low bytes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sl", "sh"))
-        yield batch.select(["lo", "hi", "pivot"]).filter(pa.array((a == b).sum(1) >= least))
+def _agreements(a: str, b: str) -> Column:
+    """How many coordinates two packed sketches share: lanes that are zero after exclusive or."""
+    x = F.zip_with(a, b, lambda u, v: u.bitwiseXOR(v))
+    for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
+        x = F.transform(x, _fold(shift, mask))
+    return ROWS * F.size(a) - F.aggregate(x, F.lit(0), lambda total, v: total + F.bit_count(v.bitwiseAND(F.lit(0x0001000100010001))))
+
+
+def _fold(shift: int, mask: int):
+    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask)))
+
 
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, salt_rows: int) -> DataFrame:
+    """The pairs (pivot, other) that pass on full sets, as (a, b). A pivot's set is read once per salted run of its partners."""
+    fans = stored(pairs.groupBy("pivot").agg(F.count("*").alias("k")), "fans")
+    runs = F.ceil(F.col("k") / salt_rows).cast("int")
+    salted = pairs.join(fans, "pivot").select("pivot", "other", F.pmod(F.xxhash64("other"), runs).cast("int").alias("salt"))
+    partners = salted.join(sets.withColumnRenamed("node", "other"), "other").select("pivot", "salt", F.lit(1).alias("role"), "other", "members")
+    heads = fans.select("pivot", F.explode(F.sequence(F.lit(0), runs - 1)).alias("salt")).join(sets.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("other"), "members")
+    dealt = heads.unionAll(partners).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    return dealt.mapInArrow(lambda b: _verify(b, num, den), "a long, b long")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, t: int = T, rows: int = ROWS, salt_rows: int = 256) -> DataFrame:
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after new links: only the components that the links touch are contracted again."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"r{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = stored(components(ends), "merged")
+    up = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = roots.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return old.unionAll(merged.join(roots.select("node"), "node", "left_anti"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, t: int = T, salt_rows: int = 256) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if den * intersection >= num * union of their shingle sets. Equal sets are
@@ -146,14 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two sets at the bound miss each other in all 40 bands with probability 3e-7.
 
     No bucket is expanded into its pairs. In each round every bucket that holds more than one component
-    so far names pivots: one at first, then four times as many each round from outside the bucket's largest
-    component, those first that share the most buckets. Each is verified against the members of
-    other components and leaves the bucket. A bucket is done when
-    one component is left in it, so each candidate pair is verified or known to be connected, with
-    no cap on bucket size. Before texts are compared, a pair must agree in enough of all 256
-    coordinates: by the sketch's concentration a pair at the bound falls short of that with
-    probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt out in salted runs; the reader holds one pivot
-    at a time.
+    so far names pivots: at first the member that shares most buckets, then sixteen times as many each round from outside the
+    bucket's largest component. Each is verified against members of other components and leaves the
+    bucket; after the first round a pair is looked at only in the first bucket that it shares. A bucket is done when one component is left in it, so
+    each candidate pair is verified or known to be connected, with no cap on bucket size. Before sets are compared, a
+    pair must agree in enough of all coordinates: by the sketch's concentration a pair at the bound falls
+    short of that with probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt
+    out in salted runs; the reader holds one pivot at a time.
 
     Null or empty texts, or texts of white space, have n_shingles 0 and link with nothing. A null id keeps its row
     with component_id null and kept true. Rows that repeat an id count as one document: links of either bind
@@ -161,65 +179,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, whatever their names.
     """
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, rows, width), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "digests")
-    nodes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, width), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "digests")
+    nodes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    keyed = nodes.select("node", F.posexplode("bands").alias("nth", "band")).select("node", F.xxhash64("nth", "band").alias("bucket"))
     shared = stored(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = stored(keyed.join(shared, "bucket"), "members")
-    central = members.groupBy("node").agg(F.sum("size").alias("central"))
-    members = stored(members.join(central, "node").select("bucket", "node", "n", "central"), "members")
-
-    sigs = nodes.select("node", "sig")
-    sets = None
-    links = roots = seen = None
-    pivots_each, first = 1, True
+    central = stored(members.groupBy("node").agg(F.sum("size").alias("central"), F.max("size").alias("widest")), "central")
+    close = lambda a, b: (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (_agreements(a, b) >= _least_agreements(t, num / den))
+
+    # the first round: one pivot a bucket, each pair once
+    first = stored(members.join(central, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"))).alias("p")).select("bucket", "p.pivot"), "pivots")
+    met = members.join(first, "bucket").where("node <> pivot").select(F.col("node").alias("other"), "pivot").distinct()
+    met = met.join(nodes.select(F.col("node").alias("other"), "n", F.col("bands").alias("a")), "other").join(nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bands").alias("b")), "pivot")
+    pairs = stored(met.where(close("a", "b")).select("pivot", "other"), "pairs")
+    wanted = central.where("widest > 2").select("node").unionAll(pairs.select(F.col("pivot").alias("node"))).unionAll(pairs.select("other")).distinct()
+    wanted = stored(wanted.join(nodes.select("node", "set_key"), "node"), "wanted")
+    sets = stored(docs.join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
+    linked = lambda pairs: stored(_linked(pairs, sets, num, den, salt_rows), "links")
+    roots = stored(components(linked(pairs)), "components")
+    members = members.select("bucket", "node").join(first.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+
+    # further rounds, in the buckets that the pivots' components don't fill
+    each = 16
+    held = first
     while True:
-        comp = F.col("node")
-        if roots is not None:
-            members = members.drop("comp").join(roots.withColumnRenamed("component", "comp"), "node", "left")
-            comp = F.coalesce("comp", "node")
-        members = members.withColumn("comp", comp)
+        members = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
         parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        main = stored(main.select("bucket", (-F.col("m.c")).alias("main")), "unsettled")
-        live = members.join(main, "bucket")
-        live = stored(live.join(sigs, "node").select("bucket", "node", "n", "central", "comp", "main", F.col("sig").alias("sl")), "live")
+        open_ = parts.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = stored(open_.select("bucket", (-F.col("m.c")).alias("main")), "open")
+        live = stored(members.join(open_, "bucket").join(nodes.select("node", "n", "bands"), "node").join(central.select("node", "central"), "node"), "live")
         if live.isEmpty():
             break
-        rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        free = live if first else live.where("comp <> main")
-        slot = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        chosen = stored(free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("p")).select("bucket", "p.pivot", "p.pn", "p.pcomp").join(sigs.select(F.col("node").alias("pivot"), F.col("sig").alias("sh")), "pivot"), "pivots")
-        pairs = live.join(chosen, "bucket").where(f"node <> pivot and comp <> pcomp and {den} * least(n, pn) >= {num} * greatest(n, pn)")
-        pairs = pairs.select(F.least("node", "pivot").alias("lo"), F.greatest("node", "pivot").alias("hi"), "pivot", "sl", "sh")
-        pairs = pairs.mapInArrow(lambda b: _agree(b, _least_agreements(t, num / den)), "lo long, hi long, pivot long").groupBy("lo", "hi").agg(F.min("pivot").alias("pivot"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["lo", "hi"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        seen = pairs.select("lo", "hi") if seen is None else seen.unionAll(pairs.select("lo", "hi"))
-        other = F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
-        pairs = pairs.select("pivot", other)
-        if sets is None:
-            wanted = members.select("node").distinct().join(nodes.select("node", "set_key"), "node")
-            sets = stored(docs.join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
-        counts = stored(pairs.groupBy("pivot").agg(F.count("*").alias("k")), "fans")
-        salted = pairs.join(counts, "pivot").select("pivot", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / salt_rows)).cast("int").alias("salt"))
-        partners = salted.join(sets.withColumnRenamed("node", "other"), "other").select("pivot", "salt", F.lit(1).alias("role"), "other", "members")
-        heads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / salt_rows).cast("int") - 1)).alias("salt")).join(sets.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("other"), "members")
-        runs = heads.unionAll(partners).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-        new = stored(runs.mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links")
-        if first or not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            roots = stored(components(links), "components")
-        members = live.select("bucket", "node", "n", "central").join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        pivots_each, first = pivots_each * 4, False
-
-    label = nodes.select("set_key", F.col("node").alias("component_id"))
-    if roots is not None:
-        label = nodes.join(roots, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    label = stored(label, "labels")
-    out = digests.drop("bands", "sig").join(label, "set_key", "left")
+        rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"))
+        slot = F.pmod(F.xxhash64("node", F.lit(each)), F.lit(each))
+        held = live.where("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("p")).select("bucket", F.col("p.pivot").alias("node"))
+        held = stored(held.join(live, ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("bands").alias("pbands")), "pivots")
+        same = F.array_position(F.zip_with("bands", "pbands", lambda x, y: x == y), F.lit(True))
+        here = F.xxhash64((same - 1).cast("int"), F.try_element_at("bands", same.cast("int"))) == F.col("bucket")
+        pairs = live.join(held, "bucket").where("node <> pivot and comp <> pcomp").where((same > 0) & here & close("bands", "pbands"))
+        pairs = stored(pairs.select("pivot", F.col("node").alias("other")), "pairs")
+        new = linked(pairs)
+        if not new.isEmpty():
+            roots = stored(_joined(roots, new), "components")
+        members = live.select("bucket", "node").join(held.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+        each *= 16
+
+    label = stored(nodes.join(roots, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "labels")
+    out = digests.drop("bands").join(label, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -61,10 +61,10 @@ def test_sketch_fills_and_estimates():
     a = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
     b = np.concatenate([a[:2000], np.unique(r.integers(0, 2**63, 1000).astype(np.uint64))])
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    sk = minhash.sketch([a, b, a[:1], a[:3]], 256)
+    sk = minhash.sketch([a, b, a[:1], a[:3]], 160)
     assert (sk != np.iinfo(np.uint64).max).all()
     assert abs((sk[0] == sk[1]).mean() - true) < 0.15
-    assert minhash._least_agreements(256, 0.75) == 158
+    assert 90 <= minhash._least_agreements(160, 0.75) <= 96
 
 
 def test_lines_by_definition(spark):
