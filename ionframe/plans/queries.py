@@ -369,3 +369,101 @@ def rf_cv_score(spark, sf_dir):
 def lda_cv_score(spark, sf_dir):
     e = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "N").cast("int").alias("y"))
     return scoring.cross_validated(e, ["l_quantity", "l_discount", "l_tax"], "y", "l_orderkey", model="lda").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS n FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE abs(a.value - b.value) <= 0.5 + 0.05::DOUBLE * abs(b.value)")
+def within_tolerance(spark, sf_dir):
+    from ..operators.probes import within_tolerance as close
+
+    a = t(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"))
+    b = a.select((F.col("event_id") - 1).alias("event_id"), F.col("x").alias("y"))
+    return a.join(b, "event_id").where(close(F.col("x"), F.col("y"), 0.05, 0.5)).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT s_suppkey, p_partkey, abs(p_retailprice - s_acctbal) d FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal*(1-0.01::DOUBLE) AND s_acctbal*(1+0.01::DOUBLE)
+  WHERE s_acctbal > 0 AND p_size BETWEEN s_nationkey AND s_nationkey + 25)
+  SELECT s.s_suppkey, arg_min(p_partkey, (d, p_partkey)) AS p_partkey FROM supplier s LEFT JOIN h USING (s_suppkey) WHERE s_acctbal > 0 GROUP BY s.s_suppkey""")
+def closest_feature(spark, sf_dir):
+    from ..operators.probes import closest_feature as closest
+
+    s = t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("prec_id"), F.col("s_acctbal").alias("mz"), F.col("s_nationkey").alias("rt"))
+    p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").alias("mz"), (F.col("p_size") - 25).alias("rt_start"), F.col("p_size").alias("rt_end"))
+    return closest(s, p, 0.01, 20.0).select(F.col("prec_id").alias("s_suppkey"), F.col("feature_id").alias("p_partkey"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_suppkey, sum(l_discount) v FROM lineitem WHERE l_returnflag='N' GROUP BY 1,2)
+  SELECT l_orderkey AS scan_num, l_suppkey AS prec_id, -row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS row, round(v,6) AS v FROM f""")
+def unmatched_by_precursor(spark, sf_dir):
+    from ..operators.probes import unmatched_rows
+
+    f = t(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("scan_num"), F.col("l_suppkey").alias("prec_id"), F.col("l_discount").alias("v"))
+    return unmatched_rows(f, "b").select("scan_num", "prec_id", F.col("row").cast("long").alias("row"), F.round("v", 6).alias("v"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_quantity,0.4) a, quantile_cont(l_tax,0.6) b FROM lineitem) SELECT count(*) AS n, round(sum(l_quantity),2) AS total FROM lineitem, q WHERE l_quantity > a AND l_tax < b""")
+def percentile_relaxation(spark, sf_dir):
+    from ..operators.probes import percentile_relaxation as relax
+
+    rows, _ = relax(t(spark, sf_dir, "lineitem"), ["l_quantity"], ["l_tax"], F.lit(True), start=40, stop=40, least=1)
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: abs(v)) p, list_reverse(list_transform(embedding::DOUBLE[], lambda v: abs(v))) o FROM embeddings),
+  d AS (SELECT vec_id, list_sum(list_transform(list_zip(p, o), lambda z: z[1]*z[2])) po, list_sum(list_transform(p, lambda v: v*v)) pp, list_sum(list_transform(o, lambda v: v*v)) oo FROM x)
+  SELECT vec_id, round(sqrt(po)/(sqrt(pp)*sqrt(oo)+1e-10),6) AS contrast, round(1-2*acos(least(1,po/(sqrt(pp)*sqrt(oo))))/3.141592653589793,6) AS angle FROM d""")
+def contrast_angle(spark, sf_dir):
+    v = F.transform(F.col("embedding").cast("array<double>"), F.abs)
+    e = t(spark, sf_dir, "embeddings").select("vec_id", v.alias("p")).withColumn("o", F.reverse("p"))
+    return e.select("vec_id", F.round(features.contrast(F.col("p"), F.col("o")), 6).alias("contrast"), F.round(features.spectral_angle(F.col("p"), F.col("o")), 6).alias("angle"))
+
+
+@query("SELECT p_partkey, len(list_filter(string_split_regex(p_name, '[aeiou]'), lambda x: len(x) BETWEEN 1 AND 6)) AS n, length(regexp_replace(p_name, '[^a-z]', '', 'g')) AS letters FROM part")
+def text_parts(spark, sf_dir):
+    parts = F.filter(F.split("p_name", "[aeiou]"), lambda x: F.char_length(x).between(1, 6))
+    return t(spark, sf_dir, "part").select("p_partkey", F.size(parts).cast("long").alias("n"), F.char_length(F.regexp_replace("p_name", "[^a-z]", "")).cast("long").alias("letters"))
+
+
+@query("""SELECT CAST(floor(epoch_us(ts)/600000000) AS BIGINT) AS slot, event_type, count(*) AS n, round(sum(value),2) AS total FROM events GROUP BY 1, 2""")
+def window_counts(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("slot", F.floor(micros() / 600_000_000))
+    return e.groupBy("slot", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query()
+def search_synthetic(spark, sf_dir):
+    """The whole search on the synthetic run: best match per precursor."""
+    from ..sources.readers import library_fragments
+    from . import search, synth
+
+    lib, scans, _ = synth.run(peptides=16, cycles=12, windows=3)
+    library = spark.createDataFrame(lib, synth.LIBRARY).withColumn("seq", F.col("mod_seq")).withColumn("is_decoy", F.lit(False))
+    both = search.add_decoys(library).withColumn("prec_id", F.xxhash64("mod_seq", "charge", "is_decoy"))
+    ms2 = spark.createDataFrame(scans, synth.SCANS).where("ms_level = 2")
+    psm = search.search(ms2, library_fragments(both), both, search.Config(rt_tol=3.0))
+    best = search.best_matches(psm).join(both.select("prec_id", "mod_seq"), "prec_id")
+    return best.select("mod_seq", "is_decoy", "scan_num", F.round("coeff", 4).alias("coeff"), F.round("hyperscore", 4).alias("hyperscore"), F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def isotope_patterns(spark, sf_dir):
+    from ..functions.isotopes import patterns
+
+    seqs = spark.createDataFrame([("PEPTIDEK",), ("ACDM(UniMod:35)K",), ("C(UniMod:4)GGGR",)], "mod_seq string").withColumn("c", peptide.composition(F.col("mod_seq")))
+    return patterns(seqs, "c").select("mod_seq", F.transform("isotopes", lambda v: F.round(v, 8)).alias("isotopes"))
+
+
+@query()
+def calibration_curves(spark, sf_dir):
+    """Curve of value on event time per type: at most 2,000 rows a type go to one task."""
+    import pandas as pd
+
+    from ..operators.calibrate import lowess
+
+    e = t(spark, sf_dir, "events").select("event_type", micros().alias("x"), "value", "event_id")
+    e = scoring.best_rows(e.withColumn("slot", F.pmod(F.xxhash64("event_id"), F.lit(2000))), ["event_type", "slot"], ["event_id"])
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = lowess(part["x"] / 1e12, part["value"], 0.3)
+        return pd.DataFrame({"event_type": part["event_type"].iloc[0], "knots": [len(x)], "mean_fit": [round(float(y.mean()), 4)]})
+
+    return e.groupBy("event_type").applyInPandas(fit, "event_type string, knots long, mean_fit double")
