@@ -173,7 +173,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = classes.where("halves is not null").select(F.explode(F.array_distinct("halves")).alias("half"), "first.doc_id", "first.line_no")
     shared = stored(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared")
     wanted = keyed.join(shared, "half").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    near = stored(own.join(stored(wanted, "wanted"), "doc_id").mapInArrow(_pick, "doc_id long, line_no int, line string"), "near")
+    near = stored(own.hint("merge").join(stored(wanted, "wanted"), "doc_id").mapInArrow(_pick, "doc_id long, line_no int, line string"), "near")
     variants = near.mapInArrow(_variants, "vkey long, kind byte, doc_id long, line_no int")
     of = lambda k: F.min(F.when(F.col("kind") == k, place))
     least = stored(variants.groupBy("vkey").agg(of(0).alias("same"), of(1).alias("whole"), of(2).alias("less"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
@@ -192,13 +192,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with the lines of removed_lines taken out of the text; n_lines (before) and n_removed follow.
 
-    A text that loses all its lines is empty. Null texts stay null, with 0 lines; empty texts have one
+    Texts are joined by sort-merge at every size, as the decisions' table grows with the corpus. A text
+    that loses all its lines is empty. Null texts stay null, with 0 lines; empty texts have one
     empty line. Other columns stay, except those named n_lines or n_removed. Empty input gives no rows.
     """
     gone = stored(removed_lines(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")).withColumnRenamed("doc_id", "_gone_id"), "gone")
     rest = docs.drop("n_lines", "n_removed")
     names = rest.columns
-    joined = rest.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left").drop("_gone_id")
+    joined = rest.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left").drop("_gone_id")
     renamed = joined.toDF(*["text" if c == text_col else f"c{i}" for i, c in enumerate(names)], "gone")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[:-1]) + ", n_lines long, n_removed long"
     return renamed.mapInArrow(_strip, schema).toDF(*names, "n_lines", "n_removed")
