@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stored(met.where(close("a", "b")).select("pivot", "other"), "pairs")
     wanted = central.where("widest > 2").select("node").unionAll(pairs.select(F.col("pivot").alias("node"))).unionAll(pairs.select("other")).distinct()
     wanted = stored(wanted.join(nodes.select("node", "set_key"), "node"), "wanted")
-    sets = stored(docs.join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
+    sets = stored(docs.hint("merge").join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
     linked = lambda pairs: stored(_linked(pairs, sets, num, den, salt_rows), "links")
     roots = stored(components(linked(pairs)), "components")
     members = members.select("bucket", "node").join(first.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each *= 16
 
     label = stored(nodes.join(roots, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "labels")
-    out = digests.drop("bands").join(label, "set_key", "left")
+    out = digests.drop("bands").hint("merge").join(label, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -237,6 +237,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     from pyspark.sql import Window
 
     kept = stored(near_duplicates(docs, id_col, text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    joined = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, F.col(f"`{id_col}`") == F.col("_kept"))
+    joined = docs.where(F.col(f"`{id_col}`").isNotNull()).hint("merge").join(kept, F.col(f"`{id_col}`") == F.col("_kept"))
     one = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(f"`{text_col}`")))).where("_nth = 1").select(*docs.columns)
     return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
