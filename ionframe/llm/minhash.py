@@ -61,6 +61,12 @@ def bands(sk: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(sk.astype(np.uint16)).view(np.int64)
 
 
+def bits(sk: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, packed into longs; equal coordinates agree, others half the time."""
+    packed = np.packbits((sk & np.uint64(1)).astype(np.uint8), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
+
+
 def _digests(batches, t, width):
     for batch in batches:
         for part in chunks(batch, "text", 4 << 20):
@@ -68,13 +74,15 @@ def _digests(batches, t, width):
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             lists: list = [None] * len(sets)
+            low: list = [None] * len(sets)
             if full:
-                for i, row in zip(full, bands(sketch([sets[i] for i in full], t)), strict=True):
-                    lists[i] = row
+                sk = sketch([sets[i] for i in full], t)
+                for i, row, few in zip(full, bands(sk), bits(sk), strict=True):
+                    lists[i], low[i] = row, few
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands", "bits"],
             )
 
 
@@ -169,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket's largest component. Each is verified against members of other components and leaves the
     bucket; after the first round a pair is looked at only in the first bucket that it shares. A bucket is done when one component is left in it, so
     each candidate pair is verified or known to be connected, with no cap on bucket size. Before sets are compared, a
-    pair must agree in enough of all coordinates: by the sketch's concentration a pair at the bound falls
-    short of that with probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt
+    pair must agree in enough of all coordinates, and before that in enough of their lowest bits: by the sketch's
+    concentration a pair at the bound falls short of either with probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt
     out in salted runs; the reader holds one pivot at a time.
 
     Null or empty texts, or texts of white space, have n_shingles 0 and link with nothing. A null id keeps its row
@@ -179,8 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, whatever their names.
     """
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, width), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "digests")
-    nodes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    digests = stored(docs.mapInArrow(lambda b: _digests(b, t, width), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"), "digests")
+    nodes = digests.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("nth", "band")).select("node", F.xxhash64("nth", "band").alias("bucket"))
     shared = stored(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
@@ -188,9 +196,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = stored(members.groupBy("node").agg(F.sum("size").alias("central"), F.max("size").alias("widest")), "central")
     close = lambda a, b: (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (_agreements(a, b) >= _least_agreements(t, num / den))
 
-    # the first round: one pivot a bucket, each pair once
-    first = stored(members.join(central, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"))).alias("p")).select("bucket", "p.pivot"), "pivots")
-    met = members.join(first, "bucket").where("node <> pivot").select(F.col("node").alias("other"), "pivot").distinct()
+    # the first round: one pivot a bucket, each pair once; sizes and single bits of the sketches go along, whole sketches follow
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range((t + 63) // 64)]
+    members = stored(members.join(central, "node").join(nodes.select("node", "n", *words), "node").drop("widest", "size"), "members")
+    names = ["n", *[f"w{i}" for i in range(len(words))]]
+    rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in names])
+    first = stored(members.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p.pivot", *[f"p.p{c}" for c in names]), "pivots")
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"pw{i}"))) for i in range(len(words))), F.lit(0))
+    likely = (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (apart <= t - _least_agreements(t, (1 + num / den) / 2))
+    met = members.join(first, "bucket").where(F.col("node") != F.col("pivot")).where(likely).select(F.col("node").alias("other"), "pivot").distinct()
     met = met.join(nodes.select(F.col("node").alias("other"), "n", F.col("bands").alias("a")), "other").join(nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bands").alias("b")), "pivot")
     pairs = stored(met.where(close("a", "b")).select("pivot", "other"), "pairs")
     wanted = central.where("widest > 2").select("node").unionAll(pairs.select(F.col("pivot").alias("node"))).unionAll(pairs.select("other")).distinct()
@@ -198,11 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(docs.hint("merge").join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
     linked = lambda pairs: stored(_linked(pairs, sets, num, den, salt_rows), "links")
     roots = stored(components(linked(pairs)), "components")
-    members = members.select("bucket", "node").join(first.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+    members = members.select("bucket", "node").join(first.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
 
     # further rounds, in the buckets that the pivots' components don't fill
     each = 16
-    held = first
     while True:
         members = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
         parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
@@ -226,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each *= 16
 
     label = stored(nodes.join(roots, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "labels")
-    out = digests.drop("bands").hint("merge").join(label, "set_key", "left")
+    out = digests.drop("bands", "bits").hint("merge").join(label, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
