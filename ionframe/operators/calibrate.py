@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import comb
 from statistics import NormalDist
 
 import numpy as np
@@ -10,8 +11,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_POWERS = np.arange(12)
+_CHOOSE = np.array([[comb(p, j) for j in _POWERS] for p in _POWERS], float)
+_LAG = np.maximum(_POWERS[:, None] - _POWERS, 0)
+
+
+def _moved(moments: np.ndarray, by: np.ndarray, scale=1.0) -> np.ndarray:
+    """Sums of (scale * v + by) ** p, p in 0..11 along the last axis, from the sums of v ** p."""
+    by, scale = np.asarray(by, float)[..., None], np.asarray(scale, float)[..., None]
+    return ((_CHOOSE * (by**_POWERS)[..., _LAG]) * (moments * scale**_POWERS)[..., None, :]).sum(-1)
+
+
+def _local_lines(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lo: np.ndarray, k: int) -> np.ndarray:
+    """The weighted line of every window [lo, lo + k) at its own x. The tricube weight is a polynomial on each side of a point, so blocks
+    that lie wholly on one side in all windows of a block of points enter by their moments; the rest is summed row by row."""
+    n = len(x)
+    size = max(32, int(n**0.5))
+    starts = np.arange(0, n, size)
+    ends = np.minimum(starts + size, n)
+    mid, half = (x[starts] + x[ends - 1]) / 2, (x[ends - 1] - x[starts]) / 2
+    own = np.arange(n) // size
+    v = np.clip((x - mid[own]) / np.where(half > 0, half, 1)[own], -1, 1)
+    powers = weight[:, None] * v[:, None] ** _POWERS
+    moments = np.stack([np.add.reduceat(powers, starts), np.add.reduceat(powers * y[:, None], starts)])
+    reach = np.maximum(np.maximum(x - x[lo], x[lo + k - 1] - x), 1e-300)
+    fit = np.empty(n)
+    for b, (first, last) in enumerate(zip(starts, ends, strict=True)):
+        xi, low, h = x[first:last], lo[first:last], 1.0001 * reach[first:last]
+        inside = np.flatnonzero((starts >= low[-1]) & (ends <= low[0] + k))
+        # Moments lose no digits only where the windows of the block are alike and much wider than it.
+        inside = inside[inside != b] if h.max() <= 1.5 * h.min() and half[b] <= h.min() / 8 else inside[:0]
+        sums = np.zeros((5, last - first))  # of weights, w d, w d d, w y, w y d, with d in units of the reach
+        for side, sign in ((inside[inside < b], 1.0), (inside[inside > b], -1.0)):
+            if len(side):
+                top = h.max()
+                at = _moved(moments[:, side], (mid[side] - mid[b]) / top, half[side] / top).sum(1)
+                t = _moved(at[:, None], np.broadcast_to((mid[b] - xi) / top, (2, len(xi)))) * (top / h)[:, None] ** _POWERS
+                cube = lambda m, q: m[:, q] + sign * 3 * m[:, q + 3] + 3 * m[:, q + 6] + sign * m[:, q + 9]  # noqa: B023, E731
+                sums += [cube(t[0], 0), cube(t[0], 1), cube(t[0], 2), cube(t[1], 0), cube(t[1], 1)]
+        whole = np.zeros(n, bool)
+        for c in inside:
+            whole[starts[c] : ends[c]] = True
+        span = np.arange(low[0], low[-1] + k)
+        span = span[~whole[span]]
+        for part in np.array_split(span, max(1, len(span) * len(xi) // 4_000_000)):
+            d = (x[part] - xi[:, None]) / h[:, None]
+            u = np.abs(d)
+            w = np.clip(1 - u * u * u, 0, None)
+            w = np.where((part >= low[:, None]) & (part < low[:, None] + k), w * w * w, 0) * weight[part]
+            wd = w * d
+            sums += [w.sum(1), wd.sum(1), (wd * d).sum(1), w @ y[part], wd @ y[part]]
+        s0, s1, s2, sy, s1y = sums
+        some = s0 > 1e-12
+        s0 = np.where(some, s0, 1)
+        spread = s2 - s1 * s1 / s0
+        steep = spread > 1e-12
+        slope = np.where(steep, (s1y - s1 * sy / s0) / np.where(steep, spread, 1), 0)
+        fit[first:last] = np.where(some, (sy - slope * s1) / s0, y[first:last])
+    return fit
+
+
 def lowess(x, y, frac: float = 0.2, robust: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Locally weighted lines (tricube weights over the nearest share, then bisquare on residuals);
+    """Locally weighted lines (tricube weights over the nearest share, then bisquare on residuals) over all points;
     sorted distinct x and fitted values."""
     order = np.argsort(np.asarray(x, float), kind="stable")
     x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
@@ -19,23 +80,14 @@ def lowess(x, y, frac: float = 0.2, robust: int = 3) -> tuple[np.ndarray, np.nda
     if n < 3:
         return x, y
     k = min(n, max(2, int(np.ceil(frac * n))))
-    fit, weight = np.empty(n), np.ones(n)
+    lows, lo, at = np.empty(n, int), 0, x.tolist()
+    for i in range(n):
+        while lo + k < n and at[i] - at[lo] > at[lo + k] - at[i]:
+            lo += 1
+        lows[i] = lo
+    weight = np.ones(n)
     for _ in range(robust + 1):
-        lo = 0
-        for i in range(n):
-            while lo + k < n and x[i] - x[lo] > x[lo + k] - x[i]:
-                lo += 1
-            part = slice(lo, lo + k)
-            reach = max(x[i] - x[lo], x[lo + k - 1] - x[i], 1e-300)
-            w = np.clip(1 - (np.abs(x[part] - x[i]) / (1.0001 * reach)) ** 3, 0, None) ** 3 * weight[part]
-            sw = w.sum()
-            if sw <= 0:
-                fit[i] = y[i]
-                continue
-            mx, my = (w * x[part]).sum() / sw, (w * y[part]).sum() / sw
-            sxx = (w * (x[part] - mx) ** 2).sum()
-            slope = (w * (x[part] - mx) * (y[part] - my)).sum() / sxx if sxx > 1e-12 * reach**2 else 0.0
-            fit[i] = my + slope * (x[i] - mx)
+        fit = _local_lines(x, y, weight, lows, k)
         r = np.abs(y - fit)
         if r.max() <= 1e-12 * max(1.0, np.abs(y).max()):
             break
