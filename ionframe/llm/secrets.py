@@ -18,12 +18,14 @@ BASE = {
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
-# Parts of a credential: who (access identifiers), what (secrets), where (endpoints).
+# Parts of a credential: who (access identifiers), what (secrets), where (endpoints). Values have no upper length: possessive repeats over one class.
 PARTS = {
-    "who": r"(?i)(?<![a-z0-9_])(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?+\x20?[:=]\x20?[\"']?[a-z0-9@._-]{3,64}+|(?<![A-Z0-9])(?:ASIA|AKIA|AIza)[A-Za-z0-9_-]{8,40}+",
-    "what": r"(?i)(?<![a-z0-9_])(?:pwd|pass|passphrase|auth|bearer|credential|private_?key)[\"']?+\x20?[:=]\x20?[\"']?[^\s\"',;]{4,128}+|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{24,128}+={0,2}(?![A-Za-z0-9+/_=-])",
-    "where": r"(?i)(?<![a-z])(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s?ftp|ssh|ldaps?)://[^\s\"'<>]{3,200}+|(?<![a-z0-9_])(?:host(?:name)?|endpoint|bucket|database|dsn)[\"']?+\x20?[:=]\x20?[\"']?[a-z0-9.:/_-]{3,120}+",
+    "who": r"(?i:(?<![a-z0-9_])(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?+\x20?[:=]\x20?[\"']?[a-z0-9@._-]{3,}+)|(?<![A-Z0-9])(?:ASIA|AKIA|AIza)[A-Za-z0-9_-]{8,}+",
+    "what": r"(?i:(?<![a-z0-9_])(?:pwd|pass|passphrase|auth|bearer|credential|private_?key)[\"']?+\x20?[:=]\x20?[\"']?)[^\s\"',;]{4,}+",
+    "where": r"(?i)(?<![a-z])(?:https?|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s?ftp|ssh|ldaps?)://[^\s\"'<>]{3,}+|(?<![a-z0-9_])(?:host(?:name)?|endpoint|bucket|database|dsn)[\"']?+\x20?[:=]\x20?[\"']?[a-z0-9.:/_-]{3,}+",
 }
+# A secret without a keyword: a whole run of token characters that has a digit and both cases, wherever in it.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -58,8 +60,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     df = df.withColumns({k: base_spans(text, k) for k in KINDS})
     df = df.withColumn("base", F.concat(*[_plain(F.col(k), i, k) for i, k in enumerate(KINDS)]))
     clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = lambda k, n: F.filter(_plain(spans(text, PARTS[k]), n, k), lambda c: ~F.exists(F.col("base"), lambda b: clash(b, c)))
-    df = df.withColumns({"who": free("who", 3), "what": free("what", 4), "where": free("where", 5)})
+    free = lambda p, n, k, ok=lambda s: F.lit(True): F.filter(_plain(F.filter(spans(text, p), ok), n, k), lambda c: ~F.exists(F.col("base"), lambda b: clash(b, c)))
+    df = df.withColumns({"who": free(PARTS["who"], 3, "who"), "named": free(PARTS["what"], 4, "what"), "where": free(PARTS["where"], 5, "where")})
+    mixed = lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Z]") & s["hit"].rlike("[a-z]")
+    tokens = F.filter(free(TOKEN, 4, "what", mixed), lambda c: ~F.exists(F.col("named"), lambda p: (p["start"] <= c["start"]) & (c["end"] <= p["end"])))
+    df = df.withColumn("what", F.concat("named", tokens))
     ids = F.concat(F.col("who"), _plain(F.col("access"), 1, "access"))
     keys = F.concat(F.col("what"), _plain(F.col("assign"), 0, "assign"), _plain(F.col("hex"), 2, "hex"))
     places = F.concat(ids, F.col("where"))

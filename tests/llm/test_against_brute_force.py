@@ -239,6 +239,14 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {0: 2, 1: 0, 2: 0}
 
 
+@pytest.mark.parametrize("n", [64, 65, 129, 500, 5000])
+def test_weak_values_of_any_length(spark, n):
+    token, name = "g" * (n - 2) + "Z9", "u" * n
+    texts = [f"user: bob1 auth={token}", f"user: bob1 {token} x", f"pwd: hunter2! user={name}", f"pwd: hunter2! AIza{name}", f"user: bob1 {token.lower()} x", "asiatic_words_all pwd: hunter2!"]
+    got = {x.doc_id: x.spans for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: f"who:0:10,what:11:{16 + n}", 1: f"who:0:10,what:11:{11 + n}", 2: f"what:0:13,who:14:{19 + n}", 3: f"what:0:13,who:14:{18 + n}", 4: "", 5: ""}
+
+
 def test_page_extraction():
     page = """<body><header>Site</header><div class="sidebar"><p>Other things to read that are quite long really.</p></div><div class="story"><h1>Title &amp; more</h1>
     <p>First <b>bold<p>Second&nbsp;one<br>goes on.<div class=share>Share</div><script>"</p>"</script><!-- no --><form>f</form><section class="comments"><p>I hate this</p></section></div><footer>c</footer>"""
