@@ -26,6 +26,8 @@ PARTS = {
 }
 # A secret without a keyword: a whole run of token characters that has a digit and both cases, wherever in it.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+# Where a block of text ends: at a blank line. A block on one line also ends at a long gap.
+BREAK = r"\n[\x20\t\r]*+\n|(?<!\s)\s{%d,}+"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -45,11 +47,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
     Base spans follow the contract's patterns and checks. Weak parts are access identifiers (who), secrets (what)
     and endpoints (where). A weak secret or identifier is reported, as kind `what` or `who`, only
-    if the complement lies within its scope: a secret needs an identifier or an endpoint that starts less
-    than `reach` code points from it, an identifier needs a secret. Base `access` spans count as
+    if the complement lies within its scope: a secret needs an identifier or an endpoint, an identifier needs a secret, in
+    the same block of text (up to a blank line, or `reach` code points of white space) at any distance, or else
+    with less than `reach` code points between the end of one and the start of the other. Base `access` spans count as
     identifiers, base `assign` and `hex` spans as secrets; weak parts that overlap a base span give
-    way. The interval join runs on buckets of `reach` code points: a part looks only at buckets that hold a
-    complement, then at exact distances. linked counts the reported parts. spans orders by start, then assign,
+    way. A part looks only at texts with a complement in its block or in a bucket of `reach` code points at or
+    beside one of its ends, then at exact distances. linked counts the reported parts. spans orders by start, then assign,
     access, hex, who, what.
 
     A null text is an empty one; texts are read whole. Rows are independent, so repeats, ties and null ids
@@ -68,16 +71,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     ids = F.concat(F.col("who"), _plain(F.col("access"), 1, "access"))
     keys = F.concat(F.col("what"), _plain(F.col("assign"), 0, "assign"), _plain(F.col("hex"), 2, "hex"))
     places = F.concat(ids, F.col("where"))
-    bucket = lambda s: F.expr("bigint(0)") + F.floor(s["start"] / reach)
+    bucket = lambda at: F.expr("bigint(0)") + F.floor(at / reach)
     df = df.withColumns({"keys": keys, "places": places})
-    df = df.withColumns({f"{k}_in": F.array_distinct(F.transform(k, bucket)) for k in ("keys", "places")})
+    both = (F.size("keys") > 0) & (F.size("places") > 0)
+    df = df.withColumn("breaks", F.when(both, F.transform(spans(text, BREAK % reach), lambda s: s["start"])).otherwise(F.expr("cast(array() as array<int>)")))
+    block = lambda s: F.size(F.filter("breaks", lambda at: at < s["start"]))
+    df = df.withColumns({k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), block(s).alias("block"))) for k in ("keys", "places")})
+    df = df.withColumns({f"{k}_in": F.array_distinct(F.flatten(F.transform(k, lambda s: F.array(bucket(s["start"]), bucket(s["end"]))))) for k in ("keys", "places")})
+    df = df.withColumns({f"{k}_blocks": F.array_distinct(F.transform(k, lambda s: s["block"])) for k in ("keys", "places")})
+    gap = lambda a, b: F.greatest(a["start"], b["start"]) - F.least(a["end"], b["end"])
 
     def near(part: Column, others: str) -> Column:
-        own = bucket(part)
-        held = F.array_contains(f"{others}_in", own) | F.array_contains(f"{others}_in", own - 1) | F.array_contains(f"{others}_in", own + 1)
-        return held & F.exists(F.col(others), lambda o: (F.abs(o["start"] - part["start"]) < reach) & ~clash(o, part))
+        ends = F.array(*[bucket(part[at]) + d for at in ("start", "end") for d in (-1, 0, 1)])
+        held = F.arrays_overlap(f"{others}_in", ends) | F.array_contains(f"{others}_blocks", block(part))
+        return held & F.exists(F.col(others), lambda o: ((gap(o, part) < reach) | (o["block"] == block(part))) & ~clash(o, part))
 
-    df = df.withColumn("weak", F.when((F.size("keys") > 0) & (F.size("places") > 0), F.concat(F.filter("who", lambda p: near(p, "keys")), F.filter("what", lambda p: near(p, "places")))).otherwise(F.filter("who", lambda p: F.lit(False))))
+    df = df.withColumn("weak", F.when(both, F.concat(F.filter("who", lambda p: near(p, "keys")), F.filter("what", lambda p: near(p, "places")))).otherwise(F.filter("who", lambda p: F.lit(False))))
     df = df.withColumn("base", F.array_sort("base"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return df.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "weak"))).alias("spans"), F.size("weak").cast("long").alias("linked"))

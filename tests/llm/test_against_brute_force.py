@@ -247,6 +247,14 @@ def test_weak_values_of_any_length(spark, n):
     assert got == {0: f"who:0:10,what:11:{16 + n}", 1: f"who:0:10,what:11:{11 + n}", 2: f"what:0:13,who:14:{19 + n}", 3: f"what:0:13,who:14:{18 + n}", 4: "", 5: ""}
 
 
+def test_weak_parts_by_gap_and_block(spark):
+    far = "\n\n" + "word " * 30  # less than the reach
+    long, lines = "k" * 700, "some_setting: value\n" * 30
+    texts = [f"private_key={long} client_id=abc", f"private_key={long}\n\nclient_id=abc", f"user: bob1{far}pwd: hunter2!", f"user: bob1\n{lines}pwd: hunter2!", f"user: bob1\n{lines}\npwd: hunter2!", f"user: bob1{far}{far}pwd: hunter2!", f"client_id={long}\n\nprivate_key={long}"]
+    got = {x.doc_id: x.linked for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 2}
+
+
 def test_page_extraction():
     page = """<body><header>Site</header><div class="sidebar"><p>Other things to read that are quite long really.</p></div><div class="story"><h1>Title &amp; more</h1>
     <p>First <b>bold<p>Second&nbsp;one<br>goes on.<div class=share>Share</div><script>"</p>"</script><!-- no --><form>f</form><section class="comments"><p>I hate this</p></section></div><footer>c</footer>"""
