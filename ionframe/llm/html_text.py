@@ -28,6 +28,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 JUNK = frozenset(
     "ad ads adv advert adverts advertisement adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommend recommended recommendations sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond reply replies pagination pager copyright legal toolbar skip hidden search".split()
 )
+# Names of what may be long beside a short main text: they give way only if they hold nearly all.
+OTHERS = frozenset("ad ads adv advert adverts advertisement adsbygoogle sponsor sponsored promo promotion newsletter comment comments disqus respond reply replies related recommend recommended recommendations cookie cookies consent gdpr".split())
 CONTENT = frozenset("content article post story entry main body text".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -44,7 +46,9 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.junk, self.part, self.path = [-1], ["#root"], [False], [""], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._text, self._linked, self._at, self._a = [], 0, 0, 0
+        self.named: dict[int, frozenset] = {}
+        self._raw: list[tuple[int, list]] = []
+        self._text, self._at = [], 0
         self.stack, self.open = [0], {}
         pos, n = 0, len(source)
         while pos < n:
@@ -68,19 +72,50 @@ class Page:
                 continue
             self._open(tag, m[3] or "")
         self._flush()
+        if self.named:
+            self._judge()
+        self._build()
+        if not self.blocks and self.named:  # nothing is left: read without the names
+            self.junk = list(self._hard)
+            self._build()
+
+    def _judge(self) -> None:
+        """Junk by name, handed down: not over the <article> or <main> with two fifths of the page's text at least, nor where a name's
+        element holds four fifths of the text (19 of 20 for OTHERS) and no <article> or <main> with text stands beside it."""
+        n = len(self.tag)
+        total = [0] * n
+        for _, pieces in self._raw:
+            for node, text, linked in pieces:
+                total[node] += 0 if linked else len(text.strip())
+        for x in range(n - 1, 0, -1):
+            total[self.parent[x]] += total[x]
+        held, semantic = set(), [x for x in range(1, n) if self.tag[x] in SEMANTIC and not self.junk[x] and total[x]]
+        for tag in SEMANTIC:
+            own = [x for x in semantic if self.tag[x] == tag]
+            if own and total[top := max(own, key=lambda x: (total[x], -x))] >= 0.4 * total[0]:
+                held.update(self.up(top))
+        self._hard = list(self.junk)
+        for x in range(1, n):
+            if not self.junk[x]:
+                found = self.named.get(x)
+                most = found and total[x] > (0.95 if found <= OTHERS else 0.8) * total[0] and all(x in self.up(s) or s in self.up(x) for s in semantic)
+                self.junk[x] = self.junk[self.parent[x]] or bool(found) and x not in held and not most
+
+    def _build(self) -> None:
+        for at, pieces in self._raw:
+            kept = [(text, linked) for node, text, linked in pieces if not self.junk[node]]
+            text = " ".join(entities.unescape("".join(t for t, _ in kept)).split())
+            if text:
+                self.blocks.append((at, text, sum(len(t) for t, linked in kept if linked)))
 
     def _add(self, text: str) -> None:
         if not self.junk[self.stack[-1]]:
-            self._text.append(text)
-            if self.open.get("a"):
-                self._linked += len(text)
+            self._text.append((self.stack[-1], text, bool(self.open.get("a"))))
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(entities.unescape("".join(self._text)).split())
-            if text:
-                self.blocks.append((self._at, text, self._linked))
-            self._text, self._linked = [], 0
+            self._raw.append((self._at, self._text))
+            self._text = []
 
     def _pop(self, depth: int) -> None:
         """Close the elements above a depth of the stack."""
@@ -129,10 +164,14 @@ class Page:
             self._flush()
         parent = self.stack[-1]
         got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
-        names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{got.get('class', '')} {got.get('id', '')}").lower())
+        names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{got.get('class', '')} {got.get('id', '')}").lower()
+        names = re.findall(r"[a-z]+", re.sub(r"(?<![a-z])(?:has|no|not|with|without)[-_]\S*", " ", names))  # has-sidebar is no sidebar
         self.parent.append(parent)
         self.tag.append(tag)
-        self.junk.append(self.junk[parent] or tag not in ("body", "html", "article", "main") and self._is_junk(tag, got, names, attrs))
+        free = tag in ("body", "html", "article", "main")
+        self.junk.append(self.junk[parent] or not free and self._is_junk(tag, got, attrs))
+        if not free and not self.junk[-1] and (found := self._named(tag, names)):
+            self.named[len(self.tag) - 1] = found
         part = ""
         if tag not in INLINE:
             kinds = sorted({re.sub(r"\d+", "#", c) for c in got.get("class", "").lower().split()})
@@ -145,18 +184,21 @@ class Page:
         if tag not in INLINE:
             self._at = node
 
-    def _is_junk(self, tag: str, got: dict, names: list[str], attrs: str) -> bool:
+    def _is_junk(self, tag: str, got: dict, attrs: str) -> bool:
         if tag in NEVER or got.get("role", "").lower() in ROLES or got.get("aria-hidden") == "true":
             return True
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in got.get("style", "").replace(" ", "").lower():
             return True
-        inside = any(self.open.get(t) for t in SEMANTIC)
-        found = JUNK.intersection(names) - ({"header"} if inside else set())
+        return tag == "header" and not any(self.open.get(t) for t in SEMANTIC)
+
+    def _named(self, tag: str, names: list[str]) -> frozenset:
+        """The words of junk in an element's names, to be judged when the page's text is known."""
         if tag == "header":
-            return not inside
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):  # a block with its own words goes by its wrapper's name, or by a plain one of its own
-            return bool(found) and not CONTENT.intersection(names)
-        return bool(found)
+            return frozenset()
+        found = JUNK.intersection(names) - ({"header"} if any(self.open.get(t) for t in SEMANTIC) else set())
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p") and CONTENT.intersection(names):  # a block with its own words goes by its wrapper's name, or by a plain one of its own
+            return frozenset()
+        return found
 
     def up(self, node: int):
         while node > 0:

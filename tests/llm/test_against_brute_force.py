@@ -263,6 +263,18 @@ def test_page_extraction():
     assert html_text.extract(page, "body>div.nowhere")[0] == text
 
 
+@pytest.mark.parametrize("wrapper", ['class="page has-sidebar"', 'id="content-sidebar-wrap"', 'class="no-comments with-header"', 'class="search-page"', 'class="layoutSidebar"', 'class="related"'])
+@pytest.mark.parametrize("inner", ["article", "main", 'div class="story"'])
+def test_names_of_wrappers_lose_no_text(wrapper, inner):
+    story = "The story of this page is long and full of words. " * 4
+    page = f"""<body><div {wrapper}><{inner}><h1>Title</h1><p>{story}</p><p>{story}</p></{inner.split()[0]}><div class="sidebar"><p>Other things.</p></div>
+    <div class="post-comments"><p>I hate this</p></div></div><p>(c) us</p></body>"""
+    text, path = html_text.extract(page)
+    assert text == "\n\n".join(["Title", story.strip(), story.strip()]) and path
+    assert html_text.extract(f'<body><article><p>Short.</p></article><div class="ad"><p>{story}</p></div></body>')[0] == "Short."
+    assert html_text.extract('<body><div class="cookies"><p>All there is.</p></div></body>')[0] == "All there is."
+
+
 def test_hosts_vote(spark):
     odd = "<body><div class='x1'><p>A short text here.</p></div><div class='junkish'><p>" + "This one is longer than the real story on this page. " * 3 + "</p></div></body>"
     usual = "<body><div class='x{}'><p>" + "The story of this page is long and full of words. " * 4 + "</p></div><div class='junkish'><p>Short.</p></div></body>"
