@@ -52,16 +52,16 @@ def asof_join(left: DataFrame, right: DataFrame, at: str, on: list[str], take: l
 
 def nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], out: str = "near", later_on_tie: bool = True, within: Column | None = None) -> DataFrame:
     """Each left row with the nearest right value of `at` in its key (null if none). A tie goes to the later
-    value, or to the earlier. within: largest distance, strict, as a column of the left row; beyond it null."""
-    w = Window.partitionBy(*on).orderBy(at)
-    up, down = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    value, or to the earlier; a null `at` has none. within: largest distance, strict, as a column of the left row; beyond it null."""
+    own, ahead = Window.partitionBy(*on), (Window.unboundedPreceding, Window.currentRow)
+    up, down = own.orderBy(F.asc(at)).rangeBetween(*ahead), own.orderBy(F.desc(at)).rangeBetween(*ahead)  # frames that only grow: one pass each
     kind = right.schema[at].dataType
     a = left.withColumns({"_v": F.lit(None).cast(kind), "_side": F.lit(1)})
     b = right.select(*[F.col(c) if c in [*on, at] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(at).alias("_v"), F.lit(0).alias("_side"))
     both = a.unionByName(b).withColumns({"_lo": F.max("_v").over(up), "_hi": F.min("_v").over(down)}).where("_side = 1")
     dl, dh = F.col(at) - F.col("_lo"), F.col("_hi") - F.col(at)
     low_wins = (dl < dh) if later_on_tie else (dl <= dh)
-    value = F.when(F.col("_hi").isNull() | low_wins, F.col("_lo")).otherwise(F.col("_hi"))
+    value = F.when(F.col(at).isNotNull(), F.when(F.col("_hi").isNull() | low_wins, F.col("_lo")).otherwise(F.col("_hi")))
     if within is not None:
         value = F.when(F.abs(value - F.col(at)) < within, value)
     return both.withColumn(out, value).select(*left.columns, out)

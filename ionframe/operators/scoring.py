@@ -5,32 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import monotone, running
 
-def running(df: DataFrame, value: Column, order: list[tuple[str, bool]], out: str, parts: int | None = None) -> DataFrame:
-    """df with two columns: `out`, the running sum of value in a global order, and `rank`, the row number.
 
-    Global order without one task for all rows: rows are range-partitioned by the order's columns, each
-    partition numbers its own, and the partitions' totals (one row per partition, so small)
-    are added. order: (column, descending) pairs that identify a row.
-    """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.desc(c) if down else F.asc(c) for c, down in order]
-    from_value = df.withColumn("_v", value)
-    dealt = from_value.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = dealt.withColumns({"_s": F.sum("_v").over(w), "_r": F.count(F.lit(1)).over(w)})
-    totals = local.groupBy("_part").agg(F.max("_r").alias("_n"), F.sum("_v").alias("_t"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    base = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"))
-    return local.join(F.broadcast(base), "_part").withColumns({out: F.col("_s") + F.col("_t0"), "rank": F.col("_r") + F.col("_n0")}).drop("_part", "_v", "_s", "_r", "_n0", "_t0")
-
-
-def qvalues(df: DataFrame, decoy: Column, score: str, ids: list[str], out: str = "qvalue") -> DataFrame:
-    """Decoys among the rows at least as good, as a share of those rows; not made monotone."""
+def qvalues(df: DataFrame, decoy: Column, score: str, ids: list[str], out: str = "qvalue", made_monotone: bool = False) -> DataFrame:
+    """Decoys among the rows at least as good, as a share of those rows. By definition not monotone; made_monotone
+    gives each row the least share at or beyond it. ids tell rows of equal score apart."""
     order = [(score, True), *[(i, False) for i in ids]]
-    got = running(df, F.when(decoy, 1).otherwise(0), order, "_decoys")
-    return got.withColumn(out, F.col("_decoys").cast("double") / F.col("rank")).drop("_decoys", "rank")
+    got = running(df, F.when(decoy, 1).otherwise(0), order, "_decoys", keep_part=made_monotone)
+    raw = got.withColumn(out, F.col("_decoys").cast("double") / F.col("rank")).drop("_decoys", "rank")
+    return monotone(raw.withColumnRenamed(out, "_raw"), "_raw", order, out).drop("_raw") if made_monotone else raw
 
 
 def best_rows(df: DataFrame, on: list[str], order: list) -> DataFrame:

@@ -31,8 +31,8 @@ def interpolate(points: DataFrame, knots: DataFrame, on: list[str], x: str, y: s
     a = points.withColumns({"_k": F.lit(None).cast("struct<x:double,y:double>"), "_side": F.lit(1)})
     k = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     b = knots.select(*[F.col(c) if c in [*on, x] else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], k.alias("_k"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*on).orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    v = Window.partitionBy(*on).orderBy(x).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = (Window.unboundedPreceding, Window.currentRow)  # frames that only grow: one pass each
+    w, v = Window.partitionBy(*on).orderBy(F.asc(x)).rangeBetween(*ahead), Window.partitionBy(*on).orderBy(F.desc(x)).rangeBetween(*ahead)
     both = a.unionByName(b).withColumns({"_l": F.max("_k").over(w), "_h": F.min("_k").over(v)}).where("_side = 1")
     lx, hx = F.col("_l.x"), F.col("_h.x")
     value = F.when(lx == hx, F.col("_l.y")).when(lx.isNotNull() & hx.isNotNull(), F.col("_l.y") + (F.col("_h.y") - F.col("_l.y")) * (F.col(x) - lx) / (hx - lx))

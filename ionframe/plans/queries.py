@@ -43,11 +43,8 @@ def fdr_qvalue(spark, sf_dir):
   WINDOW w AS (ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   SELECT event_id, min(CAST(d AS DOUBLE)/n) OVER (ORDER BY value, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qvalue FROM r""")
 def fdr_qvalue_monotone(spark, sf_dir):
-    from ..operators.fdr import monotone
-
     e = t(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    raw = scoring.qvalues(e, F.col("event_type") == "error", "value", ["event_id"], "raw")
-    return monotone(raw, "raw", [("value", True), ("event_id", False)], "qvalue").select("event_id", "qvalue")
+    return scoring.qvalues(e, F.col("event_type") == "error", "value", ["event_id"], made_monotone=True).select("event_id", "qvalue")
 
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) p,
