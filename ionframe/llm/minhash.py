@@ -165,21 +165,54 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return old.unionAll(merged.join(roots.select("node"), "node", "left_anti"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, t: int = T, salt_rows: int = 256) -> DataFrame:
+def _shingle_rows(batches):
+    """(node, comp, shingle) of sets of hashes."""
+    for batch in batches:
+        for part in chunks(batch, "members", 1 << 20):
+            sets = [np.frombuffer(m, np.int64) for m in part.column("members").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            ids = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "comp")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(sets))], names=["node", "comp", "shingle"])
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component, with the bucket's number of live rows and its largest component."""
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    full = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    full = stored(full.select("bucket", "size", (-F.col("m.c")).alias("main"), (F.col("size") - F.col("m.k")).alias("others")), "open")
+    return members.drop("size", "main", "others").join(full, "bucket")
+
+
+def _salted(left: DataFrame, right: DataFrame, per: str, rows: int) -> DataFrame:
+    """left joined to right on bucket. Both carry `per`, a count of the bucket's rows: left's rows are dealt over one salt for each `rows` of
+    them and right's repeated for each salt, so that no bucket is one task's work."""
+    runs = F.ceil(F.col(per) / rows).cast("int")
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64("node"), runs).cast("int"))
+    return dealt.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), runs - 1))).drop(per), ["bucket", "salt"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, t: int = T, salt_rows: int = 256, few: int = 32) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if den * intersection >= num * union of their shingle sets. Equal sets are
     one node from the start, whatever the number of copies. Nodes that share a band are candidates:
-    two sets at the bound miss each other in all 40 bands with probability 3e-7.
+    two sets at the bound miss each other in all 40 bands with probability 3e-7. Before two sets are compared they must agree
+    in enough of all coordinates, and before that in enough of their lowest bits: by the sketch's concentration a pair at
+    the bound falls short of either with probability 1e-6 at most, a pair above it with less.
+
+    No bucket is expanded into its pairs, and every candidate pair is verified or known to be connected:
+
+    1. In a bucket of at most `few` rows each member is verified against the most central one. In a larger bucket sixteen
+       members are pivots, and a node is verified against one of all its buckets' pivots only, that with the nearest sketch.
+       Links contract to components. This repeats with fresh pivots in large buckets that hold several components,
+       as long as it links a twentieth of their rows outside the largest component.
+    2. From what is left of the large buckets nodes go that can't have a link outside their component: those with
+       too few shingles that another component's node holds at all. Documents that share a passage, or that lie just
+       outside a group of near copies, go here, by counts of shingles and exactly.
+    3. In buckets that still hold several components, rows outside the largest one meet the others in a salted join whose condition holds the size
+       and bit tests, so that only likely pairs leave it.
 
-    No bucket is expanded into its pairs. In each round every bucket that holds more than one component
-    so far names pivots: at first the member that shares most buckets, then sixteen times as many each round from outside the
-    bucket's largest component. Each is verified against members of other components and leaves the
-    bucket; after the first round a pair is looked at only in the first bucket that it shares. A bucket is done when one component is left in it, so
-    each candidate pair is verified or known to be connected, with no cap on bucket size. Before sets are compared, a
-    pair must agree in enough of all coordinates, and before that in enough of their lowest bits: by the sketch's
-    concentration a pair at the bound falls short of either with probability 1e-6 at most, a pair above it with less. A pivot's partners are dealt
-    out in salted runs; the reader holds one pivot at a time.
+    A pivot's partners are dealt out in salted runs; the reader holds one pivot at a time.
 
     Null or empty texts, or texts of white space, have n_shingles 0 and link with nothing. A null id keeps its row
     with component_id null and kept true. Rows that repeat an id count as one document: links of either bind
@@ -192,51 +225,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes, "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("nth", "band")).select("node", F.xxhash64("nth", "band").alias("bucket"))
     shared = stored(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = stored(keyed.join(shared, "bucket"), "members")
-    central = stored(members.groupBy("node").agg(F.sum("size").alias("central"), F.max("size").alias("widest")), "central")
-    close = lambda a, b: (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (_agreements(a, b) >= _least_agreements(t, num / den))
-
-    # the first round: one pivot a bucket, each pair once; sizes and single bits of the sketches go along, whole sketches follow
-    words = [F.col("bits")[i].alias(f"w{i}") for i in range((t + 63) // 64)]
-    members = stored(members.join(central, "node").join(nodes.select("node", "n", *words), "node").drop("widest", "size"), "members")
-    names = ["n", *[f"w{i}" for i in range(len(words))]]
-    rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in names])
-    first = stored(members.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p.pivot", *[f"p.p{c}" for c in names]), "pivots")
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"pw{i}"))) for i in range(len(words))), F.lit(0))
-    likely = (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (apart <= t - _least_agreements(t, (1 + num / den) / 2))
-    met = members.join(first, "bucket").where(F.col("node") != F.col("pivot")).where(likely).select(F.col("node").alias("other"), "pivot").distinct()
-    met = met.join(nodes.select(F.col("node").alias("other"), "n", F.col("bands").alias("a")), "other").join(nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bands").alias("b")), "pivot")
-    pairs = stored(met.where(close("a", "b")).select("pivot", "other"), "pairs")
+    held = stored(keyed.join(shared, "bucket"), "members")
+    central = stored(held.groupBy("node").agg(F.sum("size").alias("central"), F.max("size").alias("widest")), "central")
+    words = [f"w{i}" for i in range((t + 63) // 64)]
+    facts = nodes.select("node", "n", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)])
+    members = stored(held.join(central.drop("widest"), "node").join(facts, "node").withColumn("comp", F.col("node")), "members")
+
+    def apart(a, b) -> Column:
+        return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words), F.lit(0))
+
+    def likely(a, b) -> Column:
+        return (den * F.least(a("n"), b("n")) >= num * F.greatest(a("n"), b("n"))) & (apart(a, b) <= t - _least_agreements(t, (1 + num / den) / 2))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs (pivot, other) whose whole sketches agree in enough coordinates."""
+        of = lambda end, c: nodes.select(F.col("node").alias(end), F.col("bands").alias(c))
+        met = pairs.join(of("other", "a"), "other").join(of("pivot", "b"), "pivot")
+        return stored(met.where(_agreements("a", "b") >= _least_agreements(t, num / den)).select("pivot", "other"), "pairs")
+
+    here, there = (lambda c: F.col(c)), (lambda c: F.col(f"p{c}"))
+    fields = ["n", *words]
+
+    def nearest_pivots(live: DataFrame, turn: int, slots: int = 16) -> DataFrame:
+        """(pivot, other): each node of large buckets with the pivot whose sketch is nearest, of another component."""
+        rank = F.struct(*([(-F.col("central")).alias("c")] if turn == 0 else [F.xxhash64("node", "bucket", F.lit(turn)).alias("c")]), F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), *[F.col(c).alias(f"p{c}") for c in fields])
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
+        best = live.groupBy("bucket", "size", slot.alias("slot")).agg(F.min(rank).alias("p"))
+        pivots = stored(best.groupBy("bucket", "size").agg(F.collect_list("p").alias("ps")), "pivots")  # at most `slots` each
+        met = _salted(live, pivots, "size", 4096)
+        fit = F.filter("ps", lambda p: (p["pcomp"] != F.col("comp")) & likely(here, lambda c: p[f"p{c}"]))
+        near = F.array_min(F.transform(fit, lambda p: F.struct(apart(here, lambda c: p[f"p{c}"]).alias("d"), p["pivot"].alias("pivot"))))
+        return met.select(F.col("node").alias("other"), near.alias("near")).where("near is not null").groupBy("other").agg(F.min("near").alias("m")).select("m.pivot", "other")
+
+    # the first round: the pivot of each small bucket, the nearest pivot of all large ones
+    small = members.where(F.col("size") <= few)
+    rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in fields])
+    first = small.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p.pivot", *[f"p.p{c}" for c in fields])
+    met = small.join(first, "bucket").where(F.col("node") != F.col("pivot")).where(likely(here, there)).select("pivot", F.col("node").alias("other"))
+    large = members.where(F.col("size") > few)
+    pairs = close(met.unionByName(nearest_pivots(large, 0)).distinct())
     wanted = central.where("widest > 2").select("node").unionAll(pairs.select(F.col("pivot").alias("node"))).unionAll(pairs.select("other")).distinct()
     wanted = stored(wanted.join(nodes.select("node", "set_key"), "node"), "wanted")
     sets = stored(docs.hint("merge").join(wanted.withColumn("doc_id", F.col("node")), "doc_id").select("node", "set_key", "text").mapInArrow(lambda b: _sets(b, width), "node long, members binary"), "sets")
     linked = lambda pairs: stored(_linked(pairs, sets, num, den, salt_rows), "links")
     roots = stored(components(linked(pairs)), "components")
-    members = members.select("bucket", "node").join(first.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+    of_now = lambda rows: rows.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
-    # further rounds, in the buckets that the pivots' components don't fill
-    each = 16
+    # fresh pivots in large buckets that hold several components
+    turn = 0
     while True:
-        members = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        open_ = parts.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = stored(open_.select("bucket", (-F.col("m.c")).alias("main")), "open")
-        live = stored(members.join(open_, "bucket").join(nodes.select("node", "n", "bands"), "node").join(central.select("node", "central"), "node"), "live")
-        if live.isEmpty():
+        live = stored(_open(of_now(large)), "live")
+        rest = live.where("comp <> main").count()
+        turn += 1
+        if not rest:
             break
-        rank = F.struct((-F.col("central")).alias("c"), F.col("node").alias("pivot"))
-        slot = F.pmod(F.xxhash64("node", F.lit(each)), F.lit(each))
-        held = live.where("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("p")).select("bucket", F.col("p.pivot").alias("node"))
-        held = stored(held.join(live, ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("bands").alias("pbands")), "pivots")
-        same = F.array_position(F.zip_with("bands", "pbands", lambda x, y: x == y), F.lit(True))
-        here = F.xxhash64((same - 1).cast("int"), F.try_element_at("bands", same.cast("int"))) == F.col("bucket")
-        pairs = live.join(held, "bucket").where("node <> pivot and comp <> pcomp").where((same > 0) & here & close("bands", "pbands"))
-        pairs = stored(pairs.select("pivot", F.col("node").alias("other")), "pairs")
-        new = linked(pairs)
+        new = linked(close(nearest_pivots(live, turn)))
+        bound = new.count()
+        if bound:
+            roots = stored(_joined(roots, new), "components")
+        if 20 * bound < rest:
+            live = stored(_open(of_now(live)), "live") if bound else live
+            break
+
+    # nodes of large buckets that share too few shingles with other components to have a link
+    left = small.where("size > 2")
+    if rest:
+        least = live.groupBy("bucket").agg(F.min("n").alias("low"))
+        ends = stored(live.join(least, "bucket").groupBy("node", "comp", "n").agg(F.min("low").alias("low")), "ends")
+        held = stored(sets.join(ends.select("node", "comp"), "node").select("node", "comp", "members").mapInArrow(_shingle_rows, "node long, comp long, shingle long"), "shingles")
+        several = held.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle")
+        common = held.join(several, "shingle").groupBy("node").agg(F.count("*").alias("k"))
+        partner = F.greatest(F.col("low"), F.ceil(F.col("n") * num / den))  # the size that a partner has at least
+        able = stored(ends.join(common, "node").where((num + den) * F.col("k") >= num * (F.col("n") + partner)).select("node"), "able")
+        left = left.unionByName(live.join(able, "node").select(left.columns))
+
+    # the others of each bucket against what isn't of their component
+    live = stored(_open(of_now(left)), "live")
+    if not live.isEmpty():
+        mates = live.select("bucket", "others", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), *[F.col(c).alias(f"p{c}") for c in fields])
+        once = (F.col("pcomp") == F.col("main")) | (F.col("node") < F.col("pivot"))
+        met = _salted(live.where("comp <> main"), mates, "others", 256)
+        new = linked(close(met.where((F.col("comp") != F.col("pcomp")) & once & likely(here, there)).select("pivot", F.col("node").alias("other")).distinct()))
         if not new.isEmpty():
             roots = stored(_joined(roots, new), "components")
-        members = live.select("bucket", "node").join(held.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        each *= 16
 
     label = stored(nodes.join(roots, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "labels")
     out = digests.drop("bands", "bits").hint("merge").join(label, "set_key", "left")

@@ -56,6 +56,36 @@ def test_minhash_components(corpus):
     assert all(got[i].component_id == find(up, i) and got[i].n_shingles == len(sets[i]) and got[i].kept == (find(up, i) == i) for i in up)
 
 
+@pytest.mark.parametrize("few", [4, 32])
+def test_minhash_families_in_large_buckets(spark, few):
+    """Three families of near copies of one text that share most bands but aren't linked as families, copies just inside and
+    outside the bound, and many texts around one long shared passage."""
+    r, rows = random.Random(11), []
+    root = invented(r, 120).split()
+    for f in range(3):
+        head = list(root)
+        for at in range(f * 8, 120, 24):
+            head[at] = f"f{f}x{at}"
+        for _ in range(60):
+            copy = list(head)
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = f"y{r.randrange(99999)}"
+            rows.append(" ".join(copy))
+    passage = invented(r, 70)
+    rows += [f"{invented(r, 25, 9999)} {passage} {invented(r, 25, 9999)}" for _ in range(150)]
+    r.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    up = {i: i for i in range(len(rows))}
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(up, i), find(up, j)))
+                up[b] = a
+    assert 20 < len({find(up, i) for i in up}) < len(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), few=few).collect()
+    assert [(x.doc_id, x.component_id) for x in got if x.component_id != find(up, x.doc_id)] == []
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
