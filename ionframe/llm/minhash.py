@@ -110,6 +110,53 @@ def _verify(batches, num, den):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
+def _verify_blocks(batches, num, den):
+    """Rows come sorted by (bucket, run, part, role): a block of heads (role 0), then the rows that they are compared with.
+    One link for each head and component of the others: intersections of an other with all heads at once, by an index of the heads' shingles."""
+    at, heads, index, known = None, [], None, set()
+    for batch in batches:
+        found: tuple[list, list] = ([], [])
+        for part in chunks(batch, "members"):
+            for *key, role, node, comp, members in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+                s = np.frombuffer(members, np.uint64)
+                if key != at:
+                    at, heads, index, known = key, [], None, set()
+                if role == 0:
+                    heads.append((node, comp, s))
+                    continue
+                if index is None:
+                    sizes = np.array([len(h) for _, _, h in heads])
+                    flat = np.concatenate([h for _, _, h in heads])
+                    order = flat.argsort(kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
+                    index = flat[order][first], first, np.diff(np.append(first, len(flat))), np.repeat(np.arange(len(heads)), sizes)[order], sizes, np.array([c for _, c, _ in heads])
+                keys, start, run, owner, sizes, comps = index
+                place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                place = place[keys[place] == s]
+                n = run[place]
+                spread = np.repeat(start[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                same = np.bincount(owner[spread], minlength=len(heads))
+                for i in np.flatnonzero((den * same >= num * (sizes + len(s) - same)) & (comps != comp)):
+                    if (i, comp) not in known:
+                        known.add((i, comp))
+                        found[0].append(heads[i][0])
+                        found[1].append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+
+def _linked_blocks(live: DataFrame, sets: DataFrame, num: int, den: int, heads: int = 128, rows: int = 4096) -> DataFrame:
+    """Links (a, b) between rows of different components of a bucket: those outside its largest component, in blocks of about `heads`,
+    against all of its rows, in parts of about `rows`. Sets go along; pairs that fail are never written."""
+    runs, parts = F.ceil(F.col("others") / heads).cast("int"), F.ceil(F.col("size") / rows).cast("int")
+    own = live.join(sets.select("node", "members"), "node")
+    number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    head = own.where("comp <> main").select("bucket", number(runs, 1).alias("run"), each(parts).alias("part"), F.lit(0).alias("role"), "node", "comp", "members")
+    other = own.select("bucket", each(runs).alias("run"), number(parts, 2).alias("part"), F.lit(1).alias("role"), "node", "comp", "members")
+    dealt = head.unionAll(other).repartition("bucket", "run", "part").sortWithinPartitions("bucket", "run", "part", "role")
+    return dealt.mapInArrow(lambda b: _verify_blocks(b, num, den), "a long, b long")
+
+
 def _sets(batches, width):
     """Candidates' sets, without rows that carry the same id and another set of shingles."""
     for batch in batches:
@@ -205,11 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. In a bucket of at most `few` rows each member is verified against the most central one. In a larger bucket sixteen
        members are pivots, and a node is verified against one of all its buckets' pivots only, that with the nearest sketch.
        Links contract to components. This repeats with fresh pivots in large buckets that hold several components,
-       as long as it links a twentieth of their rows outside the largest component.
+       as long as it links a twentieth of their nodes outside the largest component.
     2. From what is left of the large buckets nodes go that can't have a link outside their component: those with
-       too few shingles that another component's node holds at all. Documents that share a passage, or that lie just
-       outside a group of near copies, go here, by counts of shingles and exactly.
-    3. In buckets that still hold several components, rows outside the largest one meet the others in a salted join whose condition holds the size
+       too few shingles that another component's node holds at all. Documents that share a passage, or that lie
+       outside a group of near copies, go here, by counts of shingles and exactly. The others that lie outside their bucket's largest
+       component are compared with the bucket in blocks, on full sets and by an index of a block's shingles; a pair that fails is never written.
+    3. In small buckets that still hold several components, rows outside the largest one meet the others in a join whose condition holds the size
        and bit tests, so that only likely pairs leave it.
 
     A pivot's partners are dealt out in salted runs; the reader holds one pivot at a time.
@@ -275,21 +323,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     turn = 0
     while True:
         live = stored(_open(of_now(large)), "live")
-        rest = live.where("comp <> main").count()
-        turn += 1
+        rest = live.where("comp <> main").select("node").distinct().count()
         if not rest:
             break
+        turn += 1
         new = linked(close(nearest_pivots(live, turn)))
         bound = new.count()
         if bound:
             roots = stored(_joined(roots, new), "components")
         if 20 * bound < rest:
-            live = stored(_open(of_now(live)), "live") if bound else live
             break
 
-    # nodes of large buckets that share too few shingles with other components to have a link
-    left = small.where("size > 2")
+    # large buckets: nodes that share too few shingles with other components to have a link go; the rest is compared in blocks
     if rest:
+        live = stored(_open(of_now(live)), "live")
         least = live.groupBy("bucket").agg(F.min("n").alias("low"))
         ends = stored(live.join(least, "bucket").groupBy("node", "comp", "n").agg(F.min("low").alias("low")), "ends")
         held = stored(sets.join(ends.select("node", "comp"), "node").select("node", "comp", "members").mapInArrow(_shingle_rows, "node long, comp long, shingle long"), "shingles")
@@ -297,15 +344,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = held.join(several, "shingle").groupBy("node").agg(F.count("*").alias("k"))
         partner = F.greatest(F.col("low"), F.ceil(F.col("n") * num / den))  # the size that a partner has at least
         able = stored(ends.join(common, "node").where((num + den) * F.col("k") >= num * (F.col("n") + partner)).select("node"), "able")
-        left = left.unionByName(live.join(able, "node").select(left.columns))
+        new = stored(_linked_blocks(stored(_open(live.join(able, "node")), "live"), sets, num, den), "links")
+        if not new.isEmpty():
+            roots = stored(_joined(roots, new), "components")
 
-    # the others of each bucket against what isn't of their component
-    live = stored(_open(of_now(left)), "live")
+    # small buckets: rows outside the largest component against those of others, pairs that pass the sketches' tests
+    live = stored(_open(of_now(small.where("size > 2"))), "live")
     if not live.isEmpty():
-        mates = live.select("bucket", "others", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), *[F.col(c).alias(f"p{c}") for c in fields])
+        mates = live.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), *[F.col(c).alias(f"p{c}") for c in fields])
         once = (F.col("pcomp") == F.col("main")) | (F.col("node") < F.col("pivot"))
-        met = _salted(live.where("comp <> main"), mates, "others", 256)
-        new = linked(close(met.where((F.col("comp") != F.col("pcomp")) & once & likely(here, there)).select("pivot", F.col("node").alias("other")).distinct()))
+        met = live.where("comp <> main").join(mates, "bucket").where((F.col("comp") != F.col("pcomp")) & once & likely(here, there))
+        new = linked(close(met.select("pivot", F.col("node").alias("other")).distinct()))
         if not new.isEmpty():
             roots = stored(_joined(roots, new), "components")
 
