@@ -178,6 +178,54 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == want
 
 
+def test_contamination_by_definition_for_any_blocks(spark):
+    """Every passage of every text against every item, scored over the whole benchmark; one long item, a shared boilerplate, a repeated id."""
+    import math
+
+    r, boiler = random.Random(8), "answer the following question with one of the options below please"
+    items = [(i, f"{boiler} {invented(r, r.randint(6, 30), 500)}. {invented(r, 5, 500)}.") for i in range(40)] + [(90, invented(r, 300, 500)), (3, invented(r, 12, 500)), (91, "word"), (92, ""), (93, None)]
+    docs = []
+    for d in range(160):
+        w = invented(r, r.randint(0, 200), 500).split()
+        cut = items[r.randrange(40)][1].split()
+        part = cut[: int(len(cut) * r.choice([0.6, 0.85, 0.95, 1]))] if d % 3 else []
+        at = r.randrange(len(w) + 1)
+        docs.append((d, " ".join(w[:at] + part + w[at:])))
+    docs.append((160, "x " + items[40][1] + " y"))
+    tokens = [(i, t, decontaminate.words(t)) for i, t in items if t is not None]
+    mean = sum(len(w) for *_, w in tokens) / len(tokens)
+    df = defaultdict(int)
+    for *_, w in tokens:
+        for p in set(zip(w, w[1:])):
+            df[p] += 1
+    want = {}
+    for i, text, w in tokens:
+        tf = defaultdict(int)
+        for p in zip(w, w[1:]):
+            tf[p] += 1
+        weight = {p: math.log(1 + (len(tokens) - df[p] + 0.5) / (df[p] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for p, n in tf.items()}
+        step = 16
+        while step < len(w):
+            step *= 2
+        q, a = decontaminate.question_answer(text)
+        for d, t in docs:
+            own = decontaminate.words(t)
+            for first in range(0, max(1, len(own)), step):
+                view = own[first : first + 2 * step]
+                held = set(zip(view, view[1:]))
+                score = sum(x for p, x in weight.items() if p in held) / (sum(weight.values()) or 1)
+                grams = {tuple(view[j : j + k]) for k in (1, 2, 3) for j in range(len(view) - k + 1)}
+                if score >= 0.5 and all(decontaminate.overlap(x, grams) >= 0.7 for x in (q, a)) and score > want.get((d, i), (0,))[0] + 1e-9:
+                    want[d, i] = (score, first)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 20
+    for size in (1 << 20, 2000, 300):
+        got = {(x.doc_id, x.item_id): (x.score, x.word_offset) for x in decontaminate.contaminated(a, b, block_bytes=size).collect()}
+        assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+        clean = {x.doc_id for x in decontaminate.keep_clean(a, b, block_bytes=size).collect()}
+        assert clean == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_packing_round_trip(spark):
     r = random.Random(4)
     texts = [invented(r, r.choice([0, 1, 30, 300, 900, 3000])) for _ in range(120)]
