@@ -11,7 +11,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spans import SPAN, digits, joined, luhn, spans
+from ._spans import clear_of, digits, islands, joined, luhn, replaced, spans, with_context
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -25,7 +25,7 @@ BASE = {
 }
 # Candidate generators: loose forms of the same kinds, which overlap each other.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,40}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[a-z0-9-]{2,40}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[a-z0-9-]{2,20}+){1,4}+",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[a-z0-9-]{2,}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[a-z0-9-]{2,}+)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?(?:\.|\[\.\]|\(\.\))\x20?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){2}[\x20._/-]{1,3}[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9.+])(?:00[0-9]{1,3}+[\x20.-]?)?+\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}+(?![0-9])",
@@ -38,7 +38,6 @@ CUES = {
 }
 AGAINST = r"version|order|invoice|isbn|page|chapter|total|price|\bno\b|eur|usd|build|section"
 FEATURES = ("kind", "n_digits", "n_chars", "separators", "luhn", "cue", "against", "marked", "year", "decimals", "groups")
-NONE = f"cast(array() as {SPAN})"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -55,9 +54,9 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found, ok)
 
 
-def _features(text: Column, s: Column, kind: str) -> list[Column]:
+def _features(s: Column, kind: str) -> list[Column]:
     hit, number = s["hit"], digits(s["hit"])
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 39), F.least(s["start"], F.lit(40))))
+    before = F.lower(s["lead"])
     n = F.char_length(number)
     flag = lambda c: c.cast("double")
     return [
@@ -75,9 +74,11 @@ def _features(text: Column, s: Column, kind: str) -> list[Column]:
     ]
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """A generator's spans with their features: structs (start, end, hit, f)."""
-    return F.transform(spans(text, LOOSE[kind]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(*_features(text, s, kind)).alias("f")))
+def candidates(text: Column, kind: str, base: Column | None = None) -> Column:
+    """A generator's spans that overlap none of base, with their features: structs (start, end, f)."""
+    found = spans(text, LOOSE[kind])
+    free = found if base is None else clear_of(found, base)
+    return F.transform(with_context(text, free), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(*_features(s, kind)).alias("f")))
 
 
 def sample(n: int = 1200, seed: int = 6) -> list[tuple[str, int, str]]:
@@ -205,13 +206,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
     def scored(k: str) -> Column:
-        free = F.filter(candidates(text, k), lambda c: ~F.exists(F.col("base"), lambda b: clash(b, c)))
-        graded = F.transform(free, lambda c: F.struct(forest_sql(trees, c["f"]).alias("score"), F.lit(KINDS.index(k)).alias("nth"), c["start"].alias("start"), c["end"].alias("end"), F.lit(k).alias("kind")))
+        graded = F.transform(candidates(text, k, F.col("base")), lambda c: F.struct(c["start"].alias("start"), forest_sql(trees, c["f"]).alias("score"), F.lit(KINDS.index(k)).alias("nth"), c["end"].alias("end"), F.lit(k).alias("kind")))
         return F.filter(graded, lambda c: c["score"] >= F.lit(bounds[k])) if bounds[k] < float("inf") else F.filter(graded, lambda c: F.lit(False))
 
     df = df.withColumn("more", F.concat(*map(scored, KINDS)))
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["nth"] < b["nth"]))))
-    added = F.filter("more", lambda c: ~F.exists(F.col("more"), lambda o: clash(o, c) & better(o, c)))
+    best = lambda run: F.filter(run, lambda c: ~F.exists(run, lambda o: clash(o, c) & better(o, c)))
+    added = F.when(F.size("more") > 0, F.flatten(F.transform(islands(F.col("more")), best))).otherwise(F.col("more"))
     added = F.transform(added, lambda c: F.struct(c["nth"].alias("nth"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     df = df.withColumn("all", F.array_sort(F.concat(F.col("base"), added)))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -219,13 +220,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 
 def _redacted(text: Column, found: Column) -> Column:
-    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
-
-    done = F.aggregate(ordered, start, step)
-    rest = lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, 2147483647))
-    return F.when(F.size(found) > 0, rest(done)).otherwise(text)
+    ordered = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    piece = lambda run: F.struct(F.get(run, F.lit(0))["start"].alias("start"), F.array_max(F.transform(run, lambda s: s["end"])).alias("end"), F.concat(F.lit("["), F.upper(F.get(run, F.lit(0))["kind"]), F.lit("]")).alias("put"))
+    return F.when(F.size(found) > 0, replaced(text, F.transform(islands(ordered), piece))).otherwise(text)

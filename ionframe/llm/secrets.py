@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import joined, spans
+from ._spans import FAR, clear_of, joined, let, outside, spans, up_to
 
 KINDS = ("assign", "access", "hex")
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -42,6 +42,31 @@ def _plain(found: Column, nth: int, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(nth).alias("nth"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _in_blocks(parts: Column, breaks: Column) -> Column:
+    """Parts with the number of block ends before them: structs (part, block)."""
+    number = up_to(F.transform(parts, lambda s: s["start"] - 1), F.transform(breaks, lambda at: F.struct(at.alias("at"), F.lit(1).alias("v"))), F.lit(0), lambda x, y: x + y)
+    return F.transform(F.arrays_zip(parts.alias("p"), number.alias("n")), lambda z: F.struct(z["p"].alias("part"), z["n"].alias("block")))
+
+
+def _near(parts: Column, others: Column, reach: int) -> Column:
+    """The parts with one of the others, apart from them, in their block or less than `reach` away. The others on each side that end or
+    start nearest, and whose block is nearest, decide."""
+    value = lambda at, to, block: F.struct(at.alias("at"), F.struct(to.alias("to"), block.alias("block")).alias("v"))
+    most = lambda x, y: F.struct(F.greatest(x["to"], y["to"]).alias("to"), F.greatest(x["block"], y["block"]).alias("block"))
+    first = F.struct(F.lit(-FAR).alias("to"), F.lit(-FAR).alias("block"))
+
+    def tested(both: Column) -> Column:
+        p, o = both["p"], both["o"]
+        left = up_to(F.transform(p, lambda s: s["part"]["start"]), F.transform(o, lambda s: value(s["part"]["end"], s["part"]["end"], s["block"])), first, most)
+        right = up_to(F.transform(p, lambda s: -s["part"]["end"]), F.transform(o, lambda s: value(-s["part"]["start"], -s["part"]["start"], -s["block"])), first, most)
+        seen = F.arrays_zip(p.alias("s"), left.alias("l"), right.alias("r"))
+        long = lambda c: c.cast("long")
+        held = lambda z: (long(z["s"]["part"]["start"]) - z["l"]["to"] < reach) | (z["l"]["block"] == z["s"]["block"]) | (-long(z["r"]["to"]) - z["s"]["part"]["end"] < reach) | (-z["r"]["block"] == z["s"]["block"])
+        return F.transform(F.filter(seen, held), lambda z: z["s"])
+
+    return let(F.struct(parts.alias("p"), others.alias("o")), tested)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, linked of every row of docs.
 
@@ -51,8 +76,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     the same block of text (up to a blank line, or `reach` code points of white space) at any distance, or else
     with less than `reach` code points between the end of one and the start of the other. Base `access` spans count as
     identifiers, base `assign` and `hex` spans as secrets; weak parts that overlap a base span give
-    way. A part looks only at texts with a complement in its block or in a bucket of `reach` code points at or
-    beside one of its ends, then at exact distances. linked counts the reported parts. spans orders by start, then assign,
+    way. Parts and complements are joined as intervals, by a sort of both and the nearest on each side, so a text
+    with very many of them costs no pairs. linked counts the reported parts. spans orders by start, then assign,
     access, hex, who, what.
 
     A null text is an empty one; texts are read whole. Rows are independent, so repeats, ties and null ids
@@ -62,31 +87,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     df = df.withColumns({k: base_spans(text, k) for k in KINDS})
     df = df.withColumn("base", F.concat(*[_plain(F.col(k), i, k) for i, k in enumerate(KINDS)]))
-    clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = lambda p, n, k, ok=lambda s: F.lit(True): F.filter(_plain(F.filter(spans(text, p), ok), n, k), lambda c: ~F.exists(F.col("base"), lambda b: clash(b, c)))
+    free = lambda p, n, k, ok=lambda s: F.lit(True): clear_of(_plain(F.filter(spans(text, p), ok), n, k), F.col("base"))
     df = df.withColumns({"who": free(PARTS["who"], 3, "who"), "named": free(PARTS["what"], 4, "what"), "where": free(PARTS["where"], 5, "where")})
     mixed = lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Z]") & s["hit"].rlike("[a-z]")
-    tokens = F.filter(free(TOKEN, 4, "what", mixed), lambda c: ~F.exists(F.col("named"), lambda p: (p["start"] <= c["start"]) & (c["end"] <= p["end"])))
-    df = df.withColumn("what", F.concat("named", tokens))
+    df = df.withColumn("what", F.concat("named", outside(free(TOKEN, 4, "what", mixed), F.col("named"))))
     ids = F.concat(F.col("who"), _plain(F.col("access"), 1, "access"))
-    keys = F.concat(F.col("what"), _plain(F.col("assign"), 0, "assign"), _plain(F.col("hex"), 2, "hex"))
-    places = F.concat(ids, F.col("where"))
-    bucket = lambda at: F.expr("bigint(0)") + F.floor(at / reach)
-    df = df.withColumns({"keys": keys, "places": places})
+    df = df.withColumns({"keys": F.concat(F.col("what"), _plain(F.col("assign"), 0, "assign"), _plain(F.col("hex"), 2, "hex")), "places": F.concat(ids, F.col("where"))})
     both = (F.size("keys") > 0) & (F.size("places") > 0)
+    none = F.filter("named", lambda p: F.lit(False))
     df = df.withColumn("breaks", F.when(both, F.transform(spans(text, BREAK % reach), lambda s: s["start"])).otherwise(F.expr("cast(array() as array<int>)")))
-    block = lambda s: F.size(F.filter("breaks", lambda at: at < s["start"]))
-    df = df.withColumns({k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), block(s).alias("block"))) for k in ("keys", "places")})
-    df = df.withColumns({f"{k}_in": F.array_distinct(F.flatten(F.transform(k, lambda s: F.array(bucket(s["start"]), bucket(s["end"]))))) for k in ("keys", "places")})
-    df = df.withColumns({f"{k}_blocks": F.array_distinct(F.transform(k, lambda s: s["block"])) for k in ("keys", "places")})
-    gap = lambda a, b: F.greatest(a["start"], b["start"]) - F.least(a["end"], b["end"])
-
-    def near(part: Column, others: str) -> Column:
-        ends = F.array(*[bucket(part[at]) + d for at in ("start", "end") for d in (-1, 0, 1)])
-        held = F.arrays_overlap(f"{others}_in", ends) | F.array_contains(f"{others}_blocks", block(part))
-        return held & F.exists(F.col(others), lambda o: ((gap(o, part) < reach) | (o["block"] == block(part))) & ~clash(o, part))
-
-    df = df.withColumn("weak", F.when(both, F.concat(F.filter("who", lambda p: near(p, "keys")), F.filter("what", lambda p: near(p, "places")))).otherwise(F.filter("who", lambda p: F.lit(False))))
+    df = df.withColumns({k: F.when(both, _in_blocks(F.col(k), F.col("breaks"))) for k in ("who", "what", "keys", "places")})
+    weak = F.concat(_near(F.col("who"), F.col("keys"), reach), _near(F.col("what"), F.col("places"), reach))
+    df = df.withColumn("weak", F.when(both, F.transform(weak, lambda s: s["part"])).otherwise(none))
     df = df.withColumn("base", F.array_sort("base"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return df.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "weak"))).alias("spans"), F.size("weak").cast("long").alias("linked"))

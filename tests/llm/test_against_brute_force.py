@@ -311,6 +311,37 @@ def test_trees_add_spans_and_leave_look_alikes(spark):
     assert got[1].spans.startswith("email:") and got[2].spans == "" and got[3].redacted == texts[3]
 
 
+def test_one_text_with_many_matches(spark):
+    """100,000 matches in one text: the spans repeat, and time doesn't grow with their square."""
+    import time
+
+    one = "mail joe.x@host.com or call (212) 555-1234 user: bob1 pwd: hunter2! "
+    df = spark.createDataFrame([(1, one), (2, one * 25_000)], "doc_id long, text string")
+    for find in (pii.find, secrets.find):
+        began = time.time()
+        rows = {x.doc_id: x for x in find(df).collect()}
+        assert len(rows[2].spans.split(",")) == 25_000 * len(rows[1].spans.split(",")) and time.time() - began < 150
+        if "redacted" in rows[1]:
+            assert rows[2].redacted == rows[1].redacted * 25_000
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=30), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=30))
+def test_sorted_tests_equal_tests_of_all_pairs(spark, a, b):
+    from pyspark.sql import functions as F
+
+    from ionframe.llm import _spans
+
+    a, b = [[(x, x + n) for x, n in own] for own in (a, b)]
+    df = spark.createDataFrame([(a, b)], "a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = df.select(_spans.clear_of(F.col("a"), F.col("b")).alias("clear"), _spans.outside(F.col("a"), F.col("b")).alias("out"), _spans.islands(F.col("a")).alias("runs")).head()
+    assert [tuple(x) for x in got.clear] == [(s, e) for s, e in a if not any(s < y and x < e for x, y in b)]
+    assert [tuple(x) for x in got.out] == [(s, e) for s, e in a if not any(x <= s and e <= y for x, y in b)]
+    flat = [tuple(x) for run in got.runs for x in run]
+    assert flat == sorted(a) and all(max(e for _, e in r) <= q[0][0] for r, q in zip(got.runs, got.runs[1:]))
+    assert all(s < max(e for _, e in r[:i]) for r in got.runs for i, (s, _) in enumerate(r) if i)
+
+
 def test_weak_parts_need_their_complement(spark):
     texts = ["user: bob1 pwd: hunter2! at https://db.example.com/x", "pwd: hunter2! alone", "user: bob1" + " " * 300 + "pwd: hunter2!"]
     got = {x.doc_id: x.linked for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
