@@ -95,4 +95,7 @@ MASS_TAGS: dict[str, tuple[str, float, dict[str, float]]] = {
 }
 
 # Residue substitutions of the substituting decoy rule.
-SUBSTITUTE = dict(zip("GAVLIFMPWSCTYHKRQEND", "LLLVVLLLLTSSSSLLNDQE", strict=True))
+SUBSTITUTE = {
+    "G": "L", "A": "L", "V": "L", "L": "V", "I": "V", "F": "L", "M": "L", "P": "L", "W": "L", "S": "T",
+    "C": "S", "T": "S", "Y": "S", "H": "S", "K": "L", "R": "L", "Q": "N", "E": "D", "N": "Q", "D": "E",
+}

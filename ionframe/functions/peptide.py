@@ -75,15 +75,15 @@ def reverse_decoy_tagged(tokens: Column, tag: str) -> Column:
 
 
 def substitute_decoy(tokens: Column) -> Column:
-    """The second and the last but one residue exchanged for look-alikes; modifications stay."""
+    """Every residue exchanged for its look-alike; modifications and tags stay where they are."""
     swap = lambda t: F.concat(F.translate(F.substring(t, 1, 1), "".join(SUBSTITUTE), "".join(SUBSTITUTE.values())), F.substring(t, F.lit(2), F.char_length(t)))
-    return F.transform(tokens, lambda t, i: F.when((i == 1) | (i == F.size(tokens) - 2), swap(t)).otherwise(t))
+    return F.transform(tokens, lambda t: F.when(t.rlike("^[A-Z]"), swap(t)).otherwise(t))
 
 
 def token_mass(token: Column) -> Column:
-    """A residue token's mass; unknown residues are null, unknown modifications weigh nothing."""
+    """A residue token's mass; null where a residue or one of its modifications is unknown."""
     known = F.map_concat(_map(MODIFICATION_MASS), _map({f"{t}-{c}": base + d for t, (_, base, chans) in MASS_TAGS.items() for c, d in chans.items()}))
-    mods = F.aggregate(modifications(token), F.lit(0.0), lambda a, m: a + F.coalesce(F.try_element_at(known, m), F.lit(0.0)))
+    mods = F.aggregate(modifications(token), F.lit(0.0), lambda a, m: a + F.try_element_at(known, m))
     letter = F.regexp_extract(token, r"^([A-Z])", 1)
     return F.when(letter == "", mods).otherwise(F.try_element_at(_map(RESIDUE_MASS), letter) + mods)
 
@@ -129,6 +129,29 @@ def tag_library(fragments: DataFrame, tag: str) -> DataFrame:
     return df.withColumns({"untag_seq": F.col("mod_seq"), "prec_mz": F.col("prec_mz") + F.col("mass") * total(F.col("_n")) / F.col("charge"), "mz": F.col("mz") + F.col("mass") * held / F.col("_f.charge"), "mod_seq": seq}).drop("_t", "_n", "_f", "mass", "tag")
 
 
+def sibling_channels(precursors: DataFrame, tag: str) -> DataFrame:
+    """Each tagged precursor (mod_seq, charge, prec_mz, others kept) once for every channel of its tag: `channel` is its own, `sibling`
+    the other (or the same), and mod_seq and prec_mz are the sibling's. Sequences without the tag have no rows."""
+    mark = rf"\({tag}-([^)]*)\)"
+    own = channels(precursors.sparkSession, tag).select(F.col("channel"), F.col("mass").alias("_own"))
+    other = channels(precursors.sparkSession, tag).select(F.col("channel").alias("sibling"), F.col("mass").alias("_other"))
+    df = precursors.withColumn("channel", F.nullif(F.regexp_extract("mod_seq", mark, 1), F.lit(""))).join(F.broadcast(own), "channel")
+    df = df.join(F.broadcast(other), how="cross")  # a handful of channels
+    held = F.size(F.regexp_extract_all("mod_seq", F.lit(mark), F.lit(0)))
+    moved = F.regexp_replace("mod_seq", F.lit(mark), F.concat(F.lit(f"({tag}-"), F.col("sibling"), F.lit(")")))
+    return df.withColumns({"prec_mz": F.col("prec_mz") + (F.col("_other") - F.col("_own")) * held / F.col("charge"), "mod_seq": moved}).drop("_own", "_other")
+
+
+def without_low_ions(frags: Column, b: int = 2, y: int = 3) -> Column:
+    """Fragments (structs with a name) without b1..b<b> and y1..y<y>, which most peptides share."""
+
+    def high(f: Column) -> Column:
+        part = split_fragment(f["name"])
+        return ~(((part["ion"] == "b") & (part["idx"] <= b)) | ((part["ion"] == "y") & (part["idx"] <= y)))
+
+    return F.filter(frags, high)
+
+
 def digest(protein: Column, missed: int = 2, shortest: int = 5, longest: int = 50) -> Column:
     """Tryptic peptides: cuts after K or R but not before P, up to `missed` cuts left out."""
     parts = F.filter(F.split(protein, r"(?<=[KR])(?!P)"), lambda p: p != "")
@@ -138,7 +161,8 @@ def digest(protein: Column, missed: int = 2, shortest: int = 5, longest: int = 5
 
 
 def composition(seq: Column) -> Column:
-    """(C, H, N, O, S) of a peptide with its water; modifications of the fixed table count."""
+    """(C, H, N, O, S) of a peptide with its water, modifications of the fixed table included; null where a residue or
+    modification has no known composition. Mass tags are left out: see untagged."""
     from .constants import MOD_ATOMS
 
     atoms = {k: F.create_map(*[F.lit(x) for r, v in (RESIDUE_ATOMS | MOD_ATOMS).items() for x in (r, v[i])]) for i, k in enumerate("CHNOS")}
@@ -147,9 +171,9 @@ def composition(seq: Column) -> Column:
     water = {"H": 2, "O": 1}
 
     def total(k: str) -> Column:
-        return F.aggregate(parts, F.lit(water.get(k, 0)), lambda a, p: a + F.coalesce(F.try_element_at(atoms[k], p), F.lit(0)))
+        return F.aggregate(parts, F.lit(water.get(k, 0)), lambda a, p: a + F.try_element_at(atoms[k], p))
 
-    return F.struct(*[total(k).alias(k) for k in atoms])
+    return F.when(total("C").isNotNull(), F.struct(*[total(k).alias(k) for k in atoms]))
 
 
 def join_numbers(values: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from math import comb
 from statistics import NormalDist
 
@@ -166,6 +167,25 @@ def better_by_cdf(first, second) -> int:
     return int(area[1] > area[0])
 
 
+def step_spline(x, y, steps: int = 2, knots: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and values of a continuous piecewise line fitted by least squares again and again: each step leaves out the points whose
+    residual is beyond two robust deviations of the last fit. Knots lie at even ranks of x. Below four points the points themselves."""
+    order = np.argsort(np.asarray(x, float), kind="stable")
+    x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
+    if len(np.unique(x)) < 4:
+        xs, first = np.unique(x, return_index=True)
+        return xs, np.array([y[x == v].mean() for v in xs])
+    at = np.unique(np.quantile(x, np.linspace(0, 1, max(2, min(knots, len(np.unique(x)) // 2)))))
+    hats = np.stack([np.interp(x, at, row) for row in np.eye(len(at))], 1)
+    keep = np.ones(len(x), bool)
+    for step in range(steps):
+        values = np.linalg.lstsq(np.vstack([hats[keep], 1e-9 * np.eye(len(at))]), np.append(y[keep], np.zeros(len(at))), rcond=None)[0]
+        rest = np.abs(y - hats @ values)
+        if step + 1 < steps:
+            keep = rest <= max(2 * 1.4826 * np.median(rest[keep]), 1e-12)
+    return at, values
+
+
 @dataclass(frozen=True)
 class Calibration:
     """Curves as knot tables, and tolerances; plain values, so they can be stored as JSON."""
@@ -176,6 +196,14 @@ class Calibration:
     rt_tol: float
     mz_tol: float
 
+    def as_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def of_json(cls, text: str) -> Calibration:
+        got = json.loads(text)
+        return cls(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in got.items()})
+
     def predicted_rt(self, irt: Column) -> Column:
         return interpolation(irt, *map(np.array, self.rt))
 

@@ -67,6 +67,28 @@ def nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], out: str
     return both.withColumn(out, value).select(*left.columns, out)
 
 
+def nearest_match(centres: DataFrame, key: list[str], centre: str, points: DataFrame, at: str, rel: float, on: list[str], take: list[str]) -> DataFrame:
+    """(key, at, take, rel_error): for each centre the nearest point of its `on` within the relative tolerance; of equally near
+    ones the larger. rel_error is signed, (point - centre) / centre. Centres without a point have no row. `at` and `centre` differ in name."""
+    hit = tolerance_join(points, at, centres.select(*dict.fromkeys([*key, *on]), centre), centre, rel * (1 + 1e-9), on).where(F.abs(F.col(at) - F.col(centre)) <= rel * F.col(centre))
+    best = F.min_by(F.struct(F.col(at), *take, ((F.col(at) - F.col(centre)) / F.col(centre)).alias("rel_error")), F.struct(F.abs(F.col(at) - F.col(centre)).alias("d"), (-F.col(at)).alias("x")))
+    return hit.groupBy(*key).agg(best.alias("_m")).select(*key, "_m.*")
+
+
+def signed_nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], rel: float, out: str = "diff") -> DataFrame:
+    """Each left row with the signed difference, right less left, to the nearest right value of its key within the relative tolerance; null if none."""
+    got = nearest(left, right, at, on, "_near", within=None)
+    diff = F.col("_near") - F.col(at)
+    return got.withColumn(out, F.when(F.abs(diff) <= rel * F.abs(F.col(at)), diff)).drop("_near")
+
+
+def feature_spectrum(features: DataFrame, scans: DataFrame, width: float = 1.0) -> DataFrame:
+    """(feature_id, scan_num): the fragment scan whose window holds a feature's m/z and whose time is nearest its apex (the
+    earlier scan number of equally near ones). A feature that no window holds has no row."""
+    hit = range_join(features.select("feature_id", "mz", "rt_apex"), "mz", scans.select("scan_num", "rt", "win_lo", "win_hi"), "win_lo", "win_hi", width, open_lo=False)
+    return hit.groupBy("feature_id").agg(F.min_by("scan_num", F.struct(F.abs(F.col("rt") - F.col("rt_apex")).alias("d"), "scan_num")).alias("scan_num"))
+
+
 def merge_intervals(df: DataFrame, lo: str, hi: str, on: list[str]) -> DataFrame:
     """Unions of overlapping intervals per key: (key, lo, hi, n)."""
     w = Window.partitionBy(*on).orderBy(lo, hi)

@@ -32,7 +32,8 @@ def closest_feature(precursors: DataFrame, features: DataFrame, rel: float, widt
     null if none. precursors: prec_id, mz, rt; features: feature_id, mz, rt_start, rt_end."""
     p = precursors.select("prec_id", F.col("mz").alias("_mz"), F.col("rt").alias("_rt"), (F.col("mz") * (1 - rel)).alias("_lo"), (F.col("mz") * (1 + rel)).alias("_hi"))
     hit = range_join(features, "mz", p, "_lo", "_hi", width, open_lo=False).where("_rt between rt_start and rt_end")
-    best = hit.groupBy("prec_id").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("_mz")).alias("d"), "feature_id")).alias("m")).select("prec_id", "m.feature_id")
+    # by the absolute difference, the smaller feature_id of equals; the signed one goes along
+    best = hit.groupBy("prec_id").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("_mz")).alias("d"), "feature_id", (F.col("mz") - F.col("_mz")).alias("mz_diff"))).alias("m")).select("prec_id", "m.feature_id", "m.mz_diff")
     return precursors.join(best, "prec_id", "left")
 
 
@@ -61,7 +62,7 @@ def unmatched_rows(fragments: DataFrame, kind: str = "c") -> DataFrame:
     a: all of a scan share one; b: one per precursor with the sum; c: one per fragment above 1e-10. Rows are negative, apart from matched ones."""
     if kind == "a":
         return fragments.groupBy("scan_num", "prec_id").agg(F.sum("v").alias("v")).select("scan_num", F.lit(-1).alias("row"), "prec_id", "v", F.lit(0.0).alias("o"))
-    w = Window.partitionBy("scan_num").orderBy("prec_id", *(["name"] if kind == "c" else []))
+    w = Window.partitionBy("scan_num").orderBy("prec_id", *(["name", "v"] if kind == "c" else []))
     own = fragments.where("v > 1e-10") if kind == "c" else fragments.groupBy("scan_num", "prec_id").agg(F.sum("v").alias("v"))
     if kind not in "bc":
         raise ValueError("kind must be a, b or c")
@@ -74,9 +75,9 @@ def time_channels(library: DataFrame, n: int) -> DataFrame:
 
 
 def channel_count(hits: DataFrame, key: list[str]) -> int:
-    """How many time channels a run has: the most common number of hits per precursor (the smaller of equals)."""
+    """How many time channels a run has: the most common number of hits per precursor (the smaller of equals); 0 without hits."""
     n = hits.groupBy(*key).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("c"))
-    return n.orderBy(F.desc("c"), "k").limit(1).head()["k"]
+    return n.agg(F.coalesce(F.max_by("k", F.struct("c", (-F.col("k")).alias("x"))), F.lit(0))).head()[0]
 
 
 def consistent_offsets(hits: DataFrame, key: list[str], rt: str, tol: float = 1.0) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import nearest
+from .joins import nearest, nearest_match
 from .solve import nnls
+from .traces import pearson
 
 
 def nearest_survey(scans: DataFrame) -> DataFrame:
@@ -17,6 +18,34 @@ def nearest_survey(scans: DataFrame) -> DataFrame:
     return nearest(scans.where("ms_level = 2"), ms1, "rt", ["run"], "ms1_rt", later_on_tie=False)
 
 
+def survey_errors(cands: DataFrame, scans: DataFrame, rel: float) -> DataFrame:
+    """(scan_num, prec_id, mz_error): for each candidate the signed relative error of the survey peak nearest its m/z, within the tolerance, in the
+    survey scan nearest its fragment scan. Candidates without such a peak have no row. cands: scan_num, prec_id, prec_mz; scans: run, scan_num, ms_level, rt, mz[], intensity[]."""
+    near = nearest_survey(scans.select("run", "scan_num", "ms_level", "rt")).select("run", "scan_num", F.col("ms1_rt"))
+    ms1 = scans.where("ms_level = 1").select("run", F.col("rt").alias("ms1_rt"), F.explode("mz").alias("peak"))
+    at = cands.join(near, "scan_num").select("scan_num", "prec_id", "prec_mz", "run", "ms1_rt")
+    once = at.select("run", "ms1_rt", "prec_id", "prec_mz").distinct()  # several fragment scans share a survey scan
+    hit = nearest_match(once, ["run", "ms1_rt", "prec_id"], "prec_mz", ms1, "peak", rel, ["run", "ms1_rt"], [])
+    return at.join(hit, ["run", "ms1_rt", "prec_id"]).select("scan_num", "prec_id", F.col("rel_error").alias("mz_error"))
+
+
+def survey_areas(best: DataFrame, scans: DataFrame, rel: float, half: int = 10, n: int = 6) -> DataFrame:
+    """(run, prec_id, ms1_area, ms1_int, iso_cor): from the survey scans within `half` of each precursor's best fragment scan, the trapezoid area of its
+    monoisotopic trace, the largest value of it, and the mean correlation of its other isotopes' traces with it.
+    best: run, prec_id, scan_num, prec_mz, charge; scans: run, scan_num, ms_level, rt, mz[], intensity[]."""
+    from .traces import trapezoid
+
+    ms1 = scans.where("ms_level = 1").withColumn("peaks", F.arrays_zip("mz", "intensity")).drop("mz", "intensity")
+    near = nearest_survey(scans.select("run", "scan_num", "ms_level", "rt")).select("run", "scan_num", F.col("ms1_rt").alias("rt"))
+    apex = best.join(near, ["run", "scan_num"]).join(ms1.select("run", "rt", F.col("scan_num").alias("ms1_scan")), ["run", "rt"])
+    hood = survey_neighbourhood(apex.select("run", "prec_id", "ms1_scan", F.col("prec_mz").alias("mz"), F.col("charge").alias("z")), ms1, half)
+    traces = isotope_traces(hood, rel, n)
+    mono = traces.where("iso = 0").drop("iso")
+    area = trapezoid(mono, ["run", "prec_id"], "ms1_rt", "intensity", "ms1_area").join(mono.groupBy("run", "prec_id").agg(F.max("intensity").alias("ms1_int")), ["run", "prec_id"])
+    cor = trace_correlations(traces.where("iso > 0"), mono, ["run", "prec_id"], "scan_num", "intensity").groupBy("run", "prec_id").agg(F.avg("r").alias("iso_cor"))
+    return area.join(cor, ["run", "prec_id"], "left")
+
+
 def nearest_peak(mz: Column, peaks: Column, tol: Column, inclusive: bool = True) -> Column:
     """The peak (struct with mz, intensity) nearest to mz in an array sorted by m/z, within tol; a tie goes right; null if none."""
     near = F.filter(peaks, lambda p: (F.abs(p["mz"] - mz) <= tol) if inclusive else (F.abs(p["mz"] - mz) < tol))
@@ -84,8 +113,8 @@ def picked(traces: DataFrame, on: list[str], x: str, y: str, apex: str) -> DataF
 
 def trace_correlations(traces: DataFrame, reference: DataFrame, on: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """(key, iso, r, n): Pearson's r of each isotope's trace with a reference trace; null below `least` points."""
-    both = traces.join(reference.select(*on, x, F.col(y).alias("_ref")), [*on, x]).where(f"{y} is not null and _ref is not null and not isnan({y}) and not isnan(_ref)")
-    got = both.groupBy(*on, "iso").agg(F.corr(y, "_ref").alias("r"), F.count("*").alias("n"))
+    both = traces.join(reference.select(*on, x, F.col(y).cast("double").alias("_ref")), [*on, x]).where(f"{y} is not null and _ref is not null and not isnan({y}) and not isnan(_ref)")
+    got = both.groupBy(*on, "iso").agg(pearson(y, "_ref").alias("r"), F.count("*").alias("n"))
     return got.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .ranks import monotone, running
 
 
@@ -36,6 +37,41 @@ def protein_qvalues(df: DataFrame, protein: str, decoy: str, score: str, out: st
     return qvalues(best, F.col(decoy) == 1, "_best", [protein, decoy], out).where(F.col(decoy) == 0).select(protein, out)
 
 
+def best_channel_qvalues(df: DataFrame, on: list[str], qvalue: str = "qvalue", out: str = "best_channel_qvalue") -> DataFrame:
+    """df with the least q-value among the channels of each key."""
+    return df.withColumn(out, F.min(qvalue).over(Window.partitionBy(*on)))
+
+
+def with_channels_matched(df: DataFrame, on: list[str], out: str = "channels_matched") -> DataFrame:
+    """df with the number of rows (channels) of each key."""
+    return df.withColumn(out, F.count("*").over(Window.partitionBy(*on)))
+
+
+def rank_score(df: DataFrame, on: list[str], orders: list, out: str = "rank_score") -> DataFrame:
+    """df with the sum of each row's ranks within its key under several orders (lists of sort columns), the first place 1."""
+    w = Window.partitionBy(*on)
+    total = F.lit(0)
+    for order in orders:
+        total = total + F.row_number().over(w.orderBy(*order))
+    return df.withColumn(out, total.cast("long"))
+
+
+def medians(df: DataFrame, on: list[str], value: str) -> DataFrame:
+    """(key, median, spread) of a value, such as a sequence's times over runs."""
+    return df.groupBy(*on).agg(F.percentile(value, 0.5).alias("median"), (F.max(value) - F.min(value)).alias("spread"))
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """(bin, n, density): rows in steps of width, and their share of all rows."""
+    counts = df.select(F.floor(F.col(value) / width).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all"))), how="cross").select("bin", "n", (F.col("n").cast("double") / F.col("_all")).alias("density"))  # one row
+
+
+def strong_precursors(psm: DataFrame, key: list[str], least: float = 1.0) -> DataFrame:
+    """The best row of each key among those whose coefficient is above `least`."""
+    return best_rows(psm.where(F.col("coeff") > least), key, [F.desc("coeff"), "scan_num"])
+
+
 def group_folds(group: Column, folds: int = 5) -> Column:
     """Cross-validation fold of a group: a hash, so that a group never spans folds."""
     return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
@@ -45,13 +81,15 @@ def cross_validated(df: DataFrame, features: list[str], label: str, group: str,
     """df with the class-1 probability of a model trained on the other folds.
 
     model: rf (random forest), gbt (boosted trees), mlp (multilayer perceptron), lda (linear discriminant in
-    closed form from mean and covariance aggregates). Missing features count as 0.
+    closed form from mean and covariance aggregates). Missing features count as 0. The rows are stored once before the
+    folds, so that what made them doesn't run again for each fit.
     """
     from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     own = df.fillna(0.0, subset=features).withColumn("_fold", group_folds(F.col(group), folds)).withColumn("_y", F.col(label).cast("double"))
+    own = stored(own, "folds")
     if model != "lda":
         own = VectorAssembler(inputCols=features, outputCol="_x").transform(own)
     makers = {

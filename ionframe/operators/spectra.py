@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import range_join
+from .joins import range_join, tolerance_join
 
 
 def merge_peaks(peaks: DataFrame, mz: str, intensity: str, tol: float, on: list[str]) -> DataFrame:
@@ -55,6 +55,24 @@ def accepted(matches: DataFrame, share: float = 0.5, least: int = 3, top: int =
     return agg.where((F.col("matched") > share) & (F.col("n_top") > least))
 
 
+def first_search_accepted(matches: DataFrame, share: float = 0.8, least: int = 3, top: int = 10) -> DataFrame:
+    """As accepted, and the strongest fragment and two of the three strongest are matched."""
+    agg = matches.groupBy("scan_num", "prec_id").agg(F.sum("norm_int").alias("matched"), F.count_if(F.col("top_rank") <= top).alias("n_top"), F.count_if(F.col("top_rank") == 1).alias("_one"), F.count_if(F.col("top_rank") <= 3).alias("_three"))
+    return agg.where((F.col("matched") > share) & (F.col("n_top") > least) & (F.col("_one") >= 1) & (F.col("_three") >= 2)).drop("_one", "_three")
+
+
+def feature_candidates(features: DataFrame, library: DataFrame, rel: float) -> DataFrame:
+    """Library precursors within a relative tolerance, strict, of each survey feature's m/z, and of its charge.
+    features: feature_id, mz, charge and others; library: prec_id, prec_mz, charge and others."""
+    hit = tolerance_join(library, "prec_mz", features, "mz", 2 * rel, on=["charge"])
+    return hit.where(F.abs(F.col("prec_mz") - F.col("mz")) / F.col("mz") < rel)
+
+
+def seeded_sample(df: DataFrame, n: int, on: list[str], seed: int = 42) -> DataFrame:
+    """n rows, or all if there are fewer, chosen by a hash of the columns `on` and a seed: the same ones in every run."""
+    return df.orderBy(F.xxhash64(*on, F.lit(seed)), *on).limit(n)
+
+
 def probe_scans(scans: DataFrame, per_part: int = 40, parts: int = 10) -> DataFrame:
     """The scans with most TIC in each of `parts` equal shares of the run."""
     part = scans.withColumn("part", F.ntile(parts).over(Window.partitionBy("run").orderBy("rt", "scan_num")))

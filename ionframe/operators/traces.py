@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def pearson(a: str, b: str):
+    """Pearson's r as an aggregate; null, not an error, where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def trapezoid(df: DataFrame, on: list[str], x: str, y: str, out: str = "area") -> DataFrame:
     """(key, out): trapezoid area of y over x; 0 for a single point."""
     w = Window.partitionBy(*on).orderBy(x)
@@ -26,6 +31,19 @@ def moving_average(df: DataFrame, on: list[str], x: str, y: str, width: int = 3,
     return df.withColumn(out, F.sum(y).over(w) / width)
 
 
+def moving_area(df: DataFrame, on: list[str], x: str, y: str, step: float, width: int = 3, out: str = "area") -> DataFrame:
+    """The sum of the window of `width` points that is centred on each, times the step: beyond the ends count zeros."""
+    w = Window.partitionBy(*on).orderBy(x).rowsBetween(-(width // 2), (width - 1) // 2)
+    return df.withColumn(out, F.sum(y).over(w) * step)
+
+
+def fragment_traces(psm: DataFrame, on: list[str]) -> DataFrame:
+    """(key, fragment, trace): each fragment's (scan_num, mz, obs) over the scans of a key, in order of scan. psm: key, scan_num, frag_names, frag_mz, obs_int."""
+    rows = psm.select(*on, "scan_num", F.explode(F.arrays_zip("frag_names", "frag_mz", "obs_int")).alias("f"))
+    one = F.struct("scan_num", F.col("f.frag_mz").alias("mz"), F.col("f.obs_int").alias("obs"))
+    return rows.groupBy(*on, F.col("f.frag_names").alias("fragment")).agg(F.array_sort(F.collect_list(one)).alias("trace"))
+
+
 def interpolate(points: DataFrame, knots: DataFrame, on: list[str], x: str, y: str, out: str = "interpolated") -> DataFrame:
     """points with the knots' linear interpolation at x, null outside; one sort of the union."""
     a = points.withColumns({"_k": F.lit(None).cast("struct<x:double,y:double>"), "_side": F.lit(1)})
@@ -41,7 +59,7 @@ def interpolate(points: DataFrame, knots: DataFrame, on: list[str], x: str, y: s
 
 def isotope_fit(df: DataFrame, on: list[str], theory: str, observed: str) -> DataFrame:
     """(key, slope, r): slope through the origin of observed on theory, and Pearson's r."""
-    return df.groupBy(*on).agg((F.sum(F.col(theory) * F.col(observed)) / F.sum(F.col(theory) * F.col(theory))).alias("slope"), F.corr(theory, observed).alias("r"))
+    return df.groupBy(*on).agg(F.try_divide(F.sum(F.col(theory) * F.col(observed)), F.sum(F.col(theory) * F.col(theory))).alias("slope"), pearson(theory, observed).alias("r"))
 
 
 def trace_product(*correlations: str):

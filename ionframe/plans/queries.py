@@ -172,12 +172,12 @@ def channel_counts(spark, sf_dir):
 
 @query("SELECT event_id, min(value) OVER (PARTITION BY user_id, event_type) AS best FROM events")
 def best_channel(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", F.min("value").over(Window.partitionBy("user_id", "event_type")).alias("best"))
+    return scoring.best_channel_qvalues(t(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "best").select("event_id", "best")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS matched FROM events")
 def channels_matched(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", F.count("*").over(Window.partitionBy("user_id", "event_type")).alias("matched"))
+    return scoring.with_channels_matched(t(spark, sf_dir, "events"), ["user_id", "event_type"], "matched").select("event_id", "matched")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_returnflag, l_extendedprice/sum(l_extendedprice) OVER (PARTITION BY l_orderkey) v,
@@ -227,9 +227,7 @@ def dense_bins(spark, sf_dir):
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) + row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank_sum FROM events""")
 def rank_sum(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    total = F.row_number().over(w.orderBy("value", "event_id")) + F.row_number().over(w.orderBy(F.desc("ts"), "event_id"))
-    return t(spark, sf_dir, "events").select("event_id", total.cast("long").alias("rank_sum"))
+    return scoring.rank_score(t(spark, sf_dir, "events"), ["user_id"], [["value", "event_id"], [F.desc("ts"), "event_id"]], "rank_sum").select("event_id", "rank_sum")
 
 
 @query("""SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
@@ -297,8 +295,7 @@ def dedupe_last(spark, sf_dir):
 
 @query("""SELECT user_id, quantile_cont(value,0.5) AS median, round(max(value)-min(value),2) AS spread FROM events GROUP BY user_id HAVING max(value)-min(value) < 480""")
 def sequence_median(spark, sf_dir):
-    e = t(spark, sf_dir, "events").groupBy("user_id").agg(F.percentile("value", 0.5).alias("median"), (F.max("value") - F.min("value")).alias("s")).where("s < 480")
-    return e.select("user_id", "median", F.round("s", 2).alias("spread"))
+    return scoring.medians(t(spark, sf_dir, "events"), ["user_id"], "value").where("spread < 480").select("user_id", "median", F.round("spread", 2).alias("spread"))
 
 
 @query("""WITH m AS (SELECT quantile_cont(value,0.5) m FROM events) SELECT user_id, round(quantile_cont(abs(value-m),0.5),6) AS mad FROM events, m GROUP BY user_id""")
@@ -310,8 +307,7 @@ def median_error(spark, sf_dir):
 
 @query("""SELECT CAST(floor(value/25) AS BIGINT) AS bin, count(*) AS n, CAST(count(*) AS DOUBLE)/(SELECT count(*) FROM events) AS density FROM events GROUP BY 1""")
 def histogram(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select(F.floor(F.col("value") / 25).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    return e.join(F.broadcast(e.agg(F.sum("n").alias("all"))), how="cross").select("bin", "n", (F.col("n").cast("double") / F.col("all")).alias("density"))
+    return scoring.histogram(t(spark, sf_dir, "events"), "value", 25)
 
 
 @query("""SELECT event_type, min(b) AS mode FROM (SELECT event_type, b, n, max(n) OVER (PARTITION BY event_type) m FROM (SELECT event_type, CAST(round(value) AS BIGINT) b, count(*) n FROM events GROUP BY 1,2) x) y WHERE n=m GROUP BY event_type""")
@@ -326,18 +322,21 @@ def time_channel(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("channel"))
 
 
-@query("""WITH p AS (SELECT *, ntile(10) OVER (ORDER BY ts, event_id) part FROM events), r AS (SELECT event_id, part, row_number() OVER (PARTITION BY part ORDER BY value DESC, event_id) k FROM p)
+@query("""WITH p AS (SELECT *, ntile(10) OVER (PARTITION BY event_type ORDER BY ts, event_id) part FROM events), r AS (SELECT event_id, part, row_number() OVER (PARTITION BY event_type, part ORDER BY value DESC, event_id) k FROM p)
   SELECT event_id, part::BIGINT AS part FROM r WHERE k<=40""")
 def probe_scans(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select(F.lit(0).alias("run"), F.col("ts").alias("rt"), F.col("event_id").alias("scan_num"), F.col("value").alias("tic"))
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("ts").alias("rt"), F.col("event_id").alias("scan_num"), F.col("value").alias("tic"))
     return spectra.probe_scans(e).select(F.col("scan_num").alias("event_id"), F.col("part").cast("long").alias("part"))
 
 
 @query("""SELECT o_orderpriority, round(corr(o_totalprice, l),6) AS r, count(*) AS n FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) l FROM lineitem GROUP BY l_orderkey) x ON o_orderkey=l_orderkey GROUP BY 1""")
 def trace_correlation(spark, sf_dir):
-    x = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("l"))
-    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return o.join(x, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.round(F.corr("o_totalprice", "l"), 6).alias("r"), F.count("*").alias("n"))
+    from ..operators.quant import trace_correlations
+
+    x = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("x")).agg(F.sum("l_extendedprice").alias("y"))
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x"), "o_orderpriority", F.col("o_totalprice").alias("y"))
+    own = o.select("x", "o_orderpriority").join(x, "x").withColumn("iso", F.lit(0))
+    return trace_correlations(own, o, ["o_orderpriority"], "x", "y").select("o_orderpriority", F.round("r", 6).alias("r"), "n")
 
 
 @query("""SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal),2) AS balance FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name <> 'ASIA' GROUP BY n_name""")
@@ -358,7 +357,7 @@ def nnls_scans(spark, sf_dir):
 def rf_cv_score(spark, sf_dir):
     d = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
     x = d.select("doc_id", "source", "quality", F.col("n_chars").cast("double").alias("f0"), F.size(F.split("text", " ")).cast("double").alias("f1"), F.size(F.split("text", "\n")).cast("double").alias("f2"), F.char_length(F.regexp_replace("text", "[a-z ]", "")).cast("double").alias("f3"))
-    got = scoring.cross_validated(x, ["f0", "f1", "f2", "f3"], "quality", "source", folds=3, trees=10, depth=6)
+    got = scoring.cross_validated(x, ["f0", "f1", "f2", "f3"], "quality", "source")
     return got.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -397,12 +396,14 @@ def unmatched_by_precursor(spark, sf_dir):
     return unmatched_rows(f, "b").select("scan_num", "prec_id", F.col("row").cast("long").alias("row"), F.round("v", 6).alias("v"))
 
 
-@query("""WITH q AS (SELECT quantile_cont(l_quantity,0.4) a, quantile_cont(l_tax,0.6) b FROM lineitem) SELECT count(*) AS n, round(sum(l_quantity),2) AS total FROM lineitem, q WHERE l_quantity > a AND l_tax < b""")
+@query("""WITH q AS (SELECT unnest(range(20, 76, 5)) AS p, unnest(quantile_cont(l_extendedprice, [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75])) AS a, unnest(quantile_cont(l_tax, [0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25])) AS b FROM lineitem),
+  c AS (SELECT p, count(*) n, count(*) FILTER (l_returnflag='R') o, sum(l_quantity) s FROM lineitem, q WHERE l_extendedprice > a AND l_tax < b GROUP BY p)
+  SELECT p AS percentile, n, round(s,2) AS total FROM c WHERE p = coalesce((SELECT min(p) FROM c WHERE n < 800 OR o < 0.24*n), 75)""")
 def percentile_relaxation(spark, sf_dir):
     from ..operators.probes import percentile_relaxation as relax
 
-    rows, _ = relax(t(spark, sf_dir, "lineitem"), ["l_quantity"], ["l_tax"], F.lit(True), start=40, stop=40, least=1)
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+    rows, p = relax(t(spark, sf_dir, "lineitem"), ["l_extendedprice"], ["l_tax"], F.col("l_returnflag") == "R", share=0.24)
+    return rows.agg(F.lit(p).cast("long").alias("percentile"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: abs(v)) p, list_reverse(list_transform(embedding::DOUBLE[], lambda v: abs(v))) o FROM embeddings),
@@ -463,3 +464,6 @@ def calibration_curves(spark, sf_dir):
         return pd.DataFrame({"event_type": part["event_type"].iloc[0], "knots": [len(x)], "mean_fit": [round(float(y.mean()), 4)]})
 
     return e.groupBy("event_type").applyInPandas(fit, "event_type string, knots long, mean_fit double")
+
+
+from . import domain_queries  # noqa: E402,F401  registers its queries

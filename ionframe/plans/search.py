@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.peptide import fragment_mz, residues, reverse_decoy, split_fragment
-from ..operators import calibrate, scoring, spectra
+from ..functions.peptide import fragment_mz, residues, reverse_decoy_tagged, split_fragment, stripped, substitute_decoy
+from ..operators import calibrate, quant, scoring, spectra
 from ..operators.features import match_features
 from ..operators.solve import deconvolve
+from ..shared import stored
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,14 @@ class Config:
     ms1_tol: float = 20e-6
     rt_tol: float = 9.0
     share: float = 0.5
+    first_share: float = 0.8
+    score_lib_frac: float = 0.5
+    least_coeff: float = 100.0
+    tag: str | None = None
+    decoys: str = "rev"
+    ms1_required: bool = True
+    probe_per_part: int = 40
+    probe_parts: int = 10
     least_top: int = 3
     top: int = 10
     nearby: int = 2
@@ -31,30 +40,38 @@ class Config:
     model: str = "rf"
 
 
-def add_decoys(library: DataFrame) -> DataFrame:
-    """The library and its decoys: reversed residues, b and y m/z computed anew, intensities kept. Ions other than b and y raise."""
+def add_decoys(library: DataFrame, rule: str = "rev", tag: str = "mTRAQ") -> DataFrame:
+    """The library and its decoys: residues reversed but for the last (rev; modifications travel, the tag's marks stay in place) or exchanged for look-alikes
+    (substitute), b and y m/z computed anew, intensities kept. Ions other than b and y, unknown residues and unknown modifications raise."""
     t = residues(F.col("mod_seq"))
-    decoy = library.withColumns({"_t": reverse_decoy(t)})
+    decoy = library.withColumns({"_t": substitute_decoy(t) if rule == "substitute" else reverse_decoy_tagged(t, tag)})
     f = lambda x: split_fragment(x["name"])
     moved = F.transform("frags", lambda x: F.struct(F.coalesce(fragment_mz(F.col("_t"), f(x)["ion"], f(x)["idx"], f(x)["charge"], f(x)["loss"]), F.raise_error(F.concat(F.lit("no decoy m/z for "), x["name"])).cast("double")).alias("mz"), x["intensity"].alias("intensity"), x["name"].alias("name")))
-    decoy = decoy.withColumns({"frags": F.array_sort(moved), "mod_seq": F.array_join("_t", ""), "seq": F.reverse("seq"), "is_decoy": F.lit(True)}).drop("_t")
+    decoy = decoy.withColumns({"frags": F.array_sort(moved), "mod_seq": F.array_join("_t", "")}).withColumns({"seq": stripped(F.col("mod_seq")), "is_decoy": F.lit(True)}).drop("_t")
     return library.unionByName(decoy)
 
 
-def search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame, config: Config = Config()) -> DataFrame:
+def search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame, config: Config = Config(), survey: DataFrame | None = None, first: bool = False) -> DataFrame:
     """One row per (scan, precursor) with a positive coefficient, and its features.
 
     scans: scan_num, rt, prec_mz, win_lo, win_hi, tic, mz[], intensity[]; precursors: prec_id, prec_mz, irt (in run time), is_decoy;
     fragments: prec_id, name, ion, idx, mz, norm_int, top_rank. Targets and decoys have distinct prec_id and are solved together.
+    survey: all scans of the runs (run, scan_num, ms_level, rt, mz[], intensity[]); with it a candidate needs a peak of its m/z in the nearest survey scan, and has
+    that peak's mz_error. first: the stricter acceptance of a first search.
     """
     peaks = scans.select("scan_num", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("scan_num", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
     merged = spectra.merge_peaks(peaks, "mz", "intensity", config.mz_tol, ["scan_num"]).withColumnRenamed("anchor", "centre").withColumnRenamed("intensity", "o")
     own = merged.withColumns({"lo": F.col("centre") * (1 - config.mz_tol), "hi": F.col("centre") * (1 + config.mz_tol)}).withColumn("row", F.row_number().over(Window.partitionBy("scan_num").orderBy("centre")))
     cands = spectra.candidates(scans, precursors, config.rt_tol).select("scan_num", "prec_id", "scan_rt", "is_decoy", F.col("prec_mz"), F.col("irt"))
+    if survey is not None:
+        cands = cands.join(quant.survey_errors(cands, survey, config.ms1_tol), ["scan_num", "prec_id"])
+    else:
+        cands = cands.withColumn("mz_error", F.lit(None).cast("double"))
     hits = spectra.match_fragments(cands, fragments.select("prec_id", "name", "ion", "idx", "mz", "norm_int", "top_rank"), own)
     near = Window.partitionBy("scan_num", "prec_id", "name").orderBy(F.abs(F.col("centre") - F.col("mz")), "row")
     hits = hits.withColumn("_n", F.row_number().over(near)).where("_n = 1").drop("_n")  # a fragment takes its nearest peak
-    good = spectra.accepted(hits, config.share, config.least_top, config.top).select("scan_num", "prec_id")
+    accept = spectra.first_search_accepted if first else spectra.accepted
+    good = accept(hits, config.first_share if first else config.share, config.least_top, config.top).select("scan_num", "prec_id")
     hits = hits.join(good, ["scan_num", "prec_id"])
     missing = cands.join(good, ["scan_num", "prec_id"]).join(fragments.select("prec_id", "name", "norm_int"), "prec_id").join(hits.select("scan_num", "prec_id", "name"), ["scan_num", "prec_id", "name"], "left_anti")
     zero = missing.where("norm_int > 1e-10").select("scan_num", (-F.row_number().over(Window.partitionBy("scan_num").orderBy("prec_id", "name"))).alias("row"), "prec_id", F.col("norm_int").alias("v"), F.lit(0.0).alias("o"))
@@ -62,31 +79,40 @@ def search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame, config
     rows = hits.join(coeff, ["scan_num", "prec_id"]).withColumn("p", F.col("norm_int") * F.col("coeff"))
     row = Window.partitionBy("scan_num", "row")
     rows = rows.withColumns({"pt": F.sum("p").over(row), "shared": F.count("*").over(row), "v": F.col("norm_int")}).join(scans.select("scan_num", "tic"), "scan_num")
-    head = rows.groupBy("scan_num", "prec_id").agg(F.first("coeff").alias("coeff"), F.first("is_decoy").alias("is_decoy"), F.first("scan_rt").alias("rt"), (F.first("scan_rt") - F.first("irt")).alias("rt_error"), F.expr("percentile((centre - mz) / centre, 0.5)").alias("med_frag_error"))
+    head = rows.groupBy("scan_num", "prec_id").agg(F.first("coeff").alias("coeff"), F.first("is_decoy").alias("is_decoy"), F.first("scan_rt").alias("rt"), (F.first("scan_rt") - F.first("irt")).alias("rt_error"), F.first("mz_error").alias("mz_error"), F.expr("percentile((centre - mz) / centre, 0.5)").alias("med_frag_error"))
     return head.join(match_features(rows), ["scan_num", "prec_id"])
 
 
-FEATURES = ["num_lib", "frac_lib_int", "frac_dia_int", "b_counts", "y_counts", "longest_ion", "hyperscore", "scribe", "manhattan", "contrast", "cosine", "gof", "max_matched_residual", "rt_error", "med_frag_error", "manhattan_nearby", "gof_nearby"]
+FEATURES = ["num_lib", "frac_lib_int", "frac_dia_int", "b_counts", "y_counts", "longest_y", "hyperscore", "scribe", "manhattan", "contrast", "cosine", "gof", "max_matched_residual", "rt_error", "mz_error", "med_frag_error", "frac_int_matched", "frac_int_pred", "frac_int_matched_pred", "frac_int_uniq", "frac_int_matched_pred_sigcoeff", "sq_rt_error", "sq_mz_error", "manhattan_nearby", "gof_nearby", "max_matched_nearby"]
 
 
-def best_matches(psm: DataFrame, nearby: int = 2) -> DataFrame:
-    """The row with the largest coefficient per precursor, with extremes of features in the scans around it."""
-    out = scoring.best_rows(psm, ["prec_id"], [F.desc("coeff"), "scan_num"])
-    for name, how in (("manhattan", "max"), ("gof", "min")):
-        near = scoring.nearby_extreme(psm, ["prec_id"], ["rt", "scan_num"], [F.desc("coeff"), "scan_num"], name, nearby, how, f"{name}_nearby").drop("n")
-        out = out.join(near, "prec_id", "left")
-    return out
+def best_matches(psm: DataFrame, nearby: int = 2, on: list[str] | None = None) -> DataFrame:
+    """The row with the largest coefficient per precursor (and whatever else `on` names), with extremes of features in the scans around it."""
+    key = on or ["prec_id"]
+    out = scoring.best_rows(psm, key, [F.desc("coeff"), "scan_num"])
+    for name, how, as_ in (("manhattan", "max", "manhattan_nearby"), ("gof", "min", "gof_nearby"), ("max_matched_residual", "min", "max_matched_nearby")):
+        near = scoring.nearby_extreme(psm, key, ["rt", "scan_num"], [F.desc("coeff"), "scan_num"], name, nearby, how, as_).drop("n")
+        out = out.join(near, key, "left")
+    return out.withColumns({"sq_rt_error": F.col("rt_error") * F.col("rt_error"), "sq_mz_error": F.col("mz_error") * F.col("mz_error")})
 
 
 def score(best: DataFrame, group: str, config: Config = Config()) -> DataFrame:
-    """Cross-validated scores and q-values; the label is a target, and the coefficient isn't a feature."""
-    df = best.withColumn("target", (~F.col("is_decoy")).cast("int")).withColumns({c: F.col(c).cast("double") for c in FEATURES})
-    scored = scoring.cross_validated(df, FEATURES, "target", group, config.folds, config.model, config.trees, config.depth)
-    return scoring.qvalues(scored, F.col("is_decoy"), "score", ["prec_id"])
+    """Cross-validated scores and q-values; the label is a target with a coefficient above 1, and the coefficient isn't a feature.
+    Scores are stored before ranks are taken, so that ties and order are the same in every pass."""
+    df = best.withColumn("label", (~F.col("is_decoy") & (F.col("coeff") > 1)).cast("int")).withColumns({c: F.col(c).cast("double") for c in FEATURES})
+    scored = stored(scoring.cross_validated(df, FEATURES, "label", group, config.folds, config.model, config.trees, config.depth), "scored")
+    return scoring.qvalues(scored, F.col("is_decoy"), "score", ["prec_id", "scan_num"])
 
 
-def probe_calibration(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0) -> calibrate.Calibration:
-    """Curves and tolerances from a first search's best matches (at most 1e5 rows, the best coefficients)."""
-    best = scoring.best_rows(psm.where(F.col("coeff") > least_coeff), ["prec_id"], [F.desc("coeff"), "scan_num"]).join(library.select("prec_id", "irt", "prec_mz"), "prec_id")
-    got = best.orderBy(F.desc("coeff"), "prec_id").limit(100_000).select("irt", "rt", "prec_mz", "med_frag_error").toPandas()
+def calibration_matches(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0, percentile: float = 0.8) -> DataFrame:
+    """The targets that a first search is calibrated on: each precursor's best match with a coefficient above least_coeff and a
+    hyperscore in the upper part of these (prec_id, scan_num, coeff, irt, rt, prec_mz, med_frag_error)."""
+    best = scoring.best_rows(psm.where(~F.col("is_decoy") & (F.col("coeff") > least_coeff)), ["prec_id"], [F.desc("coeff"), "scan_num"]).join(library.select("prec_id", "irt", "prec_mz"), "prec_id")
+    bound = best.agg(F.percentile("hyperscore", 1 - percentile).alias("_b"))  # one row
+    return best.join(F.broadcast(bound), F.col("hyperscore") >= F.col("_b")).select("prec_id", "scan_num", "coeff", "irt", "rt", "prec_mz", "med_frag_error")
+
+
+def probe_calibration(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0, most: int = 100_000) -> calibrate.Calibration:
+    """Curves and tolerances from a first search's best matches (at most `most` rows, the best coefficients: a fit needs no more)."""
+    got = calibration_matches(psm, library, least_coeff).orderBy(F.desc("coeff"), "prec_id").limit(most).select("irt", "rt", "prec_mz", "med_frag_error").toPandas()
     return calibrate.calibrate(got["irt"], got["rt"], got["prec_mz"], got["med_frag_error"])

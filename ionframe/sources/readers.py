@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.peptide import fragment_name, split_fragment
+from ..functions.peptide import fragment_name, split_fragment, stripped
 
 SCANS = "run string, scan_num long, ms_level int, rt double, inj_time double, tic double, prec_mz double, win_lo double, win_hi double, ce double, scan_lo double, scan_hi double, mz array<double>, intensity array<double>"
 
@@ -119,7 +119,7 @@ def read_library(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     precursor's own columns, the last row of the file counts."""
     raw = spark.read.csv(path, sep=sep, header=True)
     rows = library_columns(raw.withColumn("_ord", F.monotonically_increasing_id()))
-    rows = rows.withColumn("mod_seq", F.trim(F.lit("_"), F.col("mod_seq"))).withColumn("name", fragment_name(F.col("ion"), F.col("idx"), F.col("loss"), F.col("frag_charge")))
+    rows = rows.withColumn("mod_seq", F.trim(F.col("mod_seq"), F.lit("_"))).withColumn("name", fragment_name(F.col("ion"), F.col("idx"), F.col("loss"), F.col("frag_charge")))
     key = ["mod_seq", "charge"]
     last = rows.groupBy(*key, "name").agg(F.max_by(F.struct("mz", "intensity"), "_ord").alias("p"))
     frags = last.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), "name"))).alias("frags"))
@@ -160,6 +160,41 @@ def _blob(raw: bytes, n: int, kind: str) -> list[float]:
     return np.frombuffer(raw if len(raw) == size else zlib.decompress(raw), kind).astype(float).tolist()
 
 
+def read_any_library(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+    """A library by its kind: .blib files as SQLite, others as tables. With a cache folder the parsed library is written there as Parquet
+    once and read from there afterwards; delete the folder when the source changes."""
+    if cache and exists(spark, f"{cache}/_SUCCESS"):
+        return spark.read.parquet(cache)
+    if path.rstrip("/").endswith(".blib"):
+        raw = read_blib(spark, path)
+        frags = F.transform(F.arrays_zip("mz", "intensity"), lambda p, i: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"), F.concat(F.lit("p"), (i + 1).cast("string"), F.lit("_1")).alias("name")))
+        none = {c: F.lit(None).cast("double" if c == "im" else "string") for c in ("im", "protein_group", "protein_name", "genes", "uniprot_id")}
+        library = raw.select("mod_seq", "charge", stripped(F.col("mod_seq")).alias("seq"), "prec_mz", "irt", *[v.alias(k) for k, v in none.items()], F.array_sort(frags).alias("frags"), F.lit(False).alias("is_decoy"))
+    else:
+        library = read_library(spark, path)
+    if cache:
+        library.write.mode("overwrite").parquet(cache)
+        library = spark.read.parquet(cache)
+    return library
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_scans(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+    """Scans of mzML files, from the run cache if it is there, else parsed and, with a cache folder, written to it."""
+    from .writers import write_scans
+
+    if not cache:
+        return read_mzml(spark, path)
+    if not exists(spark, f"{cache}/_SUCCESS"):
+        write_scans(read_mzml(spark, path), cache)
+    return spark.read.parquet(cache).select(*[c.split(" ")[0] for c in SCANS.split(", ")])
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, sep="\t", header=True)
     names = {"mz": "mz", "charge": "charge", "rtApex": "rt_apex", "rtStart": "rt_start", "rtEnd": "rt_end", "intensityApex": "intensity_apex"}

@@ -25,6 +25,31 @@ def write_library(library: DataFrame, path: str) -> None:
     rows.select(*[(F.col(v) if isinstance(v, str) else v).alias(h) for v, h in zip(values, LIBRARY_HEADER, strict=True)]).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_result_rows(psm: DataFrame, path: str) -> None:
+    """Result rows as headerless CSV in the readers' column order; arrays are joined by `;`, columns that lack are empty."""
+    from .readers import RESULT_LISTS, result_schema
+
+    cols = [c.split(" ")[0] for c in result_schema().split(", ")]
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ";") if c in RESULT_LISTS else F.col(c)
+    psm.select(*[(text(c) if c in psm.columns else F.lit(None).cast("string")).alias(c) for c in cols]).write.mode("overwrite").csv(path)
+
+
+def write_first_search(psm: DataFrame, path: str) -> None:
+    """The matches that the calibration rests on."""
+    psm.write.mode("overwrite").parquet(path)
+
+
+def write_calibration(spark, calibration, path: str) -> None:
+    """A calibration's knot tables and tolerances as JSON; of_json reads them back."""
+    spark.createDataFrame([(calibration.as_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_calibration(spark, path: str):
+    from ..operators.calibrate import Calibration
+
+    return Calibration.of_json(spark.read.text(path).head()["value"])
+
+
 def write_results(df: DataFrame, path: str, threshold: float = 0.01) -> None:
     """all_ids, filtered_ids (targets below the threshold by the best channel's q-value) and the narrow table."""
     df.write.mode("overwrite").parquet(f"{path}/all_ids")
