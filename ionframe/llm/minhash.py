@@ -144,7 +144,7 @@ def _verify_blocks(batches, num, den):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
-def _linked_blocks(live: DataFrame, sets: DataFrame, num: int, den: int, heads: int = 128, rows: int = 4096) -> DataFrame:
+def _linked_blocks(live: DataFrame, sets: DataFrame, num: int, den: int, heads: int = 128, rows: int = 512) -> DataFrame:
     """Links (a, b) between rows of different components of a bucket: those outside its largest component, in blocks of about `heads`,
     against all of its rows, in parts of about `rows`. Sets go along; pairs that fail are never written."""
     runs, parts = F.ceil(F.col("others") / heads).cast("int"), F.ceil(F.col("size") / rows).cast("int")
