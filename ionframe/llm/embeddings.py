@@ -50,20 +50,18 @@ def _signed(batches, tables, bits, seed):
             )
 
 
-class _Forest:
-    """Union-find over the rows of one block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that links (x, y) lead to."""
+    up = np.arange(n)
+    while True:
+        low = up.copy()
+        np.minimum.at(low, x, up[y])
+        np.minimum.at(low, y, up[x])
+        np.minimum.at(low, up, low)  # a root takes what its rows reach
+        low = low[low]
+        if (low == up).all():
+            return up
+        up = low
 
 
 def _block(rows: list, bound: float) -> tuple[list[int], list[int], list[int]]:
@@ -84,26 +82,19 @@ def _block(rows: list, bound: float) -> tuple[list[int], list[int], list[int]]:
         return out
     ka, kb = (np.array([r[7] for r in side]) for side in (left, right))
     table = left[0][8]
-    first = (ka[x] == kb[y]).argmax(1) == table  # counted in the first table that holds both
+    first = np.ones(len(x), bool)  # counted in the first table that holds both: none before this one does
+    for k in range(table):
+        first[first] = ka[x[first], k] != kb[y[first], k]
     n = len(left)
     links = np.zeros(n + (0 if alone else len(right)), np.int64)
     ma, mb = (np.array([r[5] for r in side]) for side in (left, right))
     np.add.at(links, x[first], mb[y[first]])
-    forest = _Forest(len(links))
     if not alone:
         np.add.at(links, n + y[first], ma[x[first]])
-    seen = set()
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        pair = (i, j if alone else n + j)
-        if pair[0] not in seen or pair[1] not in seen or forest.root(pair[0]) != forest.root(pair[1]):
-            seen.update(pair)
-            forest.link(*pair)
-    nodes = [r[4] for r in left] + ([] if alone else [r[4] for r in right])
-    for i in sorted(seen):
-        out[0].append(nodes[i])
-        out[1].append(int(links[i]))
-        out[2].append(nodes[forest.root(i)])
-    return out
+        y = n + y
+    least, seen = _least(len(links), x, y), np.unique(np.concatenate([x, y]))
+    nodes = np.array([r[4] for r in left] + ([] if alone else [r[4] for r in right]), np.int64)
+    return nodes[seen].tolist(), links[seen].tolist(), nodes[least[seen]].tolist()
 
 
 def _compare(batches, bound):
