@@ -64,57 +64,58 @@ def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         up = low
 
 
-def _block(rows: list, bound: float) -> tuple[list[int], list[int], list[int]]:
-    """(node, links first met in this bucket, a linked node) of a block, or of a pair of blocks."""
-    left = [r for r in rows if r[3] == 0]
-    right = [r for r in rows if r[3] == 1]
-    alone = not right
-    right = right or left
-    out: tuple = ([], [], [])
-    if not left or alone and len(left) < 2:
-        return out
-    a, b = (np.frombuffer(b"".join(r[6] for r in side)).reshape(len(side), -1) for side in (left, right))
-    close = a @ b.T >= bound
+def _block(side, node, many, vector, keys, table: int, bound: float):
+    """(node, links first met in this bucket, a linked node) of a block (side 0 alone) or of a pair of blocks, as arrays; None without links."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    if not len(left) or alone and len(left) < 2:
+        return None
+    right = left if alone else right
+    unit = np.frombuffer(b"".join(vector)).reshape(len(side), -1)
+    close = unit[left] @ unit[right].T >= bound
     if alone:
         np.fill_diagonal(close, False)
     x, y = np.nonzero(close)
     if not len(x):
-        return out
-    ka, kb = (np.array([r[7] for r in side]) for side in (left, right))
-    table = left[0][8]
+        return None
+    x, y = left[x], right[y]
     first = np.ones(len(x), bool)  # counted in the first table that holds both: none before this one does
     for k in range(table):
-        first[first] = ka[x[first], k] != kb[y[first], k]
-    n = len(left)
-    links = np.zeros(n + (0 if alone else len(right)), np.int64)
-    ma, mb = (np.array([r[5] for r in side]) for side in (left, right))
-    np.add.at(links, x[first], mb[y[first]])
+        first[first] = keys[x[first], k] != keys[y[first], k]
+    links = np.zeros(len(side), np.int64)
+    np.add.at(links, x[first], many[y[first]])
     if not alone:
-        np.add.at(links, n + y[first], ma[x[first]])
-        y = n + y
-    least, seen = _least(len(links), x, y), np.unique(np.concatenate([x, y]))
-    nodes = np.array([r[4] for r in left] + ([] if alone else [r[4] for r in right]), np.int64)
-    return nodes[seen].tolist(), links[seen].tolist(), nodes[least[seen]].tolist()
+        np.add.at(links, y[first], many[x[first]])
+    least, seen = _least(len(side), x, y), np.unique(np.concatenate([x, y]))
+    return node[seen], links[seen], node[least[seen]]
 
 
 def _compare(batches, bound):
-    """Rows come sorted by (bucket, i, j, side); the rows of one (bucket, i, j) are compared together."""
-    at, rows = None, []
+    """Rows come sorted by (bucket, i, j, side); the rows of one (bucket, i, j) are compared together. A group that
+    reaches the end of a batch waits for the next one."""
+    held = None
+
+    def blocks(own, starts, ends):
+        got = [_block(*(c[s:e] for c in own[3:8]), int(own[8][s]), bound) for s, e in zip(starts, ends, strict=True) if e - s > 1]
+        whole = [np.concatenate(c) for c in zip(*(g for g in got if g is not None), strict=True)] or [np.empty(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], names=["node", "links", "to"])
+
     for batch in batches:
-        found: tuple = ([], [], [])
-
-        def close():
-            for whole, more in zip(found, _block(rows, bound), strict=True):
-                whole.extend(more)
-
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != at:
-                close()
-                at, rows = row[:3], []
-            rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["node", "links", "to"])
-    found = _block(rows, bound)
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["node", "links", "to"])
+        if not batch.num_rows:
+            continue
+        at = {n: batch.column(n) for n in ("bucket", "i", "j", "side", "node", "many", "vector", "keys", "nth")}
+        vector = np.empty(batch.num_rows, object)
+        vector[:] = at["vector"].to_pylist()
+        keys = at["keys"].flatten().to_numpy().reshape(batch.num_rows, -1)
+        own = [vector if n == "vector" else keys if n == "keys" else c.to_numpy() for n, c in at.items()]
+        if held is not None:
+            own = [np.concatenate(pair) for pair in zip(held, own, strict=True)]
+        fresh = np.flatnonzero((np.diff(own[0]) != 0) | (np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)) + 1
+        starts = np.concatenate([[0], fresh])
+        yield blocks(own, starts[:-1], starts[1:])
+        held = [c[starts[-1] :] for c in own]
+    if held is not None:
+        yield blocks(held, [0], [len(held[0])])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", bound: float = 0.93, tables: int = TABLES, bits: int = BITS, block: int = 256, seed: int = SEED) -> DataFrame:
