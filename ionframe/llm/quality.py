@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def line_features(line: str) -> list[float]:
     upper = sum(map(str.isupper, packed))
     digits = sum(map(str.isdigit, packed))
     symbols = len(re.findall(r"[^\w\s.,;:!?'\"()-]", packed))
-    doubled = _DOUBLED.findall(packed if m < 64 else line)
+    doubled = _DOUBLED.findall(packed)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     return [
         1.0,
@@ -155,10 +156,10 @@ def score_texts(texts: list, model: dict) -> tuple[np.ndarray, list[np.ndarray]]
     return 1 / (1 + np.exp(-np.clip(model["a"] * doc + model["b"], -30, 30))), np.split(p, np.cumsum(sizes)[:-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 6000, max_lines: int = 300) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 6000, max_lines: int = 100) -> dict:
     """A model from a sample of about max_docs labelled documents (those with the smallest hashes
-    of their ids), of which texts of more than max_lines lines are left out. Every line has its
-    document's label. Only rows whose crc32(id as text) mod 3 is not 1 are used. Null ids or labels
+    of their ids). Of a text of more lines, max_lines neighbouring ones from a place set by the text's hash
+    take part, so that max_docs * max_lines bounds the fit. Every line has its document's label. Only rows whose crc32(id as text) mod 3 is not 1 are used. Null ids or labels
     are ignored; an id with several labels has their rounded mean. Without labels of both
     kinds every document scores the share of good labels (0.5 without any)."""
     known = only(labels, doc_id=id_col, y=label_col).where("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 3 <> 1")
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in chunks(batch, "text"):
                 rows = [(y, (t or "").split("\n")) for y, t in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True)]
-                rows = [(y, ls) for y, ls in rows if len(ls) <= max_lines]
+                starts = [xxhash.xxh3_64_intdigest("\n".join(ls)) % max(1, len(ls) - max_lines + 1) for _, ls in rows]
+                rows = [(y, ls[at : at + max_lines]) for (y, ls), at in zip(rows, starts, strict=True)]
                 flat = [np.array([line_features(x) + [len(x) + 1.0] for x in ls], np.float32).ravel() for _, ls in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array(flat, pa.list_(pa.float32()))], names=["y", "x"])
 
@@ -198,16 +200,17 @@ def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     new = ["score", "predicted", "n_lines", "n_bad_lines"]
     rest = docs.drop(*new)
     at = rest.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + ", score double, predicted int, n_lines long, n_bad_lines long"
+    plain = rest.toDF(*[f"c{i}" for i in range(len(rest.columns))])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", score double, predicted int, n_lines long, n_bad_lines long"
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in chunks(batch, f"c{at}"):
                 scores, lines = score_texts(part.column(at).to_pylist(), model)
                 cols = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array([len(p) for p in lines], pa.int64()), pa.array([int((p < 0.5).sum()) for p in lines], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *new])
 
-    return rest.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*rest.columns, *new)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
