@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import acos, ceil, log, log1p, log2, pi
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,7 +12,14 @@ from pyspark.sql import functions as F
 
 from ._common import components, mix64, only, stored
 
-TABLES, BITS, SEED = 40, 12, 10
+MISS, SEED = 6e-5, 10
+
+
+def sized(n: int, bound: float) -> tuple[int, int]:
+    """(tables, bits) for labels of up to n vectors: about as many signatures as vectors (12 bits at
+    least), and as many tables as part two vectors at the bound with probability MISS at most."""
+    bits = max(12, ceil(log2(max(n, 1))))
+    return ceil(log(MISS) / log1p(-((1 - acos(bound) / pi) ** bits))), bits
 
 
 def planes(dim: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -20,7 +29,7 @@ def planes(dim: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
 def _signed(batches, tables, bits, seed):
     """Valid vectors with the key of equal (label, vector) rows and one bucket key per table."""
     normals: dict[int, np.ndarray] = {}
-    for batch in batches:
+    for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
         rows = list(zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True))
         by: dict[int, list] = {}
         for i, v, label in rows:
@@ -118,12 +127,14 @@ def _compare(batches, bound):
         yield blocks(held, [0], [len(held[0])])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", bound: float = 0.93, tables: int = TABLES, bits: int = BITS, block: int = 256, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", bound: float = 0.93, tables: int | None = None, bits: int | None = None, block: int = 256, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors.
 
     Rows of equal labels are linked if some table's signature is equal and their cosine, in doubles, is
-    bound or more. Two vectors at cosine 0.93 differ in a sign with probability 0.12, so all 40
-    tables of 12 bits part them with probability 6e-5. Equal vectors of a label (up to
+    bound or more. Unless they are given, bits grow with the logarithm of the largest label, so that vectors
+    far apart seldom share a bucket at any size, and tables grow with the bits, so that recall stays:
+    two vectors at cosine 0.93 differ in a sign with probability 0.12, so all 40 tables of 12 bits, or all
+    120 of 20, part them with probability 6e-5. Equal vectors of a label (up to
     length) are one node with a multiplicity. A bucket is cut into blocks and the pairs of blocks
     are compared one by one, so no task holds a bucket; a pair's link is counted in the first table
     that holds it, and a block hands on counts and a spanning forest, never its pairs.
@@ -134,6 +145,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     are never compared. Empty input gives no rows. Other columns are ignored.
     """
     own = only(vectors, vec_id=id_col, embedding=vector_col, label=label_col).withColumn("vec_id", F.col("vec_id").cast("long"))
+    if tables is None or bits is None:
+        largest = own.where("label is not null").groupBy("label").count().agg(F.max("count")).head()[0]
+        tables, bits = sized(largest or 0, bound)
     signed = stored(own.mapInArrow(lambda b: _signed(b, tables, bits, seed), "vec_id long, same binary, vector binary, keys array<long>"), "signed")
     nodes = stored(signed.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"), F.first("vector").alias("vector"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.select("same", F.posexplode("keys").alias("nth", "bucket"))
