@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of
 documents; the last returns the packed pieces. Benchmark and labels are read from sf_dir.
+
+A null text counts as an empty one and stays as it is; a null id keeps its row through every filter of copies.
+Repeated rows: near_dedup leaves one. Empty tables give no rows. Further columns ride along, whatever their names; texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came before; a document that loses all its text goes, and
-    n_chars is counted anew where lines went."""
+    n_chars, if there is such a column, is counted anew where lines went."""
     out = dedup_lines(docs).where("n_removed = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

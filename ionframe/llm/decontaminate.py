@@ -306,13 +306,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = 0.5, questi
     benchmark what each block leaves is stored before the next is built."""
     blocks = blocks_of(benchmark, block_bytes=block_bytes)
     block, several = next(blocks), False
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     while block is not None:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             for batch in batches:
-                for part in chunks(batch, text_col):
-                    found = shared.value.hits(part.column(part.schema.get_field_index(text_col)).to_pylist(), theta, question, answer)
+                for part in chunks(batch, f"c{at}"):
+                    found = shared.value.hits(part.column(at).to_pylist(), theta, question, answer)
                     yield part.filter(pa.array([not f for f in found], pa.bool_()))
 
         docs, block = docs.mapInArrow(run, docs.schema), next(blocks, None)
@@ -320,4 +322,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = 0.5, questi
         if several:
             docs = stored(docs, "clean")
             shared.unpersist()
-    return docs
+    return docs.toDF(*names)

@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(removed_lines(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone")).withColumnRenamed("doc_id", "_gone_id"), "gone")
     rest = docs.drop("n_lines", "n_removed")
     names = rest.columns
-    joined = rest.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left").drop("_gone_id")
-    renamed = joined.toDF(*["text" if c == text_col else f"c{i}" for i, c in enumerate(names)], "gone")
+    plain = rest.toDF(*["text" if c == text_col else f"c{i}" for i, c in enumerate(names)])
+    renamed = plain.hint("merge").join(gone, F.col(f"c{names.index(id_col)}") == F.col("_gone_id"), "left").drop("_gone_id")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema.fields[:-1]) + ", n_lines long, n_removed long"
     return renamed.mapInArrow(_strip, schema).toDF(*names, "n_lines", "n_removed")

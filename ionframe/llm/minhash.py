@@ -370,6 +370,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     from pyspark.sql import Window
 
     kept = stored(near_duplicates(docs, id_col, text_col, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    joined = docs.where(F.col(f"`{id_col}`").isNotNull()).hint("merge").join(kept, F.col(f"`{id_col}`") == F.col("_kept"))
-    one = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(f"`{text_col}`")))).where("_nth = 1").select(*docs.columns)
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    joined = plain.where(own.isNotNull()).hint("merge").join(kept, own == F.col("_kept"))
+    one = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text)))).where("_nth = 1").select(*plain.columns)
+    return one.unionAll(plain.where(own.isNull())).toDF(*names)

@@ -384,6 +384,12 @@ def test_names_of_wrappers_lose_no_text(wrapper, inner):
     assert html_text.extract('<body><div class="cookies"><p>All there is.</p></div></body>')[0] == "All there is."
 
 
+def test_drawings_and_formulas():
+    """A formula is text of its sentence; a drawing or player is none, and an unclosed one ends where a block begins."""
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg><text>axis</text></svg><p>One <svg><path d='M0'><p>Two.</p><object><object>a</object>b</object><video>no video</video><p>Three.</p></article>"
+    assert html_text.extract(page)[0] == "Let x=2 hold.\n\nOne\n\nTwo.\n\nThree."
+
+
 def test_hosts_vote(spark):
     odd = "<body><div class='x1'><p>A short text here.</p></div><div class='junkish'><p>" + "This one is longer than the real story on this page. " * 3 + "</p></div></body>"
     usual = "<body><div class='x{}'><p>" + "The story of this page is long and full of words. " * 4 + "</p></div><div class='junkish'><p>Short.</p></div></body>"
@@ -412,6 +418,24 @@ def test_vectors_by_definition(spark):
     assert all(got[i].component_id == find(up, i) for i in up)
 
 
+def test_recall_of_tables_at_any_size():
+    p = 1 - np.arccos(0.93) / np.pi
+    tables, bits = zip(*(embeddings.sized(n, 0.93) for n in (0, 1, 4096, 10**5, 10**7, 10**9)), strict=True)
+    assert tables[0] == 40 and bits == (12, 12, 12, 17, 24, 30)
+    assert all((1 - p**b) ** k <= 6e-5 for k, b in zip(tables, bits, strict=True))
+
+
+def test_lines_of_any_length_and_long_texts_in_training(spark):
+    """The same noise counts alike in a short and a long line; labelled texts of more lines than the bound take part."""
+    short, long = quality.line_features("a . , b " * 4), quality.line_features("a . , b " * 40)
+    assert short[8] == long[8] > 0
+    good, bad = "The river runs through the old town.\n" * 150, "zz !!@@ ## 99 $$\n" * 150
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_held_out_accuracy(spark):
     import os
 

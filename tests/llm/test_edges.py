@@ -106,6 +106,25 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("nth", range(5))
+def test_pipeline_stages(spark, odd, none, nth, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None), (6, 1), (7, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "what is it that no text here holds at all nothing of the kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, stage = p.STAGES[nth]
+    docs = odd.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("a.b", F.lit(1)).withColumn("_gone_id", F.lit(2)).withColumn("_kept", F.lit(2)).withColumn("_nth", F.lit(2))
+    got = p.stored(stage(spark, docs, str(tmp_path)), "tested")
+    ids = {r.doc_id for r in got.select("doc_id").collect()}
+    assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    if name != "packing":
+        assert got.columns == docs.columns and got.count() <= len(ODD)
+    if name == "near_dedup":
+        assert got.count() == len(ODD) - 1
+    if name != "quality":
+        assert ids == {1, 2, 3, 5, 6, 7, None}
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
