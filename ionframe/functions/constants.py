@@ -27,65 +27,98 @@ MOD_ATOMS = {"UniMod:4": (2, 3, 1, 1, 0), "UniMod:35": (0, 0, 0, 1, 0), "UniMod:
 # Neutral losses.
 LOSS_MASS = {"H2O": 18.0105646837, "NH3": 17.0265491015, "CO": 27.9949146221, "H3PO4": 97.9768950}
 
-# Monoisotopic mass shifts of modifications, with all names of each.
+# Monoisotopic mass shifts of modifications by name.
 MODIFICATION_MASS = {
-    name: shift
-    for shift, names in (
-        (57.021464, ("UniMod:4", "Carbamidomethyl (C)", "Carbamidomethyl", "CAM", "+57", "+57.0")),
-        (39.994915, ("UniMod:26", "PCm")),
-        (43.005814, ("UniMod:5", "Carbamylation (KR)", "+43", "+43.0", "CRM")),
-        (0.984016, ("UniMod:7", "Deamidation (NQ)", "Deamidation", "Dea", "+1", "+1.0")),
-        (15.994915, ("UniMod:35", "Oxidation (M)", "Oxidation", "Oxi", "+16", "+16.0")),
-        (42.010565, ("UniMod:1", "Acetyl (Protein N-term)", "+42", "+42.0")),
-        (28.0313, ("UniMod:255", "AAR")),
-        (26.01565, ("UniMod:254", "AAS")),
-        (27.994915, ("UniMod:122", "Frm")),
-        (128.094963, ("UniMod:1301", "+1K")),
-        (156.101111, ("UniMod:1288", "+1R")),
-        (-18.010565, ("UniMod:27", "PGE")),
-        (-17.026549, ("UniMod:28", "PGQ")),
-        (-48.003371, ("UniMod:526", "DTM")),
-        (31.989829, ("UniMod:325", "2Ox")),
-        (15.010899, ("UniMod:342", "Amn")),
-        (114.042927, ("UniMod:1290", "2CM")),
-        (13.979265, ("UniMod:359", "PGP")),
-        (21.981943, ("UniMod:30", "NaX")),
-        (-2.015650, ("UniMod:401", "-2H")),
-        (14.999666, ("UniMod:528", "MDe")),
-        (-17.026549, ("UniMod:385", "dAm")),
-        (-18.010565, ("UniMod:23", "Dhy")),
-        (125.896648, ("UniMod:129", "Iod")),
-        (79.966331, ("Phosphorylation (ST)", "UniMod:21", "+80", "+80.0")),
-        (8.014199, ("UniMod:259", "Lys8")),
-        (10.008269, ("UniMod:267", "Arg10")),
-        (6.013809, ("UniMod:268",)),
-        (10.027228, ("UniMod:269",)),
-    )
-    for name in names
+    "UniMod:4": 57.021464,
+    "Carbamidomethyl (C)": 57.021464,
+    "Carbamidomethyl": 57.021464,
+    "CAM": 57.021464,
+    "+57": 57.021464,
+    "+57.0": 57.021464,
+    "UniMod:26": 39.994915,
+    "PCm": 39.994915,
+    "UniMod:5": 43.005814,
+    "Carbamylation (KR)": 43.005814,
+    "+43": 43.005814,
+    "+43.0": 43.005814,
+    "CRM": 43.005814,
+    "UniMod:7": 0.984016,
+    "Deamidation (NQ)": 0.984016,
+    "Deamidation": 0.984016,
+    "Dea": 0.984016,
+    "+1": 0.984016,
+    "+1.0": 0.984016,
+    "UniMod:35": 15.994915,
+    "Oxidation (M)": 15.994915,
+    "Oxidation": 15.994915,
+    "Oxi": 15.994915,
+    "+16": 15.994915,
+    "+16.0": 15.994915,
+    "UniMod:1": 42.010565,
+    "Acetyl (Protein N-term)": 42.010565,
+    "+42": 42.010565,
+    "+42.0": 42.010565,
+    "UniMod:255": 28.0313,
+    "AAR": 28.0313,
+    "UniMod:254": 26.01565,
+    "AAS": 26.01565,
+    "UniMod:122": 27.994915,
+    "Frm": 27.994915,
+    "UniMod:1301": 128.094963,
+    "+1K": 128.094963,
+    "UniMod:1288": 156.101111,
+    "+1R": 156.101111,
+    "UniMod:27": -18.010565,
+    "PGE": -18.010565,
+    "UniMod:28": -17.026549,
+    "PGQ": -17.026549,
+    "UniMod:526": -48.003371,
+    "DTM": -48.003371,
+    "UniMod:325": 31.989829,
+    "2Ox": 31.989829,
+    "UniMod:342": 15.010899,
+    "Amn": 15.010899,
+    "UniMod:1290": 114.042927,
+    "2CM": 114.042927,
+    "UniMod:359": 13.979265,
+    "PGP": 13.979265,
+    "UniMod:30": 21.981943,
+    "NaX": 21.981943,
+    "UniMod:401": -2.01565,
+    "-2H": -2.01565,
+    "UniMod:528": 14.999666,
+    "MDe": 14.999666,
+    "UniMod:385": -17.026549,
+    "dAm": -17.026549,
+    "UniMod:23": -18.010565,
+    "Dhy": -18.010565,
+    "UniMod:129": 125.896648,
+    "Iod": 125.896648,
+    "Phosphorylation (ST)": 79.966331,
+    "UniMod:21": 79.966331,
+    "+80": 79.966331,
+    "+80.0": 79.966331,
+    "UniMod:259": 8.014199,
+    "Lys8": 8.014199,
+    "UniMod:267": 10.008269,
+    "Arg10": 10.008269,
+    "UniMod:268": 6.013809,
+    "UniMod:269": 10.027228,
 }
 
 # Mass tags as (rules, base mass, {channel: shift over the base}).
-_TAG6 = {"0": 0.0, "2": 2.0067096756, "4": 4.01095605604, "6": 6.0201290268, "8": 8.0268387024, "10": 10.03108508284, "12": 12.0339381092, "14": 14.0406477848, "16": 16.03857422084}
-_MTRAQ = {"0": 0.0, "2": 2.0003897, "4": 4.0070994, "6": 6.0074891, "7": 7.0108440, "8": 8.0141988132}
-_DIETHYL = {"0": 0.0, "2": 2.01255348, "4": 4.013419349, "6": 6.025972839, "8": 8.05021396, "10": 10.062767459}
-
-
-def _of(shifts: dict[str, float], *channels: str) -> dict[str, float]:
-    return {c: shifts[c] for c in channels}
-
-
 MASS_TAGS: dict[str, tuple[str, float, dict[str, float]]] = {
-    "mTRAQ": ("nK", 140.0949630177, _of(_MTRAQ, "0", "4", "8")),
-    "mTRAQ_678": ("nK", 140.0949630177, _of(_MTRAQ, "6", "7", "8")),
-    "mTRAQ_02468": ("nK", 140.0949630177, _of(_MTRAQ, "0", "2", "4", "6", "8")),
-    "diethyl_6plex": ("nK", 56.06260026, _DIETHYL),
-    "diethyl_3plex": ("nK", 56.06260026, _of(_DIETHYL, "0", "4", "8")),
-    "tag6": ("nK", 308.1160923903, _of(_TAG6, "0")),
-    "tag6_5plex": ("nK", 308.1160923903, _of(_TAG6, "0", "4", "8", "12", "16")),
-    "tag6_9plex": ("nK", 308.1160923903, _TAG6),
-    "tag6_d0d2": ("nK", 308.1160923903, _of(_TAG6, "0", "2")),
-    "tag6_d0d4": ("nK", 308.1160923903, _of(_TAG6, "0", "4")),
-    "tag6_d0d2d4": ("nK", 308.1160923903, _of(_TAG6, "0", "2", "4")),
+    "mTRAQ": ("nK", 140.0949630177, {"0": 0.0, "4": 4.0070994, "8": 8.0141988132}),
+    "mTRAQ_678": ("nK", 140.0949630177, {"6": 6.0074891, "7": 7.010844, "8": 8.0141988132}),
+    "mTRAQ_02468": ("nK", 140.0949630177, {"0": 0.0, "2": 2.0003897, "4": 4.0070994, "6": 6.0074891, "8": 8.0141988132}),
+    "diethyl_6plex": ("nK", 56.06260026, {"0": 0.0, "2": 2.01255348, "4": 4.013419349, "6": 6.025972839, "8": 8.05021396, "10": 10.062767459}),
+    "diethyl_3plex": ("nK", 56.06260026, {"0": 0.0, "4": 4.013419349, "8": 8.05021396}),
+    "tag6": ("nK", 308.1160923903, {"0": 0.0}),
+    "tag6_5plex": ("nK", 308.1160923903, {"0": 0.0, "4": 4.01095605604, "8": 8.0268387024, "12": 12.0339381092, "16": 16.03857422084}),
+    "tag6_9plex": ("nK", 308.1160923903, {"0": 0.0, "2": 2.0067096756, "4": 4.01095605604, "6": 6.0201290268, "8": 8.0268387024, "10": 10.03108508284, "12": 12.0339381092, "14": 14.0406477848, "16": 16.03857422084}),
+    "tag6_d0d2": ("nK", 308.1160923903, {"0": 0.0, "2": 2.0067096756}),
+    "tag6_d0d4": ("nK", 308.1160923903, {"0": 0.0, "4": 4.01095605604}),
+    "tag6_d0d2d4": ("nK", 308.1160923903, {"0": 0.0, "2": 2.0067096756, "4": 4.01095605604}),
     "tag6lys": ("nK", 464.24235, {"0": 0.0}),
     "tag6arg": ("nK", 464.2172, {"0": 0.0}),
     "tag6pip": ("nK", 434.1954, {"0": 0.0}),
