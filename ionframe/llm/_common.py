@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -98,7 +97,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     top = stored(top, "roots")
     least = stored(top.groupBy("to").agg(F.min("node").alias("component")), "least")
     return top.join(least, "to").select("node", "component")
-
-
-def sql_name(text: str) -> str:
-    return re.sub(r"\W", "_", text)
