@@ -21,7 +21,7 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
 NEVER = frozenset("nav footer aside form button select dialog menu head svg object audio video canvas annotation annotation-xml".split())
-FOREIGN = frozenset("svg object audio video canvas".split())
+DRAWING, EMBEDDED = frozenset(("svg",)), frozenset(("foreignobject",))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br center math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msubsup msup mtext munder munderover semantics".split())
 CONTAINERS = frozenset("article main section div body td".split())
 SEMANTIC = frozenset("article main".split())
@@ -150,7 +150,7 @@ class Page:
             self._pop(depth)
 
     def _open(self, tag: str, attrs: str) -> None:
-        if tag in CLOSES_P and (depth := self._find(FOREIGN, frozenset("foreignobject"))) > 0:  # no drawing or player holds blocks: it wasn't closed
+        if tag in CLOSES_P and (depth := self._find(DRAWING, EMBEDDED)) > 0:  # a drawing holds no blocks but embedded ones: it wasn't closed
             self._pop(depth)
         if tag in CLOSES_P and (depth := self._find(frozenset("p"), frozenset("table td th li div section article".split()))) > 0:
             self._pop(depth)

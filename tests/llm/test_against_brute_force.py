@@ -385,8 +385,8 @@ def test_names_of_wrappers_lose_no_text(wrapper, inner):
 
 
 def test_drawings_and_formulas():
-    """A formula is text of its sentence; a drawing or player is none, and an unclosed one ends where a block begins."""
-    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg><text>axis</text></svg><p>One <svg><path d='M0'><p>Two.</p><object><object>a</object>b</object><video>no video</video><p>Three.</p></article>"
+    """A formula is text of its sentence; a drawing or player with all it holds is none, and an unclosed drawing ends where a block begins."""
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg><text>axis</text></svg><p>One <svg><path d='M0'><p>Two.</p><object><object>a</object>b</object><video><p>no video</p></video><svg><foreignObject><p>label</p></foreignObject></svg><p>Three.</p></article>"
     assert html_text.extract(page)[0] == "Let x=2 hold.\n\nOne\n\nTwo.\n\nThree."
 
 
