@@ -69,7 +69,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op6_pii, op7_secrets, op8_line_dedup, op9_packing, op10_embedding_near_dedup)}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_minhash_near_dedup, op4_quality, op5_language, op6_pii, op7_secrets, op8_line_dedup, op9_packing, op10_embedding_near_dedup, op11_pieces, op12_collocations, op13_periodic_runs)}
 _WORDS = "list_filter(regexp_split_to_array(translate({0},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
 
 # Recursive reachability over the links (x, y) that hold both directions; least node reached.
@@ -92,6 +110,15 @@ ORACLE_SQL: dict[str, str] = {
     UNION SELECT v.pos FROM v JOIN ff ON v.g = ff.f WHERE ff.first < v.pos
     UNION SELECT m.pos FROM m JOIN fg ON m.f = fg.g WHERE m.n >= 10 AND fg.first < m.pos)
   SELECT m.doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.pos IS NULL), '') AS text, count(*) AS n_lines, count(gone.pos) AS n_removed FROM m LEFT JOIN gone ON gone.pos = m.pos GROUP BY m.doc_id""",
+    "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+  v AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+  n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM v GROUP BY lang),
+  g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS f FROM v, range(1, 6) s(k), unnest(range(1, greatest(len(w)-k+2, 1))) t(i) GROUP BY ALL HAVING count(*) >= 100),
+  c AS (SELECT g.lang, g.k, g.phrase, g.f FROM g WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.lang = g.lang AND h.k > g.k AND contains(' ' || h.phrase || ' ', ' ' || g.phrase || ' ') AND 100*h.f >= 100*g.f)),
+  x AS (SELECT c.*, i, array_to_string(string_split(phrase, ' ')[:i], ' ') AS head, array_to_string(string_split(phrase, ' ')[i+1:], ' ') AS tail FROM c, unnest(range(1, k)) t(i)),
+  y AS (SELECT x.lang, x.phrase, x.f AS a, i, lg.f AS l, rg.f AS r, n.n, ((1000::HUGEINT*x.f*n.n) // (lg.f::HUGEINT*rg.f))::BIGINT AS score FROM x JOIN g lg ON lg.lang = x.lang AND lg.phrase = x.head JOIN g rg ON rg.lang = x.lang AND rg.phrase = x.tail JOIN n ON n.lang = x.lang),
+  z AS (SELECT lang, phrase, a, l, r, n, score FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= 2000""",
     "op10_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
     AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
   l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
