@@ -109,16 +109,17 @@ def _passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
-def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, schema: str) -> DataFrame:
-    """emit(ids, hashes, lang hashes, words, lang names, intervals) of each shard of a task's rows, as rows of schema."""
+def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, schema: str, finish=None) -> DataFrame:
+    """emit(state, ids, hashes, lang, lang hashes, words, lang names, intervals) of each shard of a task's rows, and finish(state) at
+    its end, as rows of schema. state is the task's own."""
 
     def run(batches):
-        shard = _Shard(seed)
+        shard, state = _Shard(seed), {}
 
         def flush():
             ids, hashes, lang, names, langs = shard.tables()
             lang_hash = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in langs] or [0], np.uint64)
-            yield from emit(ids, hashes, lang, lang_hash[lang], names, langs, intervals(ids, longest))
+            yield from emit(state, ids, hashes, lang, lang_hash[lang], names, langs, intervals(ids, longest))
             shard.clear()
 
         for batch in batches:
@@ -133,6 +134,8 @@ def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, sche
                             yield from flush()
         if shard.words:
             yield from flush()
+        if finish:
+            yield from finish(state)
 
     return docs.mapInArrow(run, schema)
 
@@ -140,7 +143,7 @@ def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, sche
 def _first_counts(docs: DataFrame, seed: int, shard_words: int) -> DataFrame:
     """(lang, h, n): counts of words and word pairs by hash (lang null), and the number of words of each language (h null)."""
 
-    def emit(ids, hashes, lang, lang_hash, names, langs, found):
+    def emit(_, ids, hashes, lang, lang_hash, names, langs, found):
         for n, starts, counts in found:
             if n == 1:
                 per = np.bincount(lang[ids[starts]], counts, len(langs)).astype(np.int64)
@@ -167,15 +170,52 @@ def _filter_of(frequent: DataFrame, most_bytes: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known) -> DataFrame:
-    """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams whose words and pairs pass the filter."""
+class _Merged:
+    """Counts of n-grams of several shards, added up by key before they leave the task."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.rows = 0
+        self.words: dict[tuple, str] = {}
+
+    def add(self, h: np.ndarray, lang: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((h, lang, keys, counts))
+        self.rows += len(h)
+
+    def merge(self) -> None:
+        """One row a key: equal hashes lie side by side, and neighbours are one key if all its parts are equal."""
+        h, lang, keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, lang, keys, counts = h[order], lang[order], keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lang[1:] != lang[:-1]) | (keys[1:] != keys[:-1]).any(1)]))
+        self.parts = [(h[new], lang[new], keys[new], np.add.reduceat(counts, new))]
+        self.rows = len(new)
+
+
+def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, task_rows: int = 400_000) -> DataFrame:
+    """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams whose words and pairs pass the filter. A task adds up
+    its shards' counts and lets go of them when it holds over task_rows keys of one length."""
     cols = [f"w{k}" for k in range(1, longest + 1)]
 
-    def emit(ids, hashes, lang, lang_hash, names, langs, found):
-        last = len(ids)
-        good = np.zeros(last + longest, bool)  # by the start of a pair
+    def rows(state, n):
+        merged = state["merged"][n]
+        if not merged.rows:
+            return
+        merged.merge()
+        _, lang, keys, counts = merged.parts[0]
+        names = pa.array(state["langs"], pa.string())
+        word = pa.array([merged.words[x] for x in zip(lang.tolist(), keys[:, 0].tolist(), strict=True)] if n == 1 else [None] * len(counts), pa.string())
+        state["merged"][n] = _Merged()
+        columns = [pa.array(keys[:, k].view(np.int64)) if k < n else pa.nulls(len(counts), pa.int64()) for k in range(longest)]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), *columns, word, pa.array(counts)], names=["lang", *cols, "word", "f"])
+
+    def emit(state, ids, hashes, lang, lang_hash, names, langs, found):
+        if not state:
+            state |= {"langs": [], "merged": {n: _Merged() for n in range(1, longest + 1)}}
+        state["langs"] += [x for x in langs if x not in state["langs"]]
+        lang_of = np.array([state["langs"].index(x) for x in langs] or [0])[lang]
+        good = np.zeros(len(ids) + longest, bool)  # by the start of a pair
         alone = np.zeros(len(hashes), bool)
-        names_of = pa.array(langs, pa.string())
         for n, starts, counts in found:
             if n == 1:
                 alone[ids[starts]] = _passes(known.value, _gram_hash(hashes, lang_hash, ids, starts, 1))
@@ -186,17 +226,29 @@ def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, kn
                 keep = good[starts]
             else:
                 keep = np.logical_and.reduce([good[starts + k] for k in range(n - 1)])
-            starts, counts = starts[keep], counts[keep]
-            first = ids[starts]
-            word = pa.array([names[i].decode() for i in first] if n == 1 else [None] * len(starts), pa.string())
-            keys = [pa.array(hashes[ids[starts + k]].view(np.int64)) if k < n else pa.nulls(len(starts), pa.int64()) for k in range(longest)]
-            yield pa.RecordBatch.from_arrays([names_of.take(pa.array(lang[first])), *keys, word, pa.array(counts.astype(np.int64))], names=["lang", *cols, "word", "f"])
-
-    grams = _scan(docs, seed, longest, shard_words, emit, ", ".join(["lang string", *[f"{c} long" for c in cols], "word string, f long"]))
+            starts, counts = starts[keep], counts[keep].astype(np.int64)
+            keys = np.stack([hashes[ids[starts + k]] for k in range(n)], 1)
+            merged = state["merged"][n]
+            merged.add(_gram_hash(hashes, lang_hash, ids, starts, n), lang_of[ids[starts]], keys, counts)
+            if n == 1:
+                for i, key in zip(ids[starts].tolist(), zip(lang_of[ids[starts]].tolist(), keys[:, 0].tolist(), strict=True), strict=True):
+                    word = names[i].decode()
+                    if merged.words.setdefault(key, word) != word:  # two words under one hash: both must be seen further on
+                        yield pa.RecordBatch.from_arrays([pa.array([langs[lang[i]]]), *[pa.array([hashes[i]]).cast(pa.int64(), safe=False) if k == 0 else pa.nulls(1, pa.int64()) for k in range(longest)], pa.array([word]), pa.array([0], pa.int64())], names=["lang", *cols, "word", "f"])
+            if merged.rows > task_rows:
+                merged.merge()
+                if merged.rows > task_rows // 2:
+                    yield from rows(state, n)
+
+    def finish(state):
+        for n in state.get("merged", {}):
+            yield from rows(state, n)
+
+    grams = _scan(docs, seed, longest, shard_words, emit, ", ".join(["lang string", *[f"{c} long" for c in cols], "word string, f long"]), finish)
     return grams.groupBy("lang", *cols).agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 20, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 19, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """Exact counts: (lang, n) of all words, and (lang, w1..w<longest>, f, word) of all n-grams with f >= least.
 
     w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words and pairs by
@@ -214,7 +266,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
             return first.where("h is null").select("lang", "n"), grams.drop("other")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 20, filter_bytes: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 19, filter_bytes: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to `longest` words.
 
     Texts are cut into pieces at `.,;:!?` and line ends, pieces into words at spaces and tabs. a, l, r are the counts of the phrase and of the two parts of its
