@@ -118,9 +118,11 @@ def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, sche
 
         def flush():
             ids, hashes, lang, names, langs = shard.tables()
-            lang_hash = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in langs] or [0], np.uint64)
-            yield from emit(state, ids, hashes, lang, lang_hash[lang], names, langs, intervals(ids, longest))
             shard.clear()
+            lang_hash = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in langs] or [0], np.uint64)
+            for out in emit(state, ids, hashes, lang, lang_hash[lang], names, langs, intervals(ids, longest)):
+                yield from (out.slice(at, 1 << 16) for at in range(0, out.num_rows, 1 << 16))
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -192,7 +194,7 @@ class _Merged:
         self.rows = len(new)
 
 
-def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, task_rows: int = 400_000) -> DataFrame:
+def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, task_rows: int = 150_000) -> DataFrame:
     """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams whose words and pairs pass the filter. A task adds up
     its shards' counts and lets go of them when it holds over task_rows keys of one length."""
     cols = [f"w{k}" for k in range(1, longest + 1)]
@@ -248,7 +250,7 @@ def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, kn
     return grams.groupBy("lang", *cols).agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 19, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 18, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """Exact counts: (lang, n) of all words, and (lang, w1..w<longest>, f, word) of all n-grams with f >= least.
 
     w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words and pairs by
@@ -266,7 +268,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
             return first.where("h is null").select("lang", "n"), grams.drop("other")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 19, filter_bytes: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 18, filter_bytes: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to `longest` words.
 
     Texts are cut into pieces at `.,;:!?` and line ends, pieces into words at spaces and tabs. a, l, r are the counts of the phrase and of the two parts of its
