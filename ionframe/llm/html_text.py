@@ -17,20 +17,22 @@ from pyspark.sql import functions as F
 from ._common import chunks, only, stored
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[a-zA-Z/!?][^<>]*(?:>|$)""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
-NEVER = frozenset("nav footer aside form button select dialog menu head svg object audio video canvas annotation annotation-xml".split())
+NEVER = frozenset("nav footer aside button select dialog menu head svg object audio video canvas annotation annotation-xml".split())
 DRAWING, EMBEDDED = frozenset(("svg",)), frozenset(("foreignobject",))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br center math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msubsup msup mtext munder munderover semantics".split())
 CONTAINERS = frozenset("article main section div body td".split())
 SEMANTIC = frozenset("article main".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
+STRUCTURE, WRAPPER = 1, 2  # what is boilerplate by its kind, and what may also wrap a whole page: forms and what is hidden
+FREED = frozenset("article main section p h1 h2 h3 h4 h5 h6 blockquote table pre dl figure".split())  # no part of a menu, button or the like that wasn't closed
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 JUNK = frozenset(
-    "ad ads adv advert adverts advertisement adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommend recommended recommendations sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond reply replies pagination pager copyright legal toolbar skip hidden search".split()
+    "ad ads adv advert adverts advertisement adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommend recommended recommendations discussion sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond reply replies pagination pager copyright legal toolbar skip hidden search".split()
 )
 # Names of what may be long beside a short main text: they give way only if they hold nearly all.
-OTHERS = frozenset("ad ads adv advert adverts advertisement adsbygoogle sponsor sponsored promo promotion newsletter comment comments disqus respond reply replies related recommend recommended recommendations cookie cookies consent gdpr".split())
+OTHERS = frozenset("ad ads adv advert adverts advertisement adsbygoogle sponsor sponsored promo promotion newsletter comment comments disqus respond reply replies related recommend recommended recommendations discussion cookie cookies consent gdpr".split())
 CONTENT = frozenset("content article post story entry main body text".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -42,12 +44,16 @@ def _step(path: int, part: str) -> int:
 
 
 class Page:
-    """Nodes (parent, tag, junk, path part, path hash) and blocks of text in page order."""
+    """Nodes in page order (parent, tag, junk, path part, path hash) and blocks of text in page order.
+
+    What is junk is judged when the page's text is known (_judge). Time grows with the page's length, whatever its nesting.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.junk, self.part, self.path = [-1], ["#root"], [False], [""], [0]
+        self.parent, self.tag, self.hard, self.part, self.path = [-1], ["#root"], [0], [""], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.named: dict[int, frozenset] = {}
+        self.unclosed: set[int] = set()
         self._raw: list[tuple[int, list]] = []
         self._text, self._at = [], 0
         self.stack, self.open = [0], {}
@@ -72,37 +78,98 @@ class Page:
                     pos = end.end() if end else n
                 continue
             self._open(tag, m[3] or "")
+        self.unclosed.update(x for x in self.stack if self.hard[x] == STRUCTURE)
         self._flush()
-        if self.named:
-            self._judge()
-        self._build()
-        if not self.blocks and self.named:  # nothing is left: read without the names
-            self.junk = list(self._hard)
+        for left_out in ("nothing", "names", "names and wrappers"):
+            self._judge(left_out)
             self._build()
+            if self.blocks or not (self.named or WRAPPER in self.hard):
+                break
 
-    def _judge(self) -> None:
-        """Junk by name, handed down: not over the <article> or <main> with two fifths of the page's text at least, nor where a name's
-        element holds four fifths of the text (19 of 20 for OTHERS) and no <article> or <main> with text stands beside it."""
-        n = len(self.tag)
-        total = [0] * n
+    def _totals(self, skip: list[bool]) -> list[int]:
+        """Each element's length of text without links, but for what lies in skipped elements."""
+        total = [0] * len(self.tag)
         for _, pieces in self._raw:
             for node, text, linked in pieces:
-                total[node] += 0 if linked else len(text.strip())
-        for x in range(n - 1, 0, -1):
+                total[node] += 0 if linked or skip[node] else len(text.strip())
+        for x in range(len(total) - 1, 0, -1):
             total[self.parent[x]] += total[x]
-        held, semantic = set(), [x for x in range(1, n) if self.tag[x] in SEMANTIC and not self.junk[x] and total[x]]
-        for tag in SEMANTIC:
-            own = [x for x in semantic if self.tag[x] == tag]
-            if own and total[top := max(own, key=lambda x: (total[x], -x))] >= 0.4 * total[0]:
-                held.update(self.up(top))
-        self._hard = list(self.junk)
-        for x in range(1, n):
-            if not self.junk[x]:
-                found = self.named.get(x)
-                most = found and total[x] > (0.95 if found <= OTHERS else 0.8) * total[0] and all(x in self.up(s) or s in self.up(x) for s in semantic)
-                self.junk[x] = self.junk[self.parent[x]] or bool(found) and x not in held and not most
+        return total
+
+    def _judge(self, left_out: str) -> None:
+        """self.junk of each element, handed down to what is in it.
+
+        Kinds of boilerplate (menus, footers, dialogs) are junk, but not where they hold every <article> and <main>, and by these two fifths
+        of the text, nor over the FREED elements in one that wasn't closed. Forms and hidden elements aren't junk if they hold the <article> or
+        <main> with most text or eight (nine) tenths of the text. Names aren't junk over that <article> or <main>, nor where an
+        element holds four fifths (19 of 20 for OTHERS) and no <article> or <main> stands beside it. left_out: rules that the page is read without.
+        """
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        last = list(range(n))  # the last element within each
+        for x in range(n - 1, 0, -1):
+            last[parent[x]] = max(last[parent[x]], last[x])
+        junk = self.junk = [False] * n
+        hard = any(self.hard)
+        total = self._totals(junk)
+
+        def semantic() -> tuple[list[int], list[int], int]:
+            """How many of the page's <article> and <main> with text come before each place, are above each element, and the one that counts most
+            (0: none has two fifths), one outside of comments and the like first."""
+            own = [x for x in range(1, n) if tag[x] in SEMANTIC and not junk[x] and total[x]]
+            before, above, aside = [0] * (n + 1), [0] * n, [False] * n
+            for x in own:
+                before[x + 1] = 1
+            for x in range(n):
+                before[x + 1] += before[x]
+            for x in range(1, n):
+                above[x] = above[parent[x]] + (before[parent[x] + 1] - before[parent[x]] if parent[x] else 0)
+                aside[x] = aside[parent[x]] or bool(self.named.get(x, frozenset()) & OTHERS)
+            plain = [x for x in own if not aside[x]]
+            for some in ("article", "main"):
+                for group, least in (([x for x in plain if tag[x] == some], 0.4 if len(plain) == len(own) else 0.1), ([x for x in own if tag[x] == some], 0.4)):
+                    if group and total[top := max(group, key=lambda x: (total[x], -x))] >= least * total[0]:
+                        return before, above, top
+            return before, above, 0
+
+        if hard:
+            before, above, top = semantic()
+            inside = lambda x: before[last[x] + 1] - before[x]
+            for x in range(1, n):
+                kept = self.hard[x] == STRUCTURE and top and x <= top <= last[x] and inside(x) == before[n]
+                own = self.hard[x] == STRUCTURE and not kept
+                junk[x] = own or junk[parent[x]] and not (tag[x] in FREED and parent[x] and self._freed(x))
+            total = self._totals(junk)
+            before, above, top = semantic()
+            for x in range(1, n):
+                if self.hard[x] >= WRAPPER and left_out != "names and wrappers":
+                    most = total[x] >= (0.8 if tag[x] == "form" else 0.9) * total[0] > 0 and inside(x) + above[x] == before[n]
+                    kept = most or top and x <= top <= last[x]
+                    junk[x] = junk[x] or not kept
+                junk[x] = junk[x] or junk[parent[x]] and not (tag[x] in FREED and self._freed(x))
+        if self.named and left_out == "nothing":
+            total = self._totals(junk)
+            before, above, top = semantic()
+            held = set(self.up(top))
+            for x in range(1, n):
+                if not junk[x]:
+                    found = self.named.get(x)
+                    most = found and total[x] > (0.95 if found <= OTHERS else 0.8) * total[0] and before[last[x] + 1] - before[x] + above[x] == before[n]
+                    by_name = bool(found) and x not in held and not most
+                    junk[x] = by_name or junk[parent[x]] and not (tag[x] in FREED and self._freed(x))
+
+    def _freed(self, x: int) -> bool:
+        """Whether an element lies in a menu or the like that wasn't closed, with only such junk above it."""
+        if not self.unclosed:
+            return False
+        at = self.parent[x]
+        while at > 0:
+            if self.hard[at] or at in self.named:
+                return at in self.unclosed
+            at = self.parent[at]
+        return False
 
     def _build(self) -> None:
+        self.blocks = []
         for at, pieces in self._raw:
             kept = [(text, linked) for node, text, linked in pieces if not self.junk[node]]
             text = " ".join(entities.unescape("".join(t for t, _ in kept)).split())
@@ -110,18 +177,19 @@ class Page:
                 self.blocks.append((at, text, sum(len(t) for t, linked in kept if linked)))
 
     def _add(self, text: str) -> None:
-        if not self.junk[self.stack[-1]]:
-            self._text.append((self.stack[-1], text, bool(self.open.get("a"))))
+        self._text.append((self.stack[-1], text, bool(self.open.get("a"))))
 
     def _flush(self) -> None:
         if self._text:
             self._raw.append((self._at, self._text))
             self._text = []
 
-    def _pop(self, depth: int) -> None:
-        """Close the elements above a depth of the stack."""
+    def _pop(self, depth: int, named: bool = False) -> None:
+        """Close the elements above a depth of the stack; named: the last of them by its own end tag."""
         while len(self.stack) > depth:
             node = self.stack.pop()
+            if self.hard[node] == STRUCTURE and not (named and len(self.stack) == depth):
+                self.unclosed.add(node)
             self.open[self.tag[node]] -= 1
             if self.tag[node] not in INLINE:
                 self._flush()
@@ -147,7 +215,7 @@ class Page:
             self._add(" ")
         depth = self._find(frozenset((tag,)), frozenset())
         if depth > 0:
-            self._pop(depth)
+            self._pop(depth, True)
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_P and (depth := self._find(DRAWING, EMBEDDED)) > 0:  # a drawing holds no blocks but embedded ones: it wasn't closed
@@ -166,14 +234,14 @@ class Page:
         if tag not in INLINE:
             self._flush()
         parent = self.stack[-1]
-        got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
+        got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
         names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{got.get('class', '')} {got.get('id', '')}").lower()
         names = re.findall(r"[a-z]+", re.sub(r"(?<![a-z])(?:has|no|not|with|without)[-_]\S*", " ", names))  # has-sidebar is no sidebar
         self.parent.append(parent)
         self.tag.append(tag)
         free = tag in ("body", "html", "article", "main")
-        self.junk.append(self.junk[parent] or not free and self._is_junk(tag, got, attrs))
-        if not free and not self.junk[-1] and (found := self._named(tag, names)):
+        self.hard.append(self._kind(tag, got, free))
+        if not free and not self.hard[-1] and (found := self._named(tag, names)):
             self.named[len(self.tag) - 1] = found
         part = ""
         if tag not in INLINE:
@@ -187,12 +255,13 @@ class Page:
         if tag not in INLINE:
             self._at = node
 
-    def _is_junk(self, tag: str, got: dict, attrs: str) -> bool:
-        if tag in NEVER or got.get("role", "").lower() in ROLES or got.get("aria-hidden") == "true":
-            return True
-        if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in got.get("style", "").replace(" ", "").lower():
-            return True
-        return tag == "header" and not any(self.open.get(t) for t in SEMANTIC)
+    def _kind(self, tag: str, got: dict, free: bool) -> int:
+        """STRUCTURE, WRAPPER or 0, from an element's tag and attributes by name."""
+        role = got.get("role", "").lower()
+        if not free and (tag in NEVER or role in ROLES or tag == "header" and not any(self.open.get(t) for t in SEMANTIC)):
+            return STRUCTURE
+        hidden = got.get("aria-hidden", "").lower() == "true" or "hidden" in got or "display:none" in got.get("style", "").replace(" ", "").lower()
+        return WRAPPER if tag == "form" or role == "form" or hidden else 0
 
     def _named(self, tag: str, names: list[str]) -> frozenset:
         """The words of junk in an element's names, to be judged when the page's text is known."""
@@ -215,22 +284,27 @@ class Page:
         """The container with the page's main text: the <article> or <main> with most text if that is
         two fifths of all, else the block parents' vote (length less links, half to the grandparent), widened
         to the outermost container that adds a twentieth at least."""
-        total: dict[int, float] = {}
+        n = len(self.tag)
+        total, filled = [0.0] * n, [False] * n
         vote: dict[int, float] = {}
         for node, text, linked in self.blocks:
             worth = max(0.0, len(text) - 1.5 * linked)
-            for x in self.up(node):
-                total[x] = total.get(x, 0.0) + worth
+            total[node] += worth
+            filled[node] = True
             holder = node if self.tag[node] in CONTAINERS else self.parent[node]
             for share in (1.0, 0.5):
                 if holder > 0:
                     vote[holder] = vote.get(holder, 0.0) + share * worth
                     holder = self.parent[holder]
-        whole = max(total.values(), default=0.0)
+        for x in range(n - 1, 0, -1):
+            total[self.parent[x]] += total[x]
+            filled[self.parent[x]] |= filled[x]
         for tag in ("article", "main"):
-            own = [x for x in total if self.tag[x] == tag]
-            if own and total[top := max(own, key=lambda x: (total[x], -x))] >= 0.4 * whole:
-                return top
+            own = [x for x in range(1, n) if self.tag[x] == tag and filled[x]]
+            if own:
+                top = max(own, key=lambda x: (total[x], -x))
+                if total[top] >= 0.4 * total[0] or sum(total[x] for x in own if self.path[x] == self.path[top]) >= 0.4 * total[0] and self._story(top, own, total) != top:
+                    return self._story(top, own, total)
         ranked = [x for x in vote if self.tag[x] in CONTAINERS]
         if not ranked:
             return next((i for i, t in enumerate(self.tag) if t == "body"), 0)
@@ -240,6 +314,16 @@ class Page:
                 top = x
         return top
 
+    def _story(self, top: int, own: list[int], total: list[float]) -> int:
+        """top, unless it is one of several alike (posts of a thread) after a single one with a heading of the first level and a tenth of the text."""
+        alike = sum(self.path[x] == self.path[top] for x in own)
+        if alike > 1:
+            heads = [x for x, t in enumerate(self.tag) if t == "h1"]
+            for x in own:
+                if x < top and sum(self.path[y] == self.path[x] for y in own) == 1 and total[x] >= 0.1 * total[0] and any(x in self.up(h) for h in heads[:1]):
+                    return x
+        return top
+
     def text(self, roots: list[int]) -> str:
         inside = [False] * len(self.tag)
         for x in roots:
