@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections import deque
@@ -25,32 +26,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(json_path: str | None = None):
-    """text -> uint32 ids of a byte-level BPE vocabulary.
+def encoder(json_path: str | None = None, special: bool = True):
+    """text -> uint32 ids of a byte-level BPE vocabulary, as the tokenizers library gives them with add_special_tokens=False.
 
-    A vocabulary that lies beside its rank file (same name, `.tiktoken`) is run from the ranks:
-    the ids are those of the tokenizers library at several times its speed (a test compares
-    them). Any other file goes through the tokenizers library. Strings of special tokens in a
-    text are ordinary text either way.
+    Added tokens of the file, such as <|endoftext|>, that stand in a text get their own id, as the library's default is; with
+    special=False they are ordinary text. A vocabulary that lies beside its rank file (same name, `.tiktoken`) is run from the ranks: the ids
+    are the same at several times the speed (a test compares them). Any other file, and one whose added tokens
+    strip or need word borders, goes through the tokenizers library.
     """
     json_path = json_path or tokenizer_path("byte_bpe_50k.json")
-    if json_path not in _LOADED:
+    if (json_path, special) not in _LOADED:
         ranks_path = os.path.splitext(json_path)[0] + ".tiktoken"
-        if os.path.exists(ranks_path):
+        with open(json_path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if os.path.exists(ranks_path) and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
             import public_tokenizers
             import tiktoken
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding(os.path.basename(json_path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _LOADED[json_path] = lambda text: enc.encode_to_numpy(text, disallowed_special=())
+            own = {t["content"]: t["id"] for t in added} if special else {}
+            enc = tiktoken.Encoding(os.path.basename(json_path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
+            _LOADED[json_path, special] = lambda text: enc.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         else:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(json_path)
-            tok.encode_special_tokens = True
-            _LOADED[json_path] = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
-    return _LOADED[json_path]
+            tok.encode_special_tokens = not special
+            _LOADED[json_path, special] = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+    return _LOADED[json_path, special]
 
 
 def pack_vectors(tokens: np.ndarray, loss: np.ndarray, room: int, max_segments: int, max_loss: int) -> list[list[int]]:
@@ -150,7 +154,7 @@ def _lay_out(pieces: list[tuple], room: int, max_segments: int, max_loss: int, n
     return rows, back, next_id
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent_col: str | None = None, length: int = 1024, max_segments: int = 64, max_loss: int | None = None, end_id: int = 0, path: str | None = None, window: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent_col: str | None = None, length: int = 1024, max_segments: int = 64, max_loss: int | None = None, end_id: int = 0, path: str | None = None, window: int = 4096, special: bool = True) -> DataFrame:
     """Pack whole documents into sequences of at most `length` tokens; one row per piece.
 
     Each document is its ids and then end_id. silent_col may name a column with the number of
@@ -162,6 +166,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent
     cut to powers of two, so no sequence has padding.
     Where max_loss is less than length, cuts also keep a piece within it.
 
+    Strings of the vocabulary's added tokens in a text are those tokens, or with special=False ordinary text.
+
     Every partition of the input packs alone, without a shuffle; sequence_id is the partition
     number times 2^40 plus a counter, so a task that runs again gives the same rows.
 
@@ -175,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent
     named = {"doc_id": id_col, "text": text_col} | ({"silent": silent_col} if silent_col else {})
 
     def run(batches):
-        ids_of = encoder(path)
+        ids_of = encoder(path, special)
         next_id = TaskContext.get().partitionId() << 40
         pool: list[tuple] = []
         names = [x.split(" ")[0] for x in PIECES.split(", ")]
@@ -198,7 +204,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", silent
                         bearing = n - max(0, min(quiet - at, n))
                         if bearing > cap:
                             n, bearing = n - (bearing - cap), cap
-                        pool.append((doc, at, n, bearing, ids[at : at + n], whole, quiet))
+                        pool.append((doc, at, n, bearing, ids[at : at + n].copy(), whole, quiet))  # a copy lets go of the document
                         at += n
                 if len(pool) >= window:
                     more, pool, next_id = _lay_out(pool, length, max_segments, cap, next_id, False)
