@@ -239,7 +239,7 @@ def best_of(rows) -> list[tuple]:
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 4 << 20) -> Iterator[Block]:
     """Blocks of the benchmark of about block_bytes of text each, built one at a time: what is sent to the
     executors and held by the driver is bounded; a larger benchmark makes more blocks, each asked in its turn. Statistics are
-    counted once over the whole benchmark, by Spark. Null ids or texts are left out. A repeated id keeps each of its texts."""
+    counted once over the whole benchmark, by Spark. Null ids or texts are left out. A repeated id keeps each of its texts, all in one block."""
     items = only(benchmark, item_id=id_col, text=text_col).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
@@ -253,7 +253,7 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
                 rows = [(b, len(ws), x, y) for b, t in zip(part.column("block").to_pylist(), part.column("text").to_pylist(), strict=True) for ws in [words(t)] for x, y in {*zip(ws, ws[1:], strict=False)} or {(None, None)}]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "x", "y"])
 
-    items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), "items")
+    items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")), "items")
     terms = stored(items.mapInArrow(pairs, "block int, n long, x binary, y binary"), "terms")
     df = stored(terms.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("df")), "df")
     size = items.mapInArrow(_lengths, "n long").agg(F.count("*").alias("items"), F.avg("n").alias("mean")).head()
