@@ -134,9 +134,9 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _check(batches):
-    for batch in batches:
-        ok = [one_edit(split_words(a), split_words(b)) for a, b in zip(batch.column("line").to_pylist(), batch.column("first_line").to_pylist(), strict=True)]
-        yield batch.select(["doc_id", "line_no"]).filter(pa.array(ok, pa.bool_()))
+    for part in (x for batch in batches for half in chunks(batch, "line") for x in chunks(half, "first_line")):
+        ok = [one_edit(split_words(a), split_words(b)) for a, b in zip(part.column("line").to_pylist(), part.column("first_line").to_pylist(), strict=True)]
+        yield part.select(["doc_id", "line_no"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _strip(batches):
@@ -155,7 +155,7 @@ def _strip(batches):
             yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[:-1], "n_lines", "n_removed"])
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, edit_words: int = 10) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, edit_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of every line that goes; lines are numbered from 0 within a text.
 
     Whether an earlier line exists decides, not whether that line is kept itself. A key's earliest line stands for all that

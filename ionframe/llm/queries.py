@@ -103,12 +103,12 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": f"""WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
   l AS (SELECT doc_id, i-1 AS k, doc_id*10000000 + i AS pos, p[i] AS line, {_WORDS.format("p[i]")} AS ws FROM parts, unnest(range(1, len(p)+1)) t(i)),
   m AS (SELECT *, len(ws) AS n, array_to_string(ws, ' ') AS f FROM l),
-  v AS (SELECT pos, n, j, array_to_string(list_concat(ws[:j-1], ws[j+1:]), ' ') AS g FROM m, unnest(range(1, n+1)) t(j) WHERE n >= 10),
-  ff AS (SELECT f, min(pos) AS first FROM m WHERE n >= 10 GROUP BY f), fg AS (SELECT g, min(pos) AS first FROM v GROUP BY g),
+  v AS (SELECT pos, n, j, array_to_string(list_concat(ws[:j-1], ws[j+1:]), ' ') AS g FROM m, unnest(range(1, n+1)) t(j) WHERE n >= 5),
+  ff AS (SELECT f, min(pos) AS first FROM m WHERE n >= 5 GROUP BY f), fg AS (SELECT g, min(pos) AS first FROM v GROUP BY g),
   gone AS (SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY f) AS first FROM m WHERE n >= 5) WHERE first < pos
     UNION SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, j, g) AS first FROM v) WHERE first < pos
     UNION SELECT v.pos FROM v JOIN ff ON v.g = ff.f WHERE ff.first < v.pos
-    UNION SELECT m.pos FROM m JOIN fg ON m.f = fg.g WHERE m.n >= 10 AND fg.first < m.pos)
+    UNION SELECT m.pos FROM m JOIN fg ON m.f = fg.g WHERE m.n >= 5 AND fg.first < m.pos)
   SELECT m.doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.pos IS NULL), '') AS text, count(*) AS n_lines, count(gone.pos) AS n_removed FROM m LEFT JOIN gone ON gone.pos = m.pos GROUP BY m.doc_id""",
     "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
   v AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
