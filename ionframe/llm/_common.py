@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_UNSET: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _UNSET:
-        _UNSET[app] = tempfile.mkdtemp(prefix="ionframe-")
-    return _UNSET[app]
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: later jobs start from
-    files that outlive any executor, and the planner knows the table's size."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import shared_dir, stored  # noqa: F401  the operators take them from here
 
 
 def only(df: DataFrame, **named: str) -> DataFrame:
