@@ -16,6 +16,7 @@ from ._common import chunks, mix64, only, stored
 _BREAK = b"\xff"  # never a byte of UTF-8
 _TABLE = bytes(32 if c == 9 else 255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
 _PROBES = 3
+_FILTERED = 3  # n-grams of up to so many words are counted first, and longer ones only where all these within them are frequent
 
 
 def split(text: str) -> list[bytes]:
@@ -142,8 +143,8 @@ def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, sche
     return docs.mapInArrow(run, schema)
 
 
-def _first_counts(docs: DataFrame, seed: int, shard_words: int) -> DataFrame:
-    """(lang, h, n): counts of words and word pairs by hash (lang null), and the number of words of each language (h null)."""
+def _first_counts(docs: DataFrame, seed: int, shard_words: int, longest: int) -> DataFrame:
+    """(lang, h, n): counts of n-grams of up to _FILTERED words by hash (lang null), and the number of words of each language (h null)."""
 
     def emit(_, ids, hashes, lang, lang_hash, names, langs, found):
         for n, starts, counts in found:
@@ -153,7 +154,7 @@ def _first_counts(docs: DataFrame, seed: int, shard_words: int) -> DataFrame:
             h = _gram_hash(hashes, lang_hash, ids, starts, n).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.array(h), pa.array(counts.astype(np.int64))], names=["lang", "h", "n"])
 
-    return _scan(docs, seed, 2, shard_words, emit, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    return _scan(docs, seed, min(_FILTERED, longest), shard_words, emit, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
 def _filter_of(frequent: DataFrame, most_bytes: int) -> np.ndarray:
@@ -195,7 +196,7 @@ class _Merged:
 
 
 def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, task_rows: int = 150_000) -> DataFrame:
-    """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams whose words and pairs pass the filter. A task adds up
+    """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams that pass the filter, and of longer ones all of whose parts pass. A task adds up
     its shards' counts and lets go of them when it holds over task_rows keys of one length."""
     cols = [f"w{k}" for k in range(1, longest + 1)]
 
@@ -216,18 +217,18 @@ def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, kn
             state |= {"langs": [], "merged": {n: _Merged() for n in range(1, longest + 1)}}
         state["langs"] += [x for x in langs if x not in state["langs"]]
         lang_of = np.array([state["langs"].index(x) for x in langs] or [0])[lang]
-        good = np.zeros(len(ids) + longest, bool)  # by the start of a pair
-        alone = np.zeros(len(hashes), bool)
+        passed = {0: ids != 0}  # by length: the starts of n-grams that pass
         for n, starts, counts in found:
-            if n == 1:
-                alone[ids[starts]] = _passes(known.value, _gram_hash(hashes, lang_hash, ids, starts, 1))
-                keep = alone[ids[starts]]
-            elif n == 2:
-                both = np.flatnonzero(alone[ids[:-1]] & alone[ids[1:]])
-                good[both] = _passes(known.value, _gram_hash(hashes, lang_hash, ids, both, 2))
-                keep = good[starts]
+            if n <= _FILTERED:
+                inner = passed[n - 1].copy()
+                inner[: len(ids) - n + 1] &= passed[n - 1][1 : len(ids) - n + 2] if n > 1 else True
+                inner[max(0, len(ids) - n + 1) :] = False
+                at = np.flatnonzero(inner)
+                passed[n] = np.zeros(len(ids), bool)
+                passed[n][at] = _passes(known.value, _gram_hash(hashes, lang_hash, ids, at, n))
+                keep = passed[n][starts]
             else:
-                keep = np.logical_and.reduce([good[starts + k] for k in range(n - 1)])
+                keep = np.logical_and.reduce([passed[_FILTERED][starts + k] for k in range(n - _FILTERED + 1)])
             starts, counts = starts[keep], counts[keep].astype(np.int64)
             keys = np.stack([hashes[ids[starts + k]] for k in range(n)], 1)
             merged = state["merged"][n]
@@ -253,15 +254,15 @@ def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, kn
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 18, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """Exact counts: (lang, n) of all words, and (lang, w1..w<longest>, f, word) of all n-grams with f >= least.
 
-    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words and pairs by
-    one hash each; an n-gram can only be frequent if its words and pairs are. Those go into a bit filter of at most filter_bytes, the only
+    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words, pairs and triples by
+    one hash each; an n-gram can only be frequent if those within it are. The frequent ones go into a bit filter of at most filter_bytes, the only
     thing sent to all tasks; the second scan counts what passes, by its words. Should two words share a hash, both are among
     the second scan's words: then it is all done again with another seed.
     """
     docs = only(docs, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     spark = docs.sparkSession
     for seed in itertools.count():
-        first = stored(_first_counts(docs, seed, shard_words).where(F.col("h").isNull() | (F.col("n") >= least)), "pairs")
+        first = stored(_first_counts(docs, seed, shard_words, longest).where(F.col("h").isNull() | (F.col("n") >= least)), "pairs")
         known = spark.sparkContext.broadcast(_filter_of(first.where("h is not null"), filter_bytes))
         grams = stored(_exact_counts(docs, seed, shard_words, longest, known).where(F.col("f") >= least), "grams")
         if grams.where("word <> other").isEmpty():
