@@ -23,6 +23,36 @@ def _moved(moments: np.ndarray, by: np.ndarray, scale=1.0) -> np.ndarray:
     return ((_CHOOSE * (by**_POWERS)[..., _LAG]) * (moments * scale**_POWERS)[..., None, :]).sum(-1)
 
 
+def local_sums(xi: np.ndarray, low: np.ndarray, h: np.ndarray, k: int, blocks: tuple, before: np.ndarray, after: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Weighted lines of neighbouring points xi at themselves, over windows of k places from low and of reach h. The blocks (moments, middles, half widths) that lie
+    wholly before or after the points in all windows enter by their moments, the other rows (places `at`) one by one. own: y of the points, which
+    stay where a window has no weight."""
+    moments, mid, half = blocks
+    pivot = (xi[0] + xi[-1]) / 2
+    sums = np.zeros((5, len(xi)))  # of weights, w d, w d d, w y, w y d, with d in units of the reach
+    for side, sign in ((before, 1.0), (after, -1.0)):
+        if len(side):
+            top = h.max()
+            shifted = _moved(moments[:, side], (mid[side] - pivot) / top, half[side] / top).sum(1)
+            t = _moved(shifted[:, None], np.broadcast_to((pivot - xi) / top, (2, len(xi)))) * (top / h)[:, None] ** _POWERS
+            cube = lambda m, q: m[:, q] + sign * 3 * m[:, q + 3] + 3 * m[:, q + 6] + sign * m[:, q + 9]  # noqa: B023, E731
+            sums += [cube(t[0], 0), cube(t[0], 1), cube(t[0], 2), cube(t[1], 0), cube(t[1], 1)]
+    for part in np.array_split(np.arange(len(at)), max(1, len(at) * len(xi) // 4_000_000)):
+        d = (x[part] - xi[:, None]) / h[:, None]
+        u = np.abs(d)
+        v = np.clip(1 - u * u * u, 0, None)
+        v = np.where((at[part] >= low[:, None]) & (at[part] < low[:, None] + k), v * v * v, 0) * w[part]
+        vd = v * d
+        sums += [v.sum(1), vd.sum(1), (vd * d).sum(1), v @ y[part], vd @ y[part]]
+    s0, s1, s2, sy, s1y = sums
+    some = s0 > 1e-12
+    s0 = np.where(some, s0, 1)
+    spread = s2 - s1 * s1 / s0
+    steep = spread > 1e-12
+    slope = np.where(steep, (s1y - s1 * sy / s0) / np.where(steep, spread, 1), 0)
+    return np.where(some, (sy - slope * s1) / s0, own)
+
+
 def _local_lines(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lo: np.ndarray, k: int) -> np.ndarray:
     """The weighted line of every window [lo, lo + k) at its own x. The tricube weight is a polynomial on each side of a point, so blocks
     that lie wholly on one side in all windows of a block of points enter by their moments; the rest is summed row by row."""
@@ -38,37 +68,16 @@ def _local_lines(x: np.ndarray, y: np.ndarray, weight: np.ndarray, lo: np.ndarra
     reach = np.maximum(np.maximum(x - x[lo], x[lo + k - 1] - x), 1e-300)
     fit = np.empty(n)
     for b, (first, last) in enumerate(zip(starts, ends, strict=True)):
-        xi, low, h = x[first:last], lo[first:last], 1.0001 * reach[first:last]
+        low, h = lo[first:last], 1.0001 * reach[first:last]
         inside = np.flatnonzero((starts >= low[-1]) & (ends <= low[0] + k))
         # Moments lose no digits only where the windows of the block are alike and much wider than it.
         inside = inside[inside != b] if h.max() <= 1.5 * h.min() and half[b] <= h.min() / 8 else inside[:0]
-        sums = np.zeros((5, last - first))  # of weights, w d, w d d, w y, w y d, with d in units of the reach
-        for side, sign in ((inside[inside < b], 1.0), (inside[inside > b], -1.0)):
-            if len(side):
-                top = h.max()
-                at = _moved(moments[:, side], (mid[side] - mid[b]) / top, half[side] / top).sum(1)
-                t = _moved(at[:, None], np.broadcast_to((mid[b] - xi) / top, (2, len(xi)))) * (top / h)[:, None] ** _POWERS
-                cube = lambda m, q: m[:, q] + sign * 3 * m[:, q + 3] + 3 * m[:, q + 6] + sign * m[:, q + 9]  # noqa: B023, E731
-                sums += [cube(t[0], 0), cube(t[0], 1), cube(t[0], 2), cube(t[1], 0), cube(t[1], 1)]
         whole = np.zeros(n, bool)
         for c in inside:
             whole[starts[c] : ends[c]] = True
-        span = np.arange(low[0], low[-1] + k)
-        span = span[~whole[span]]
-        for part in np.array_split(span, max(1, len(span) * len(xi) // 4_000_000)):
-            d = (x[part] - xi[:, None]) / h[:, None]
-            u = np.abs(d)
-            w = np.clip(1 - u * u * u, 0, None)
-            w = np.where((part >= low[:, None]) & (part < low[:, None] + k), w * w * w, 0) * weight[part]
-            wd = w * d
-            sums += [w.sum(1), wd.sum(1), (wd * d).sum(1), w @ y[part], wd @ y[part]]
-        s0, s1, s2, sy, s1y = sums
-        some = s0 > 1e-12
-        s0 = np.where(some, s0, 1)
-        spread = s2 - s1 * s1 / s0
-        steep = spread > 1e-12
-        slope = np.where(steep, (s1y - s1 * sy / s0) / np.where(steep, spread, 1), 0)
-        fit[first:last] = np.where(some, (sy - slope * s1) / s0, y[first:last])
+        at = np.arange(low[0], low[-1] + k)
+        at = at[~whole[at]]
+        fit[first:last] = local_sums(x[first:last], low, h, k, (moments, mid, half), inside[inside < b], inside[inside > b], at, x[at], y[at], weight[at], y[first:last])
     return fit
 
 
@@ -109,6 +118,22 @@ def interpolation(x: Column, knots: np.ndarray, values: np.ndarray) -> Column:
     return y0 + (y1 - y0) * (inner - x0) / (x1 - x0)
 
 
+def even_grid(knots: np.ndarray, values: np.ndarray, n: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A curve on n evenly spaced knots, which a column expression finds without a search."""
+    at = np.linspace(knots[0], knots[-1], n if len(knots) > 1 and knots[-1] > knots[0] else 1)
+    return at, np.interp(at, knots, values)
+
+
+def on_grid(x: Column, knots: np.ndarray, values: np.ndarray) -> Column:
+    """Linear interpolation on an even grid, clamped at its ends."""
+    if len(knots) == 1:
+        return F.lit(float(values[0]))
+    vs, step = F.array(*[F.lit(float(v)) for v in values]), float(knots[1] - knots[0])
+    at = F.greatest(F.lit(0.0), F.least(F.lit(float(len(knots) - 1)), (x - F.lit(float(knots[0]))) / step))
+    i = F.least(F.floor(at), F.lit(len(knots) - 2)).cast("int")
+    return F.get(vs, i) + (F.get(vs, i + 1) - F.get(vs, i)) * (at - i)
+
+
 def thin(knots: np.ndarray, values: np.ndarray, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """A curve at most so many knots, evenly by rank, with its ends."""
     pick = np.unique(np.linspace(0, len(knots) - 1, min(most, len(knots))).round().astype(int))
@@ -116,11 +141,17 @@ def thin(knots: np.ndarray, values: np.ndarray, most: int = 200) -> tuple[np.nda
 
 
 def gaussian_sigma(errors, bins: int = 50, steps: int = 100) -> tuple[float, float]:
-    """(mean, sigma) of a Gaussian fitted to a histogram by damped Gauss-Newton from its tallest bin."""
+    """(mean, sigma) of a Gaussian fitted to a histogram of errors."""
     errors = np.asarray(errors, float)
     counts, edges = np.histogram(errors, bins)
+    return gaussian_of_counts(counts, edges, errors.std(), steps)
+
+
+def gaussian_of_counts(counts, edges, spread: float, steps: int = 100) -> tuple[float, float]:
+    """(mean, sigma) of a Gaussian fitted to a histogram by damped Gauss-Newton from its tallest bin; spread: the values' standard deviation."""
+    counts, edges = np.asarray(counts, float), np.asarray(edges, float)
     x = (edges[:-1] + edges[1:]) / 2
-    p = np.array([counts.max(), x[counts.argmax()], max(errors.std(), 1e-12)])
+    p = np.array([counts.max(), x[counts.argmax()], max(spread, 1e-12)])
     damp, f = 1e-3, lambda q: q[0] * np.exp(-((x - q[1]) ** 2) / (2 * q[2] ** 2))
     for _ in range(steps):
         g = f(p)
@@ -186,14 +217,24 @@ def step_spline(x, y, steps: int = 2, knots: int = 8) -> tuple[np.ndarray, np.nd
     return at, values
 
 
+Curve = tuple[tuple[float, ...], tuple[float, ...]]
+
+
 @dataclass(frozen=True)
 class Calibration:
-    """Curves as knot tables, and tolerances; plain values, so they can be stored as JSON."""
+    """Curves as knot tables, and tolerances; plain values, so they can be stored as JSON.
+
+    rt: run time on library time. mz_by_rt and mz_by_mz: relative errors of survey peaks on run time and, of what is left, on m/z;
+    frag_by_rt and frag_by_mz: those of fragment peaks. rt_tol, ms1_tol and mz_tol are what residuals ask for.
+    """
 
-    rt: tuple[tuple[float, ...], tuple[float, ...]]
-    mz_by_rt: tuple[tuple[float, ...], tuple[float, ...]]
-    mz_by_mz: tuple[tuple[float, ...], tuple[float, ...]]
+    rt: Curve
+    mz_by_rt: Curve
+    mz_by_mz: Curve
+    frag_by_rt: Curve
+    frag_by_mz: Curve
     rt_tol: float
+    ms1_tol: float
     mz_tol: float
 
     def as_json(self) -> str:
@@ -207,17 +248,15 @@ class Calibration:
     def predicted_rt(self, irt: Column) -> Column:
         return interpolation(irt, *map(np.array, self.rt))
 
-    def corrected_mz(self, mz: Column, rt: Column) -> Column:
-        return mz + mz * (interpolation(mz, *map(np.array, self.mz_by_mz)) + interpolation(rt, *map(np.array, self.mz_by_rt)))
+    def _error(self, mz: Column, rt: Column, level: int) -> Column:
+        by_rt, by_mz = (self.mz_by_rt, self.mz_by_mz) if level == 1 else (self.frag_by_rt, self.frag_by_mz)
+        return on_grid(rt, *even_grid(*map(np.array, by_rt))) + on_grid(mz, *even_grid(*map(np.array, by_mz)))
 
+    def corrected_mz(self, mz: Column, rt: Column, level: int = 1) -> Column:
+        """Where the instrument shows a true m/z at a time: in survey scans (level 1) or among fragments (2)."""
+        return mz + mz * self._error(mz, rt, level)
 
-def calibrate(irt, rt, mz, mz_error, frac: float = 0.2) -> Calibration:
-    """From probe matches: RT curve on iRT, relative mass error on RT and its rest on m/z; RT tolerance from the error
-    boundary, mass tolerance four sigma."""
-    pack = lambda k: tuple(tuple(float(v) for v in a) for a in thin(*k))
-    curve = lowess(irt, rt, frac)
-    rest = np.asarray(rt, float) - np.interp(irt, *curve)
-    by_rt = lowess(rt, mz_error, frac)
-    left = np.asarray(mz_error, float) - np.interp(rt, *by_rt)
-    by_mz = lowess(mz, left, frac)
-    return Calibration(pack(curve), pack(by_rt), pack(by_mz), error_boundary(rest)[0], 4 * gaussian_sigma(left - np.interp(mz, *by_mz))[1])
+    def corrected_peaks(self, mz: Column, rt: Column, level: Column) -> Column:
+        """An array of observed m/z without the instrument's error, by the scan's level; the order stays."""
+        move = lambda n: F.transform(mz, lambda m: m / (1 + self._error(m, rt, n)))
+        return F.when(level == 1, move(1)).otherwise(move(2))

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import nearest, nearest_match
+from ..shared import stored
+from .joins import nearest, nearest_match, range_join
 from .solve import nnls
 from .traces import pearson
 
@@ -29,21 +30,42 @@ def survey_errors(cands: DataFrame, scans: DataFrame, rel: float) -> DataFrame:
     return at.join(hit, ["run", "ms1_rt", "prec_id"]).select("scan_num", "prec_id", F.col("rel_error").alias("mz_error"))
 
 
-def survey_areas(best: DataFrame, scans: DataFrame, rel: float, half: int = 10, n: int = 6) -> DataFrame:
-    """(run, prec_id, ms1_area, ms1_int, iso_cor): from the survey scans within `half` of each precursor's best fragment scan, the trapezoid area of its
-    monoisotopic trace, the largest value of it, and the mean correlation of its other isotopes' traces with it.
-    best: run, prec_id, scan_num, prec_mz, charge; scans: run, scan_num, ms_level, rt, mz[], intensity[]."""
-    from .traces import trapezoid
+def survey_areas(best: DataFrame, scans: DataFrame, rel: float, half: int = 10, n: int = 6, axis: str = "scan_num", coefficients: DataFrame | None = None) -> DataFrame:
+    """Quantities of precursors from the survey scans within `half` of the one nearest each one's best fragment scan, per (run, prec_id):
 
+    ms1_area, the trapezoid area of the monoisotopic trace over the scans' numbers (the column `axis`); ms1_int, the slope through the origin of the isotopes seen in the nearest survey
+    scan on the theoretical ones, and iso_cor, Pearson's r of the two; peak_left, peak_right, peak_area, the bases and area (over time) of the trace's peak nearest that scan; with
+    coefficients (run, prec_id, rt, coeff of all matches), ms1_cor, the correlation of the monoisotopic trace with the coefficients (0 in a possible fragment scan
+    without a match) interpolated at the survey scans' times, and traceproduct of it and of the next two isotopes'.
+    best: run, prec_id, scan_num, prec_mz, charge, isotopes (theoretical shares); scans: run, scan_num, ms_level, rt, mz[], intensity[] and the axis.
+    """
+    from .traces import interpolate, isotope_fit, trace_product, trapezoid
+
+    key = ["run", "prec_id"]
     ms1 = scans.where("ms_level = 1").withColumn("peaks", F.arrays_zip("mz", "intensity")).drop("mz", "intensity")
     near = nearest_survey(scans.select("run", "scan_num", "ms_level", "rt")).select("run", "scan_num", F.col("ms1_rt").alias("rt"))
-    apex = best.join(near, ["run", "scan_num"]).join(ms1.select("run", "rt", F.col("scan_num").alias("ms1_scan")), ["run", "rt"])
-    hood = survey_neighbourhood(apex.select("run", "prec_id", "ms1_scan", F.col("prec_mz").alias("mz"), F.col("charge").alias("z")), ms1, half)
-    traces = isotope_traces(hood, rel, n)
-    mono = traces.where("iso = 0").drop("iso")
-    area = trapezoid(mono, ["run", "prec_id"], "ms1_rt", "intensity", "ms1_area").join(mono.groupBy("run", "prec_id").agg(F.max("intensity").alias("ms1_int")), ["run", "prec_id"])
-    cor = trace_correlations(traces.where("iso > 0"), mono, ["run", "prec_id"], "scan_num", "intensity").groupBy("run", "prec_id").agg(F.avg("r").alias("iso_cor"))
-    return area.join(cor, ["run", "prec_id"], "left")
+    apex = stored(best.join(near, ["run", "scan_num"]).join(ms1.select("run", "rt", F.col("scan_num").alias("ms1_scan")), ["run", "rt"]), "apex")
+    hood = survey_neighbourhood(apex.select(*key, "ms1_scan", F.col("prec_mz").alias("mz"), F.col("charge").alias("z")), ms1, half)
+    traces = stored(isotope_traces(hood, rel, n), "traces")
+    mono = traces.where("iso = 0").drop("iso").join(ms1.select("run", "scan_num", *([F.col(axis).alias("_axis")] if axis != "scan_num" else [])), ["run", "scan_num"])
+    out = trapezoid(mono, key, "_axis" if axis != "scan_num" else "scan_num", "intensity", "ms1_area")
+    theory = apex.select(*key, F.col("ms1_scan").alias("scan_num"), F.posexplode("isotopes").alias("iso", "theory"))
+    fit = isotope_fit(traces.join(theory, [*key, "scan_num", "iso"]), key, "theory", "intensity").select(*key, F.col("slope").alias("ms1_int"), F.col("r").alias("iso_cor"))
+    peak = picked(mono.select(*key, "ms1_rt", "intensity").join(apex.select(*key, F.col("rt").alias("apex")), key), key, "ms1_rt", "intensity", "apex")
+    out = out.join(fit, key, "left").join(peak.select(*key, F.col("left").alias("peak_left"), F.col("right").alias("peak_right"), F.col("area").alias("peak_area")), key, "left")
+    if coefficients is None:
+        return out
+    span = traces.groupBy(*key).agg(F.min("ms1_rt").alias("_from"), F.max("ms1_rt").alias("_to")).join(best.select(*key, "prec_mz"), key)
+    knots = possible_scans(span, scans).join(coefficients.select(*key, "rt", "coeff"), [*key, "rt"], "left").select(*key, F.col("rt").alias("ms1_rt"), F.coalesce("coeff", F.lit(0.0)).alias("coeff"))
+    seen = interpolate(mono.select(*key, "scan_num", "ms1_rt"), knots, key, "ms1_rt", "coeff", "intensity").drop("ms1_rt")
+    cors = trace_correlations(traces.where("iso < 3"), seen, key, "scan_num", "intensity").groupBy(*key).agg(*[F.max(F.when(F.col("iso") == i, F.col("r"))).alias(f"_c{i}") for i in range(3)])
+    return out.join(cors.select(*key, F.col("_c0").alias("ms1_cor"), trace_product("_c0", "_c1", "_c2").alias("traceproduct")), key, "left")
+
+
+def possible_scans(precursors: DataFrame, scans: DataFrame, width: float = 10.0) -> DataFrame:
+    """(run, prec_id, rt): the fragment scans whose window holds a precursor's m/z, from its time _from to _to."""
+    ms2 = scans.where("ms_level = 2").select("run", "rt", "win_lo", "win_hi")
+    return range_join(precursors, "prec_mz", ms2, "win_lo", "win_hi", width, ["run"], open_lo=False).where("rt between _from and _to").select("run", "prec_id", "rt")
 
 
 def nearest_peak(mz: Column, peaks: Column, tol: Column, inclusive: bool = True) -> Column:

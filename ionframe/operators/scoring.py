@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
-from .ranks import monotone, running
+from .ranks import exact_medians, monotone, running
 
 
 def qvalues(df: DataFrame, decoy: Column, score: str, ids: list[str], out: str = "qvalue", made_monotone: bool = False) -> DataFrame:
@@ -32,8 +32,8 @@ def nearby_extreme(df: DataFrame, on: list[str], position: list, peak: list, val
 
 
 def protein_qvalues(df: DataFrame, protein: str, decoy: str, score: str, out: str = "protein_qvalue") -> DataFrame:
-    """Targets' q-values by protein from the best score per (protein, decoy)."""
-    best = df.groupBy(protein, decoy).agg(F.max(score).alias("_best"))
+    """Targets' q-values by protein from the best score per (protein, decoy), which are stored: ranks read them several times."""
+    best = stored(df.groupBy(protein, decoy).agg(F.max(score).alias("_best")), "proteins")
     return qvalues(best, F.col(decoy) == 1, "_best", [protein, decoy], out).where(F.col(decoy) == 0).select(protein, out)
 
 
@@ -47,6 +47,15 @@ def with_channels_matched(df: DataFrame, on: list[str], out: str = "channels_mat
     return df.withColumn(out, F.count("*").over(Window.partitionBy(*on)))
 
 
+def with_fragment_medians(psm: DataFrame, on: list[str], errors: str = "frag_errors", out: str = "med_frag_error") -> DataFrame:
+    """psm with the median distance of each match's fragment errors (an array) from the median of all fragment errors of its run (the columns `on`)."""
+    centre = exact_medians(psm.select(*on, F.explode(errors).alias("_e")), on, "_e", "_centre")
+    off = F.array_sort(F.transform(errors, lambda e: F.abs(F.col("_centre") - e)))
+    n = F.size(off)
+    middle = (F.get(off, F.floor((n - 1) / 2).cast("int")) + F.get(off, F.floor(n / 2).cast("int"))) / 2
+    return psm.join(centre, on, "left").withColumn(out, F.when(n > 0, middle)).drop("_centre")
+
+
 def rank_score(df: DataFrame, on: list[str], orders: list, out: str = "rank_score") -> DataFrame:
     """df with the sum of each row's ranks within its key under several orders (lists of sort columns), the first place 1."""
     w = Window.partitionBy(*on)

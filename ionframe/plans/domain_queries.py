@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import peptide
-from ..functions.constants import PROTON, RESIDUE_ATOMS, RESIDUE_MASS, SUBSTITUTE, WATER
+from ..functions.constants import ISOTOPES, PROTON, RESIDUE_ATOMS, RESIDUE_MASS, SUBSTITUTE, WATER
 from ..operators import features, joins, probes, quant, scoring, spectra, traces
 from ..shared import shared_dir
 from ..sources import readers, writers
@@ -56,9 +56,47 @@ def compositions(spark, sf_dir):
 
 @query(f"""SELECT p_partkey, unnest(list_distinct(list_filter(string_split(replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '|P', 'P'), '|'), lambda x: len(x) BETWEEN 2 AND 50))) AS peptide FROM (SELECT p_partkey, {SEQ} AS seq FROM part) x""")
 def digest_parts(spark, sf_dir):
+    """By expressions; sql_digest is the table function."""
     return parts(spark, sf_dir).select("p_partkey", F.explode(peptide.digest(F.col("seq"), 0, 2, 50)).alias("peptide"))
 
 
+_SHARES = {a: v for a, v in ISOTOPES.items()}
+_COUNT = {a: f"list_sum(list_transform(string_split(seq, ''), lambda c: map_extract(MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {v[i]}' for k, v in RESIDUE_ATOMS.items())}}}, c)[1])) + {w}" for i, (a, w) in enumerate(zip("CHNOS", (0, 2, 0, 1, 0), strict=True))}
+_MONO = " * ".join(f"pow({_SHARES[a][0]!r}::DOUBLE, {c})" for a, c in _COUNT.items())
+_FIRST = " + ".join(f"({c}) * {_SHARES[a][1]!r}::DOUBLE / {_SHARES[a][0]!r}::DOUBLE" for a, c in _COUNT.items())
+_TWO = f"""WITH x AS (SELECT p_partkey, {SEQ} AS seq FROM part), y AS (SELECT p_partkey, {_MONO} AS m, {_FIRST} AS f FROM x)
+  SELECT p_partkey, 0 AS iso, round(m, 6) AS share FROM y UNION ALL SELECT p_partkey, 1, round(m*f, 6) FROM y"""
+
+
+@query(_TWO)
+def isotope_patterns(spark, sf_dir):
+    """The first two isotopes of parts' peptides, which have a closed form."""
+    from ..functions.isotopes import patterns
+
+    got = patterns(parts(spark, sf_dir).select("p_partkey", peptide.composition(F.col("seq")).alias("c")), "c")
+    return got.select("p_partkey", F.posexplode(F.slice("isotopes", 1, 2)).alias("iso", "share")).select("p_partkey", "iso", F.round("share", 6).alias("share"))
+
+
+@query(_TWO)
+def sql_isotopes(spark, sf_dir):
+    """The same by the registered table function."""
+    from ..functions.registered import register
+
+    register(spark)
+    return spark.sql("SELECT p_partkey, i.iso, round(i.share, 6) AS share FROM {parts} p, LATERAL isotope_pattern(p.seq, 2) i", parts=parts(spark, sf_dir).select("p_partkey", "seq"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey, list_filter(string_split(replace(regexp_replace({SEQ}, '([KR])', '\\1|', 'g'), '|P', 'P'), '|'), lambda x: x <> '') AS w FROM part),
+  y AS (SELECT p_partkey, i, k, array_to_string(w[i:i+k], '') AS peptide, array_to_string(w[:i-1], '') AS before FROM x, range(0, 3) s(k), unnest(range(1, len(w)-k+1)) r(i))
+  SELECT p_partkey, len(before)::INT + 1 AS start, k::INT AS missed, peptide FROM y WHERE len(peptide) BETWEEN 2 AND 50""")
+def sql_digest(spark, sf_dir):
+    """The registered table function, with missed cuts and places."""
+    from ..functions.registered import register
+
+    register(spark)
+    return spark.sql("SELECT p_partkey, d.start, d.missed, d.peptide FROM {parts} p, LATERAL digest(p.seq, 2, 2, 50) d", parts=parts(spark, sf_dir).select("p_partkey", "seq"))
+
+
 @query(f"""WITH x AS (SELECT p_partkey, p_retailprice, p_size, {SEQ} AS seq FROM part), c(channel, mass) AS (VALUES ('0', 140.0949630177::DOUBLE), ('4', 144.1020624177::DOUBLE), ('8', 148.1091618309::DOUBLE)),
   n AS (SELECT *, 1 + len(seq) - len(replace(seq, 'K', '')) AS k, 1 + len(seq[1:2]) - len(replace(seq[1:2], 'K', '')) AS b FROM x)
   SELECT p_partkey, channel, replace('M(mTRAQ-' || channel || ')' || seq[2:], 'K', 'K(mTRAQ-' || channel || ')') AS mod_seq, round(p_retailprice + mass*k/2, 4) AS prec_mz, round(p_size + mass*b, 4) AS mz FROM n, c""")

@@ -249,8 +249,17 @@ def scribe_manhattan(spark, sf_dir):
 
 @query("""SELECT l_orderkey, round(log2(greatest(sum(abs(l_extendedprice-40000)),1e-6)/sum(l_extendedprice)),6) AS gof FROM lineitem GROUP BY l_orderkey""")
 def gof_ratio(spark, sf_dir):
-    r = F.greatest(F.sum(F.abs(F.col("l_extendedprice") - 40000)), F.lit(1e-6)) / F.sum("l_extendedprice")
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.log2(r), 6).alias("gof"))
+    g = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_extendedprice").alias("p"))
+    return g.select("l_orderkey", F.round(features.gof(F.transform("p", lambda x: x - 40000), F.col("p")), 6).alias("gof"))
+
+
+@query("""SELECT l_orderkey, round(log2(coalesce(max(abs(l_extendedprice-40000)) FILTER (l_discount > 0), 0)/(sum(l_extendedprice)+1e-10::DOUBLE)+1e-10::DOUBLE),6) AS matched,
+  round(log2(coalesce(max(abs(l_extendedprice-40000)) FILTER (l_discount <= 0), 0)/(sum(l_extendedprice)+1e-10::DOUBLE)+1e-10::DOUBLE),6) AS unmatched FROM lineitem GROUP BY l_orderkey""")
+def residual_extremes(spark, sf_dir):
+    g = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_extendedprice", "l_discount")).alias("z"))
+    g = g.select("l_orderkey", F.col("z.l_extendedprice").alias("p"), F.col("z.l_discount").alias("o")).withColumn("r", F.transform("p", lambda x: x - 40000))
+    top = lambda m: F.round(features.largest_residual(F.col("r"), F.col("o"), F.col("p"), m), 6)
+    return g.select("l_orderkey", top(True).alias("matched"), top(False).alias("unmatched"))
 
 
 @query("""SELECT l_orderkey, round(greatest(0, ln(sum(l_discount*l_quantity)+1e-9) + lgamma(count(*) FILTER (l_returnflag='N')+1) + lgamma(count(*) FILTER (l_returnflag<>'N')+1)),6) AS hyperscore FROM lineitem GROUP BY l_orderkey""")
@@ -300,9 +309,8 @@ def sequence_median(spark, sf_dir):
 
 @query("""WITH m AS (SELECT quantile_cont(value,0.5) m FROM events) SELECT user_id, round(quantile_cont(abs(value-m),0.5),6) AS mad FROM events, m GROUP BY user_id""")
 def median_error(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("user_id", "value")
-    m = e.agg(F.percentile("value", 0.5).alias("m"))  # one row
-    return e.join(F.broadcast(m), how="cross").groupBy("user_id").agg(F.round(F.percentile(F.abs(F.col("value") - F.col("m")), 0.5), 6).alias("mad"))
+    e = t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("frag_errors")).withColumn("run", F.lit("all"))
+    return scoring.with_fragment_medians(e, ["run"]).select("user_id", F.round("med_frag_error", 6).alias("mad"))
 
 
 @query("""SELECT CAST(floor(value/25) AS BIGINT) AS bin, count(*) AS n, CAST(count(*) AS DOUBLE)/(SELECT count(*) FROM events) AS density FROM events GROUP BY 1""")
@@ -345,12 +353,50 @@ def library_lookup(spark, sf_dir):
     return t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query()
+# Two columns have a closed form: the unconstrained solution where both parts are positive, else the better border; columns that are multiples of
+# each other leave the one with the larger product with the right side.
+_PAIR = """WITH s AS (SELECT l_orderkey, sum(l_quantity*l_quantity) aa, sum(l_quantity*l_discount*100) ab, sum(l_discount*100*l_discount*100) bb, sum(l_quantity*l_extendedprice) ay, sum(l_discount*100*l_extendedprice) bz FROM lineitem GROUP BY l_orderkey),
+  u AS (SELECT *, (bb*ay-ab*bz)/nullif(aa*bb-ab*ab,0) x, (aa*bz-ab*ay)/nullif(aa*bb-ab*ab,0) y, aa*bb-ab*ab > 1e-9*aa*bb AS free FROM s),
+  r AS (SELECT l_orderkey, CASE WHEN free AND x>=0 AND y>=0 THEN x WHEN free AND ay*ay/aa >= bz*bz/nullif(bb,0) OR bb=0 OR NOT free AND ay>=bz THEN ay/aa ELSE 0 END AS q,
+    CASE WHEN free AND x>=0 AND y>=0 THEN y WHEN free AND ay*ay/aa >= bz*bz/nullif(bb,0) OR bb=0 OR NOT free AND ay>=bz THEN 0 ELSE bz/bb END AS d FROM u)"""
+
+
+@query(f"{_PAIR} SELECT l_orderkey AS scan_num, 0::BIGINT AS prec_id, round(q, 3) AS coeff FROM r UNION ALL SELECT l_orderkey, 1, round(d, 3) FROM r")
 def nnls_scans(spark, sf_dir):
     from ..operators.solve import deconvolve
 
-    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_num"), F.col("l_linenumber").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("l_quantity").alias("v")), F.struct(F.lit(1).alias("col"), (F.col("l_discount") * 100).alias("v")))).alias("c"), F.col("l_extendedprice").alias("o"))
-    return deconvolve(rows.select("scan_num", "row", F.col("c.col").alias("prec_id"), F.col("c.v").alias("v"), "o"))
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_num"), F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("l_quantity").alias("v")), F.struct(F.lit(1).alias("col"), (F.col("l_discount") * 100).alias("v")))).alias("c"), F.col("l_extendedprice").alias("o"))
+    return deconvolve(rows.select("scan_num", "row", F.col("c.col").alias("prec_id"), F.col("c.v").alias("v"), "o")).select("scan_num", "prec_id", F.round("coeff", 3).alias("coeff"))
+
+
+@query(f"{_PAIR} SELECT l_orderkey, round(q, 3) AS quantity, round(d, 3) AS discount FROM r")
+def sql_nnls(spark, sf_dir):
+    """The registered function in SQL: one matrix a group."""
+    from ..functions.registered import register
+
+    register(spark)
+    return spark.sql(
+        "SELECT l_orderkey, round(x[0], 3) AS quantity, round(x[1], 3) AS discount FROM (SELECT l_orderkey, nnls(collect_list(array(l_quantity, l_discount * 100)), collect_list(l_extendedprice)) AS x FROM {lineitem} GROUP BY l_orderkey)",
+        lineitem=t(spark, sf_dir, "lineitem"),
+    )
+
+
+@query("""WITH k AS (SELECT least(19, CAST(floor(value/25) AS BIGINT)) AS b, event_type, value, event_id FROM events), c AS (SELECT event_type, b*25.0::DOUBLE + 12.5 AS x, avg(value*value) AS y FROM k GROUP BY event_type, b),
+  p AS (SELECT event_id, event_type, value, (SELECT min(x) FROM c WHERE c.event_type=k.event_type) a, (SELECT max(x) FROM c WHERE c.event_type=k.event_type) z FROM k),
+  q AS (SELECT *, greatest(a, least(z, value)) v FROM p)
+  SELECT event_id, round(lo.y + CASE WHEN hi.x > lo.x THEN (hi.y-lo.y)*(v-lo.x)/(hi.x-lo.x) ELSE 0 END, 4) AS predicted FROM q
+  ASOF JOIN c lo ON q.event_type=lo.event_type AND q.v>=lo.x ASOF JOIN c hi ON q.event_type=hi.event_type AND q.v<=hi.x""")
+def sql_lowess_predict(spark, sf_dir):
+    """The registered function in SQL: each type's curve through the means of its steps."""
+    from ..functions.registered import register
+
+    register(spark)
+    return spark.sql(
+        """WITH k AS (SELECT least(19, CAST(floor(value/25) AS BIGINT)) AS b, event_type, value FROM {events}), c AS (SELECT event_type, b*25D + 12.5D AS x, avg(value*value) AS y FROM k GROUP BY event_type, b),
+          curve AS (SELECT event_type, array_sort(collect_list(struct(x, y))) AS p FROM c GROUP BY event_type)
+          SELECT event_id, round(lowess_predict(value, p.x, p.y), 4) AS predicted FROM {events} JOIN curve USING (event_type)""",
+        events=t(spark, sf_dir, "events").select("event_id", "event_type", "value"),
+    )
 
 
 @query()
@@ -427,43 +473,14 @@ def window_counts(spark, sf_dir):
     return e.groupBy("slot", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
-def search_synthetic(spark, sf_dir):
-    """The whole search on the synthetic run: best match per precursor."""
-    from ..sources.readers import library_fragments
-    from . import search, synth
-
-    lib, scans, _ = synth.run(peptides=16, cycles=12, windows=3)
-    library = spark.createDataFrame(lib, synth.LIBRARY).withColumn("seq", F.col("mod_seq")).withColumn("is_decoy", F.lit(False))
-    both = search.add_decoys(library).withColumn("prec_id", F.xxhash64("mod_seq", "charge", "is_decoy"))
-    ms2 = spark.createDataFrame(scans, synth.SCANS).where("ms_level = 2")
-    psm = search.search(ms2, library_fragments(both), both, search.Config(rt_tol=3.0))
-    best = search.best_matches(psm).join(both.select("prec_id", "mod_seq"), "prec_id")
-    return best.select("mod_seq", "is_decoy", "scan_num", F.round("coeff", 4).alias("coeff"), F.round("hyperscore", 4).alias("hyperscore"), F.round("cosine", 6).alias("cosine"))
-
-
-@query()
-def isotope_patterns(spark, sf_dir):
-    from ..functions.isotopes import patterns
-
-    seqs = spark.createDataFrame([("PEPTIDEK",), ("ACDM(UniMod:35)K",), ("C(UniMod:4)GGGR",)], "mod_seq string").withColumn("c", peptide.composition(F.col("mod_seq")))
-    return patterns(seqs, "c").select("mod_seq", F.transform("isotopes", lambda v: F.round(v, 8)).alias("isotopes"))
-
-
 @query()
 def calibration_curves(spark, sf_dir):
-    """Curve of value on event time per type, over all of its rows; a type is one task."""
-    import pandas as pd
-
-    from ..operators.calibrate import lowess
-
-    e = t(spark, sf_dir, "events").select("event_type", micros().alias("x"), "value")
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = lowess(part["x"] / 1e12, part["value"], 0.3)
-        return pd.DataFrame({"event_type": part["event_type"].iloc[0], "knots": [len(x)], "mean_fit": [round(float(y.mean()), 4)]})
+    """Curve of value on event time per type, over all of its rows."""
+    from ..operators.local import local_regression
 
-    return e.groupBy("event_type").applyInPandas(fit, "event_type string, knots long, mean_fit double")
+    e = t(spark, sf_dir, "events").select("event_type", (micros() / 1e12).alias("x"), "value")
+    fitted = local_regression(e, "x", "value", 0.3, on=["event_type"], small=1000)
+    return fitted.groupBy("event_type").agg(F.countDistinct("x").alias("knots"), F.round(F.avg("fit"), 4).alias("mean_fit"))
 
 
 from . import domain_queries  # noqa: E402,F401  registers its queries

@@ -7,7 +7,8 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.peptide import precursor_key, stripped, untagged
+from ..functions.isotopes import patterns
+from ..functions.peptide import composition, precursor_key, stripped, untagged
 from ..operators import quant, scoring, spectra
 from ..operators.calibrate import Calibration
 from ..shared import stored
@@ -26,27 +27,30 @@ def with_scan_ids(scans: DataFrame) -> DataFrame:
 
 
 def first_search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame, config: s.Config) -> tuple[DataFrame, Calibration]:
-    """The matches of the probe scans, and the calibration from them. Library times are scaled to the run's span
-    first, so that the wide tolerance of a first search holds the curve's bends."""
+    """The matches of the probe scans that a calibration rests on, and the calibration. Library times should be near the run's, so that the
+    wide tolerance of a first search holds the curve's bends."""
     ms2 = scans.where("ms_level = 2")
     probes = spectra.probe_scans(ms2, config.probe_per_part, config.probe_parts)
     found = stored(s.search(probes, fragments, precursors, config, scans if config.ms1_required else None, first=True), "first")
-    return found, s.probe_calibration(found, precursors, config.least_coeff)
+    matches = stored(s.calibration_matches(found, precursors, config.least_coeff, survey=scans, ms1_tol=config.ms1_tol), "matches")
+    return matches, s.probe_calibration(matches)
 
 
-def calibrated(precursors: DataFrame, calibration: Calibration, config: s.Config) -> tuple[DataFrame, s.Config]:
-    """Precursors with library times turned into run times, and tolerances that are never wider than those asked for."""
+def calibrated(precursors: DataFrame, scans: DataFrame, calibration: Calibration, config: s.Config) -> tuple[DataFrame, DataFrame, s.Config]:
+    """Precursors with library times turned into run times, scans with peaks freed from the instrument's mass error, and
+    tolerances that are never wider than those asked for."""
     moved = precursors.withColumn("irt", calibration.predicted_rt(F.col("irt")))
-    rt_tol = min(config.rt_tol, max(calibration.rt_tol, 0.05))
-    mz_tol = min(config.mz_tol, max(calibration.mz_tol, 1e-6))
-    return moved, replace(config, rt_tol=rt_tol, mz_tol=mz_tol)
+    peaks = scans.withColumn("mz", calibration.corrected_peaks(F.col("mz"), F.col("rt"), F.col("ms_level")))
+    narrow = lambda asked, found, least: min(asked, max(found, least))
+    tolerances = {"rt_tol": narrow(config.rt_tol, calibration.rt_tol, 0.05), "ms1_tol": narrow(config.ms1_tol, calibration.ms1_tol, 1e-6), "mz_tol": narrow(config.mz_tol, calibration.mz_tol, 1e-6)}
+    return moved, peaks, replace(config, **tolerances)
 
 
 def identified(psm: DataFrame, scans: DataFrame, precursors: DataFrame, config: s.Config) -> DataFrame:
     """One row per run and precursor: score, q-values of the row, of its best channel and of its protein, channels matched."""
     tag = config.tag or "mTRAQ"
     facts = precursors.select("prec_id", "mod_seq", "seq", "charge", "prec_mz", F.coalesce("protein_group", "protein_name", "seq").alias("protein"))
-    own = psm.join(scans.select("scan_num", "run", "scan_in_run"), "scan_num").where(F.col("frac_lib_int") >= config.score_lib_frac)
+    own = scoring.with_fragment_medians(psm.join(scans.select("scan_num", "run", "scan_in_run"), "scan_num"), ["run"]).where(F.col("frac_lib_int") >= config.score_lib_frac)
     best = stored(s.best_matches(own, config.nearby, ["run", "prec_id"]).join(facts, "prec_id"), "best")
     got = s.score(best, "seq", config)
     got = got.withColumns({"stripped_seq": stripped(F.col("mod_seq")), "channel": F.coalesce(F.nullif(F.regexp_extract("mod_seq", rf"\({tag}-([^)]*)\)", 1), F.lit("")), F.lit("0")), "untag_prec": precursor_key(untagged(F.col("mod_seq"), tag), F.col("charge"))})
@@ -56,11 +60,18 @@ def identified(psm: DataFrame, scans: DataFrame, precursors: DataFrame, config:
     return got.join(proteins, "protein", "left")
 
 
-def quantified(ids: DataFrame, scans: DataFrame, config: s.Config) -> DataFrame:
-    """ids with survey-scan quantities of the targets whose best channel passes the q-value threshold; the others have 0."""
+QUANTITIES = ["ms1_area", "ms1_int", "iso_cor", "peak_area", "ms1_cor", "traceproduct"]
+
+
+def quantified(ids: DataFrame, scans: DataFrame, config: s.Config, psm: DataFrame | None = None) -> DataFrame:
+    """ids with survey-scan quantities of the targets whose best channel passes the q-value threshold; the others have 0. psm: all
+    matches, for the correlation of survey traces with coefficients."""
     wanted = ids.where(~F.col("is_decoy") & (F.col("best_channel_qvalue") < config.q_threshold))
-    areas = quant.survey_areas(wanted.select("run", "prec_id", "scan_num", "prec_mz", "charge"), scans, config.ms1_tol)
-    return ids.join(areas, ["run", "prec_id"], "left").fillna(0.0, ["ms1_area", "ms1_int", "iso_cor"])
+    atoms = F.coalesce(composition(untagged(F.col("mod_seq"), config.tag or "mTRAQ")), composition(stripped(F.col("mod_seq"))))
+    best = patterns(wanted.select("run", "prec_id", "scan_num", "prec_mz", "charge", atoms.alias("_atoms")), "_atoms", config.isotopes).drop("_atoms")
+    coefficients = None if psm is None else psm.join(scans.select("scan_num", "run"), "scan_num").select("run", "prec_id", "rt", "coeff").join(wanted.select("run", "prec_id"), ["run", "prec_id"], "left_semi")
+    areas = quant.survey_areas(best, scans, config.ms1_tol, n=config.isotopes, axis="scan_in_run", coefficients=coefficients)
+    return ids.join(areas, ["run", "prec_id"], "left").fillna(0.0, [c for c in QUANTITIES if c in areas.columns])
 
 
 def run(spark: SparkSession, mzml: str, library: str, out: str, config: s.Config = s.Config()) -> DataFrame:
@@ -76,11 +87,12 @@ def run(spark: SparkSession, mzml: str, library: str, out: str, config: s.Config
     found, calibration = first_search(scans, fragments, precursors, config)
     writers.write_first_search(found, f"{out}/first_search")
     writers.write_calibration(spark, calibration, f"{out}/calibration")
-    moved, narrow = calibrated(precursors, calibration, config)
+    moved, scans, narrow = calibrated(precursors, scans, calibration, config)
     psm = stored(s.search(scans.where("ms_level = 2"), fragments, moved, narrow, scans if config.ms1_required else None), "psm")
-    ids = quantified(identified(psm, scans, precursors, config), scans, config)
+    ids = quantified(identified(psm, scans, precursors, config), scans, narrow, psm)
+    shown = calibration.corrected_mz(F.col("prec_mz"), F.col("rt"))  # where the run's survey scans show the precursor
     table = stored(ids.withColumns({"decoy": F.col("is_decoy"), "z": F.col("charge"), "file_name": F.col("run")}), "ids")
-    writers.write_result_rows(table.withColumns({"spec_id": F.col("scan_in_run"), "window_mz": F.col("prec_mz"), "mz": F.col("prec_mz"), "seq": F.col("mod_seq")}), f"{out}/psm")
+    writers.write_result_rows(table.withColumns({"spec_id": F.col("scan_in_run"), "window_mz": F.col("prec_mz"), "mz": shown, "seq": F.col("mod_seq")}), f"{out}/psm")
     writers.write_results(table, out, config.q_threshold)
     writers.write_summary(table, f"{out}/summary", config.q_threshold)
     writers.write_params(spark, asdict(config), f"{out}/params")

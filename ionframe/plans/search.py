@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.peptide import fragment_mz, residues, reverse_decoy_tagged, split_fragment, stripped, substitute_decoy
-from ..operators import calibrate, quant, scoring, spectra
+from ..operators import calibrate, local, quant, scoring, spectra
 from ..operators.features import match_features
 from ..operators.solve import deconvolve
 from ..shared import stored
@@ -33,6 +33,7 @@ class Config:
     least_top: int = 3
     top: int = 10
     nearby: int = 2
+    isotopes: int = 6
     q_threshold: float = 0.01
     folds: int = 5
     trees: int = 200
@@ -79,7 +80,7 @@ def search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame, config
     rows = hits.join(coeff, ["scan_num", "prec_id"]).withColumn("p", F.col("norm_int") * F.col("coeff"))
     row = Window.partitionBy("scan_num", "row")
     rows = rows.withColumns({"pt": F.sum("p").over(row), "shared": F.count("*").over(row), "v": F.col("norm_int")}).join(scans.select("scan_num", "tic"), "scan_num")
-    head = rows.groupBy("scan_num", "prec_id").agg(F.first("coeff").alias("coeff"), F.first("is_decoy").alias("is_decoy"), F.first("scan_rt").alias("rt"), (F.first("scan_rt") - F.first("irt")).alias("rt_error"), F.first("mz_error").alias("mz_error"), F.expr("percentile((centre - mz) / centre, 0.5)").alias("med_frag_error"))
+    head = rows.groupBy("scan_num", "prec_id").agg(F.first("coeff").alias("coeff"), F.first("is_decoy").alias("is_decoy"), F.first("scan_rt").alias("rt"), (F.first("scan_rt") - F.first("irt")).alias("rt_error"), F.first("mz_error").alias("mz_error"))
     return head.join(match_features(rows), ["scan_num", "prec_id"])
 
 
@@ -104,15 +105,43 @@ def score(best: DataFrame, group: str, config: Config = Config()) -> DataFrame:
     return scoring.qvalues(scored, F.col("is_decoy"), "score", ["prec_id", "scan_num"])
 
 
-def calibration_matches(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0, percentile: float = 0.8) -> DataFrame:
-    """The targets that a first search is calibrated on: each precursor's best match with a coefficient above least_coeff and a
-    hyperscore in the upper part of these (prec_id, scan_num, coeff, irt, rt, prec_mz, med_frag_error)."""
+def calibration_matches(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0, percentile: float = 0.8, survey: DataFrame | None = None, ms1_tol: float = 20e-6) -> DataFrame:
+    """The targets that a first search is calibrated on: each precursor's best match with a coefficient above least_coeff and a hyperscore in the
+    upper part of these (prec_id, scan_num, coeff, irt, rt, prec_mz, ms1_error, frag_mz, frag_errors).
+
+    ms1_error is the signed relative error of the peak nearest the precursor in the survey scan nearest the match; null without such a peak, or without survey.
+    """
     best = scoring.best_rows(psm.where(~F.col("is_decoy") & (F.col("coeff") > least_coeff)), ["prec_id"], [F.desc("coeff"), "scan_num"]).join(library.select("prec_id", "irt", "prec_mz"), "prec_id")
     bound = best.agg(F.percentile("hyperscore", 1 - percentile).alias("_b"))  # one row
-    return best.join(F.broadcast(bound), F.col("hyperscore") >= F.col("_b")).select("prec_id", "scan_num", "coeff", "irt", "rt", "prec_mz", "med_frag_error")
-
-
-def probe_calibration(psm: DataFrame, library: DataFrame, least_coeff: float = 100.0, most: int = 100_000) -> calibrate.Calibration:
-    """Curves and tolerances from a first search's best matches (at most `most` rows, the best coefficients: a fit needs no more)."""
-    got = calibration_matches(psm, library, least_coeff).orderBy(F.desc("coeff"), "prec_id").limit(most).select("irt", "rt", "prec_mz", "med_frag_error").toPandas()
-    return calibrate.calibrate(got["irt"], got["rt"], got["prec_mz"], got["med_frag_error"])
+    got = best.join(F.broadcast(bound), F.col("hyperscore") >= F.col("_b")).select("prec_id", "scan_num", "coeff", "irt", "rt", "prec_mz", "frag_mz", "frag_errors")
+    if survey is None:
+        return got.withColumn("ms1_error", F.lit(None).cast("double"))
+    errors = quant.survey_errors(got.select("scan_num", "prec_id", "prec_mz"), survey, ms1_tol).withColumnRenamed("mz_error", "ms1_error")
+    return got.join(errors, ["scan_num", "prec_id"], "left")
+
+
+def _mass_curves(df: DataFrame, mz: str, error: str, frac: float) -> tuple[calibrate.Curve, calibrate.Curve, float]:
+    """Curves of a relative error on run time and, of its rest, on m/z, and four sigma of what is left. Without rows nothing is corrected."""
+    pack = lambda k: tuple(tuple(float(v) for v in a) for a in k)
+    none = ((0.0,), (0.0,))
+    if df.isEmpty():
+        return none, none, float("inf")
+    by_rt = local.curve(local.local_regression(df, "rt", error, frac))
+    left = df.withColumn("_left", local.residual("rt", error, by_rt))
+    by_mz = local.curve(local.local_regression(left, mz, "_left", frac))
+    rest = stored(left.select(local.residual(mz, "_left", by_mz).alias("e")), "rest")
+    return pack(by_rt), pack(by_mz), 4 * local.gaussian_width(rest, "e")
+
+
+def probe_calibration(matches: DataFrame, frac: float = 0.2) -> calibrate.Calibration:
+    """Curves and tolerances from the matches of a first search (calibration_matches): run time on library time, survey errors and fragment errors on time and m/z. All matches
+    take part; the driver gets knots, quantiles and histograms. The tolerance of fragments follows from single fragments' errors."""
+    matches = stored(matches, "matches")
+    if matches.isEmpty():
+        raise ValueError("the first search found nothing to calibrate on; widen the tolerances or lower least_coeff")
+    curve = local.curve(local.local_regression(matches, "irt", "rt", frac))
+    off = matches.select(F.abs(local.residual("irt", "rt", curve)).alias("e")).agg(F.percentile_approx("e", [i / 1000 for i in range(1, 1000)], 100_000)).head()[0]
+    ms1 = _mass_curves(matches.where("ms1_error is not null"), "prec_mz", "ms1_error", frac)
+    frags = matches.select("rt", F.explode(F.arrays_zip("frag_mz", "frag_errors")).alias("f")).select("rt", "f.frag_mz", "f.frag_errors")
+    ms2 = _mass_curves(frags, "frag_mz", "frag_errors", frac)
+    return calibrate.Calibration(tuple(tuple(float(v) for v in a) for a in curve), ms1[0], ms1[1], ms2[0], ms2[1], calibrate.error_boundary(off)[0], ms1[2], ms2[2])

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import base64
-import io
 import json
 import re
 import sqlite3
 import tempfile
-import xml.etree.ElementTree as ET
 import zlib
 
 import numpy as np
@@ -25,55 +22,53 @@ LEVEL, TIME, TIC, INJECTION, TARGET, LOWER, UPPER, ENERGY, SCAN_LO, SCAN_HI = "M
 MZ, INTENSITY, F32, ZIP, MINUTE = "MS:1000514", "MS:1000515", "MS:1000521", "MS:1000574", "UO:0000031"
 
 
-def parse_mzml(raw: bytes, run: str):
-    """Rows of the spectra of levels 1 and 2, in file order, one at a time."""
-    local = lambda e: e.tag.rpartition("}")[2]
-    for _, spectrum in ET.iterparse(io.BytesIO(raw)):
-        if local(spectrum) != "spectrum":
-            continue
-        got = {e.get("accession"): e for e in spectrum.iter() if local(e) == "cvParam" and e.get("accession")}
-        number = lambda key: float(got[key].get("value")) if key in got and got[key].get("value") else None  # noqa: E731,B023
-        level = int(number(LEVEL) or 0)
-        if level in (1, 2):
-            arrays = {}
-            for box in (e for e in spectrum.iter() if local(e) == "binaryDataArray"):
-                marks = {e.get("accession") for e in box.iter() if local(e) == "cvParam"}
-                data = base64.b64decode("".join(e.text or "" for e in box.iter() if local(e) == "binary"))
-                data = zlib.decompress(data) if ZIP in marks and data else data
-                values = np.frombuffer(data, "<f4" if F32 in marks else "<f8").astype(float)
-                arrays |= {"mz": values} if MZ in marks else {"intensity": values} if INTENSITY in marks else {}
-            rt = number(TIME)
-            if rt is not None and got[TIME].get("unitAccession") != MINUTE:
-                rt /= 60
-            target, lower, upper = number(TARGET), number(LOWER), number(UPPER)
-            scan = re.search(r"scan=(\d+)", spectrum.get("id") or "")
-            mz, intensity = arrays.get("mz", np.empty(0)), arrays.get("intensity", np.empty(0))
-            order = np.argsort(mz, kind="stable")
-            yield {
-                "run": run, "scan_num": int(scan[1]) if scan else int(spectrum.get("index") or 0) + 1, "ms_level": level, "rt": rt,
-                "inj_time": None if number(INJECTION) is None else number(INJECTION) / 1000, "tic": number(TIC) if TIC in got else float(intensity.sum()),
-                "prec_mz": target, "win_lo": None if target is None or lower is None else target - lower, "win_hi": None if target is None or upper is None else target + upper,
-                "ce": number(ENERGY), "scan_lo": number(SCAN_LO), "scan_hi": number(SCAN_HI), "mz": mz[order].tolist(), "intensity": intensity[order].tolist(),
-            }
-        spectrum.clear()
+def _attribute(tag: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(tag, rf"\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """Scans of one or many mzML files; files are read by Spark (any store) and parsed file by file in parallel."""
+def _param(head: Column, accession: str) -> Column:
+    """The last cvParam tag with an accession; null if there is none."""
+    return F.try_element_at(F.regexp_extract_all(head, F.lit(rf"<(?:\w+:)?cvParam\s[^>]*\b{accession}\b[^>]*>"), F.lit(0)), F.lit(-1))
 
-    def parse(batches):
-        for part in batches:
-            for name, raw in zip(part["path"], part["content"], strict=True):
-                rows = []
-                for row in parse_mzml(bytes(raw), name.rpartition("/")[2].partition(".")[0]):
-                    rows.append(row)
-                    if len(rows) >= 500:
-                        yield pd.DataFrame(rows)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCANS)
+
+def _decoded(mz: pd.Series, mz_marks: pd.Series, intensity: pd.Series, intensity_marks: pd.Series) -> pd.DataFrame:
+    """Arrays of a spectrum from their bytes and the marks before them, sorted by m/z; missing ones are empty."""
+
+    def values(raw, marks) -> np.ndarray:
+        raw = zlib.decompress(raw) if raw and ZIP in marks else raw or b""
+        return np.frombuffer(raw, "<f4" if F32 in (marks or "") else "<f8").astype(float)
+
+    rows = []
+    for a, am, b, bm in zip(mz, mz_marks, intensity, intensity_marks, strict=True):
+        x, y = values(a, am), values(b, bm)
+        order = np.argsort(x, kind="stable")
+        rows.append((x[order], y[order] if len(y) == len(x) else y))
+    return pd.DataFrame(rows, columns=["mz", "intensity"])
+
+
+def read_mzml(spark: SparkSession, path: str) -> DataFrame:
+    """Scans of levels 1 and 2 of one or many mzML files, in any store that Spark reads.
+
+    Files are split where spectra end, so many tasks read one file, and a row is a spectrum's text at most. Its attributes are taken from the text
+    by expressions; the arrays are decoded last, so that a filter on them (ms_level, rt) comes first and a plan that needs no peaks decodes none. Times are in
+    minutes; a scan without a number in its id has its index plus one.
+    """
+    text = spark.read.option("lineSep", "</spectrum>").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)<(?:\w+:)?spectrum\s(.*)$", 1).alias("x")).where("x <> ''")
+    tag, head = F.substring_index("x", ">", 1), F.substring_index("x", "<binaryDataArrayList", 1)
+    number = lambda accession: _attribute(_param(F.col("head"), accession), "value").try_cast("double")
+    own = text.select("file", "x", F.concat(F.lit(" "), tag).alias("tag"), head.alias("head"))
+    time = number(TIME) / F.when(_attribute(_param(F.col("head"), TIME), "unitAccession") == MINUTE, 1).otherwise(60)
+    scan = F.nullif(F.regexp_extract(F.coalesce(_attribute(F.col("tag"), "id"), F.lit("")), r"scan=(\d+)", 1), F.lit("")).cast("long")
+    run = F.substring_index(F.element_at(F.split("file", "/"), -1), ".", 1)
+    own = own.select(run.alias("run"), F.coalesce(scan, F.coalesce(_attribute(F.col("tag"), "index").cast("long"), F.lit(0)) + 1).alias("scan_num"), number(LEVEL).cast("int").alias("ms_level"), time.alias("rt"), (number(INJECTION) / 1000).alias("inj_time"), number(TIC).alias("_tic"), number(TARGET).alias("prec_mz"), number(LOWER).alias("_lo"), number(UPPER).alias("_hi"), number(ENERGY).alias("ce"), number(SCAN_LO).alias("scan_lo"), number(SCAN_HI).alias("scan_hi"), F.slice(F.split("x", r"<binaryDataArray\s*(?=[\s>])"), 2, 1_000_000).alias("_boxes")).where("ms_level in (1, 2)")
+    box = lambda accession: F.try_element_at(F.filter("_boxes", lambda b: F.substring_index(b, "<binary>", 1).contains(accession)), F.lit(-1))
+    data = lambda b: F.when(b.contains("<binary>"), F.unbase64(F.substring_index(F.substring_index(b, "<binary>", -1), "</binary>", 1)))
+    marks = lambda b: F.substring_index(b, "<binary>", 1)
+    arrays = F.pandas_udf(_decoded, "mz array<double>, intensity array<double>")
+    a, b = box(MZ), box(INTENSITY)
+    own = own.withColumn("_arrays", arrays(data(a), marks(a), data(b), marks(b)))
+    tic = F.coalesce("_tic", F.aggregate("_arrays.intensity", F.lit(0.0), lambda s, v: s + v))
+    return own.withColumns({"tic": tic, "win_lo": F.col("prec_mz") - F.col("_lo"), "win_hi": F.col("prec_mz") + F.col("_hi"), "mz": F.col("_arrays.mz"), "intensity": F.col("_arrays.intensity")}).select(*[c.split(" ")[0] for c in SCANS.split(", ")])
 
 
 # Headers accepted for each library column, the first present counts.

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.constants import PROTON, RESIDUE_MASS, WATER
+from ionframe.functions.constants import PROTON, RESIDUE_MASS, WATER
 
 
-def run(peptides: int = 60, cycles: int = 40, windows: int = 6, seed: int = 1, ppm: float = 3.0, noise: int = 30):
-    """(library rows, scan rows, truth rows) as plain tuples; peptides end in K or R, and elute as Gaussians."""
+def run(peptides: int = 60, cycles: int = 40, windows: int = 6, seed: int = 1, ppm: float = 3.0, noise: int = 30, shift: float = 0.0, drift: float = 0.0):
+    """(library rows, scan rows, truth rows) as plain tuples; peptides end in K or R, and elute as Gaussians. shift: all peaks are seen so many ppm too high; drift: ppm
+    more from the run's start to its end."""
     r = np.random.default_rng(seed)
     letters = "ADEFGHILNPQSTVWY"
     library, chosen, seen = [], [], set()
@@ -43,7 +44,8 @@ def run(peptides: int = 60, cycles: int = 40, windows: int = 6, seed: int = 1, p
             scans.append(("run", number, 2, rt + 0.01 * (w + 1), peaks, float((edges[w] + edges[w + 1]) / 2), float(edges[w]), float(edges[w + 1])))
     rows = []
     for name, n, level, rt, peaks, target, a, b in scans:
-        peaks = sorted((float(m), float(i)) for m, i in peaks if i > 0)
+        off = 1 + (shift + drift * (rt / 20 - 0.5)) * 1e-6
+        peaks = sorted((float(m * off), float(i)) for m, i in peaks if i > 0)
         rows.append((name, n, level, float(rt), sum(i for _, i in peaks), target, a, b, [m for m, _ in peaks], [i for _, i in peaks]))
     return library, rows, truth
 

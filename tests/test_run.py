@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ionframe.functions import peptide
 from ionframe.operators import calibrate, quant, spectra
-from ionframe.plans import run, search, synth
+from ionframe.plans import run, search
 from ionframe.sources import readers, writers
 
+import synth
+
 
 def binary(values, accession, kind="MS:1000523", zipped=True):
     raw = np.asarray(values, "<f8" if kind == "MS:1000523" else "<f4").tobytes()
@@ -74,10 +76,44 @@ def test_quantities_follow_amounts(done):
         near = [(abs(m - mz) / mz, i) for s in scans if s[2] == 1 for m, i in zip(s[8], s[9])]
         amount[seq] = max((i for d, i in near if d < 12e-6), default=0)
     own = table[table.ms1_area > 0]
-    assert len(own) > 20
+    assert len(own) > 20 and own.traceproduct.median() > -0.5 and own.ms1_cor.median() > 0.8
+    assert (own.peak_left <= own.rt + 1).all() and (own.peak_right >= own.rt - 1).all()
     assert np.corrcoef(np.log(own.ms1_int), np.log(own.stripped_seq.map(amount)))[0, 1] > 0.95
 
 
+def analysed(spark, library, scans, **config):
+    """first search, calibration and search of a run that isn't on disk: (calibration, tolerances, targets found, best matches)."""
+    frame = run.with_scan_ids(spark.createDataFrame(scans, synth.SCANS))
+    targets = spark.createDataFrame(library, synth.LIBRARY).withColumns({"seq": F.col("mod_seq"), "is_decoy": F.lit(False), "irt": F.col("irt") * 1.3 + 2})
+    precursors = search.stored(run.with_ids(search.add_decoys(targets)), "precursors")
+    fragments = readers.library_fragments(precursors)
+    config = search.Config(rt_tol=60.0, **config)
+    _, calibration = run.first_search(frame, fragments, precursors, config)
+    moved, peaks, narrow = run.calibrated(precursors, frame, calibration, config)
+    psm = search.search(peaks.where("ms_level = 2"), fragments, moved, narrow, peaks).toPandas()
+    best = psm[~psm.is_decoy].sort_values("coeff").groupby("prec_id").tail(1)
+    return calibration, narrow, len(best), best
+
+
+@pytest.mark.parametrize("shift, drift", [(7, 0), (-6, 6)])
+def test_mass_errors_are_corrected(spark, shift, drift):
+    library, scans, _ = synth.run(peptides=40, cycles=30, windows=4, shift=shift, drift=drift)
+    calibration, narrow, found, best = analysed(spark, library, scans)
+    assert found >= 38, found  # without a mass error 38 to 40
+    for curve, near in ((calibration.mz_by_rt, 5), (calibration.frag_by_rt, 1)):  # one noisy survey peak a match, and many fragments
+        at = np.interp([3, 10, 17], *map(np.array, curve)) * 1e6
+        assert np.abs(at - (shift + drift * (np.array([3, 10, 17]) / 20 - 0.5))).max() < near, at
+    assert 1e-6 <= narrow.mz_tol < 9e-6 and narrow.ms1_tol <= 20e-6
+    errors = np.concatenate(best.frag_errors.to_list())
+    assert abs(np.median(errors)) < 0.5e-6 and abs(best.mz_error.median()) < 1.5e-6
+
+
+def test_a_run_without_matches_says_so(spark):
+    library, scans, _ = synth.run(peptides=4, cycles=4, windows=2)
+    with pytest.raises(ValueError, match="nothing to calibrate on"):
+        analysed(spark, library, [s for s in scans if s[2] == 1] + [(*s[:8], [100.0], [1.0]) for s in scans if s[2] == 2])
+
+
 def test_outputs_and_caches(spark, done):
     at, table, _, _, _ = done
     out = f"file://{at}/out"

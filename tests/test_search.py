@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionframe.plans import search as s
-from ionframe.plans import synth
 from ionframe.sources.readers import library_fragments
 
+import synth
+
 
 @pytest.fixture(scope="module")
 def found(spark):
