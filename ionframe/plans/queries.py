@@ -365,7 +365,8 @@ _PAIR = """WITH s AS (SELECT l_orderkey, sum(l_quantity*l_quantity) aa, sum(l_qu
 def nnls_scans(spark, sf_dir):
     from ..operators.solve import deconvolve
 
-    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_num"), F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("l_quantity").alias("v")), F.struct(F.lit(1).alias("col"), (F.col("l_discount") * 100).alias("v")))).alias("c"), F.col("l_extendedprice").alias("o"))
+    rows = t(spark, sf_dir, "lineitem").withColumn("row", F.monotonically_increasing_id())  # line numbers repeat
+    rows = rows.select(F.col("l_orderkey").alias("scan_num"), "row", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("l_quantity").alias("v")), F.struct(F.lit(1).alias("col"), (F.col("l_discount") * 100).alias("v")))).alias("c"), F.col("l_extendedprice").alias("o"))
     return deconvolve(rows.select("scan_num", "row", F.col("c.col").alias("prec_id"), F.col("c.v").alias("v"), "o")).select("scan_num", "prec_id", F.round("coeff", 3).alias("coeff"))
 
 
