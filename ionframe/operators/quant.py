@@ -140,23 +140,54 @@ def trace_correlations(traces: DataFrame, reference: DataFrame, on: list[str], x
     return got.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
 
 
-def channel_quantities(rows: DataFrame, on: list[str]) -> DataFrame:
-    """(key, channel, quantity): survey-scan intensities of a group's isotope peaks unmixed over its channels.
+def fit_channels(mz: np.ndarray, intensity: np.ndarray, at: list[np.ndarray], share: list[np.ndarray], rel: float) -> np.ndarray:
+    """One amount a channel from the survey peaks around its isotopes (at, with their shares of the whole).
 
-    rows: key, channel, at (theoretical m/z), share (isotope share), observed (intensity at that peak).
-    Channels' isotopes that fall on one peak, within 5e-6, are one equation; peaks without a signal hold channels down.
+    Peaks within the tolerance of a peak below them are one. Every peak that an isotope falls on, within the tolerance, is an equation, over all channels' isotopes there;
+    the shares of a channel's isotopes that fall on none are one more, with nothing observed.
     """
-    keys = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in on)
+    order = np.argsort(mz, kind="stable")
+    mz, intensity = mz[order], intensity[order]
+    anchor = np.searchsorted(mz * (1 + rel), mz)
+    heads, group = np.unique(anchor, return_inverse=True)
+    centre, total = mz[heads], np.bincount(group, intensity, len(heads)) if len(mz) else np.zeros(0)
+    a, missed = np.zeros((len(centre), len(at))), np.zeros(len(at))
+    for c, (places, shares) in enumerate(zip(at, share, strict=True)):
+        for x, v in zip(places, shares, strict=True):
+            i = int(np.searchsorted(centre, x))
+            near = min((j for j in (i - 1, i) if 0 <= j < len(centre)), key=lambda j: abs(centre[j] - x), default=-1)  # noqa: B023
+            if near >= 0 and abs(centre[near] - x) <= rel * centre[near]:
+                a[near, c] += v
+            else:
+                missed[c] += v
+    used = a.any(1)
+    if not used.any():
+        return np.zeros(len(at))
+    return nnls(np.vstack([a[used], np.diag(missed)]), np.append(total[used], np.zeros(len(at))))
+
+
+def channel_traces(groups: DataFrame, scans: DataFrame, rel: float, half: int = 10) -> DataFrame:
+    """(run, group, channel, scan_num, ms1_rt, amount): each channel's amount in the survey scans within `half` of a group's, by fit_channels over all of the group's
+    channels together. groups: run, group (long), ms1_scan, members array of (channel, mz, z, isotopes); scans: run, scan_num, ms_level, rt, mz[], intensity[].
+
+    A row holds one group in one scan with the peaks around its isotopes, so nothing is grouped or shuffled for the fit.
+    """
+    from ..functions.constants import ISOTOPE_STEP
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at", kind="stable")
-        at = part["at"].to_numpy(float)
-        group = np.concatenate([[0], np.cumsum(np.diff(at) > 5e-6 * at[1:])])
-        names, col = np.unique(part["channel"].to_numpy(str), return_inverse=True)
-        a, b = np.zeros((group[-1] + 1, len(names))), np.zeros(group[-1] + 1)
-        np.add.at(a, (group, col), part["share"].to_numpy(float))
-        np.maximum.at(b, group, part["observed"].fillna(0).to_numpy(float))
-        x = nnls(a, b)
-        return pd.DataFrame({**{c: part[c].iloc[0] for c in on}, "channel": names, "quantity": x})
-
-    return rows.groupBy(*on).applyInPandas(run, f"{keys}, channel string, quantity double")
+    ms1 = scans.where("ms_level = 1").withColumn("peaks", F.arrays_zip("mz", "intensity")).drop("mz", "intensity")
+    hood = survey_neighbourhood(groups.select("run", F.col("group").alias("prec_id"), "ms1_scan", "members"), ms1, half)
+    lo = F.array_min(F.transform("members", lambda m: m["mz"])) - 1
+    hi = F.array_max(F.transform("members", lambda m: m["mz"] + (F.size(m["isotopes"]) - 1) * F.lit(ISOTOPE_STEP) / m["z"])) + 1
+    rows = hood.withColumns({"_lo": lo, "_hi": hi}).withColumn("_near", F.filter("peaks", lambda p: (p["mz"] > F.col("_lo")) & (p["mz"] < F.col("_hi"))))
+
+    def fit(mz: pd.Series, intensity: pd.Series, first: pd.Series, charge: pd.Series, isotopes: pd.Series) -> pd.Series:
+        out = []
+        for m, i, f, z, s in zip(mz, intensity, first, charge, isotopes, strict=True):
+            shares = [np.asarray(x, float) for x in s]
+            places = [x + np.arange(len(v)) * ISOTOPE_STEP / c for x, c, v in zip(f, z, shares, strict=True)]
+            out.append(fit_channels(np.asarray(m, float), np.asarray(i, float), places, shares, rel).tolist())
+        return pd.Series(out)
+
+    amounts = F.pandas_udf(fit, "array<double>")("_near.mz", "_near.intensity", "members.mz", "members.z", "members.isotopes")
+    rows = rows.withColumn("_fit", F.arrays_zip(F.col("members.channel").alias("channel"), amounts.alias("amount")))
+    return rows.select("run", F.col("prec_id").alias("group"), "scan_num", "ms1_rt", F.explode("_fit").alias("f")).select("run", "group", "f.channel", "scan_num", "ms1_rt", "f.amount")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.isotopes import patterns
-from ..functions.peptide import composition, precursor_key, stripped, untagged
+from ..functions.peptide import composition, precursor_key, sibling_channels, stripped, tag_library, untagged
 from ..operators import quant, scoring, spectra
 from ..operators.calibrate import Calibration
+from ..operators.traces import apex_area
 from ..shared import stored
 from ..sources import readers, writers
 from . import search as s
@@ -60,6 +61,34 @@ def identified(psm: DataFrame, scans: DataFrame, precursors: DataFrame, config:
     return got.join(proteins, "protein", "left")
 
 
+def tagged_library(library: DataFrame, tag: str) -> DataFrame:
+    """The library once for every channel of a tag, with the m/z of precursors and fragments moved; one that holds tagged sequences already stays as it is."""
+    if not library.where(F.col("mod_seq").contains(f"({tag}-")).isEmpty():
+        return library
+    rest = [c for c in library.columns if c not in ("frags", "mod_seq", "prec_mz")]
+    rows = library.select("mod_seq", "prec_mz", *rest, F.explode("frags").alias("_f")).select("mod_seq", "prec_mz", *rest, "_f.mz", "_f.intensity", "_f.name")
+    moved = tag_library(rows, tag)
+    frags = F.array_sort(F.collect_list(F.struct("mz", "intensity", "name"))).alias("frags")
+    return moved.groupBy("mod_seq", "charge", "is_decoy").agg(F.first("prec_mz").alias("prec_mz"), *[F.first(c).alias(c) for c in rest if c not in ("charge", "is_decoy")], frags).select(*library.columns)
+
+
+def channel_amounts(ids: DataFrame, scans: DataFrame, config: s.Config) -> DataFrame:
+    """(run, untag_prec, channel, plex_fit, plex_area): for each precursor with an identified channel the amounts of all channels of its tag, fitted together
+    to the survey scans around the best channel's match: the largest, and it with its two neighbours."""
+    best = scoring.best_rows(ids, ["run", "untag_prec"], [F.desc("coeff"), "scan_num"]).select("run", "untag_prec", "scan_num", "mod_seq", "charge", "prec_mz")
+    near = quant.nearest_survey(scans.select("run", "scan_num", "ms_level", "rt")).select("run", "scan_num", F.col("ms1_rt").alias("rt"))
+    apex = best.join(near, ["run", "scan_num"]).join(scans.where("ms_level = 1").select("run", "rt", F.col("scan_num").alias("ms1_scan")), ["run", "rt"])
+    atoms = F.coalesce(composition(untagged(F.col("mod_seq"), config.tag)), composition(stripped(F.col("mod_seq"))))
+    own = patterns(apex.select("run", "untag_prec", "ms1_scan", "mod_seq", "charge", "prec_mz", atoms.alias("_atoms")), "_atoms", config.isotopes).drop("_atoms")
+    member = F.struct(F.col("sibling").alias("channel"), F.col("prec_mz").alias("mz"), F.col("charge").alias("z"), "isotopes")
+    groups = sibling_channels(own, config.tag).groupBy("run", "untag_prec", "ms1_scan").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    groups = stored(groups.withColumn("group", F.xxhash64("untag_prec")), "groups")
+    traces = quant.channel_traces(groups, scans, config.ms1_tol)
+    key = ["run", "group", "channel"]
+    amounts = apex_area(traces, key, "ms1_rt", "amount", "plex_area").join(traces.groupBy(*key).agg(F.max("amount").alias("plex_fit")), key)
+    return amounts.join(groups.select("run", "group", "untag_prec"), ["run", "group"]).select("run", "untag_prec", "channel", "plex_fit", "plex_area")
+
+
 QUANTITIES = ["ms1_area", "ms1_int", "iso_cor", "peak_area", "ms1_cor", "traceproduct"]
 
 
@@ -71,7 +100,11 @@ def quantified(ids: DataFrame, scans: DataFrame, config: s.Config, psm: DataFram
     best = patterns(wanted.select("run", "prec_id", "scan_num", "prec_mz", "charge", atoms.alias("_atoms")), "_atoms", config.isotopes).drop("_atoms")
     coefficients = None if psm is None else psm.join(scans.select("scan_num", "run"), "scan_num").select("run", "prec_id", "rt", "coeff").join(wanted.select("run", "prec_id"), ["run", "prec_id"], "left_semi")
     areas = quant.survey_areas(best, scans, config.ms1_tol, n=config.isotopes, axis="scan_in_run", coefficients=coefficients)
-    return ids.join(areas, ["run", "prec_id"], "left").fillna(0.0, [c for c in QUANTITIES if c in areas.columns])
+    out = ids.join(areas, ["run", "prec_id"], "left").fillna(0.0, [c for c in QUANTITIES if c in areas.columns])
+    if not config.tag:
+        return out
+    amounts = channel_amounts(stored(wanted.select("run", "untag_prec", "scan_num", "mod_seq", "charge", "prec_mz", "coeff"), "wanted"), scans, config)
+    return out.join(amounts, ["run", "untag_prec", "channel"], "left").fillna(0.0, ["plex_fit", "plex_area"])
 
 
 def run(spark: SparkSession, mzml: str, library: str, out: str, config: s.Config = s.Config()) -> DataFrame:
@@ -82,6 +115,7 @@ def run(spark: SparkSession, mzml: str, library: str, out: str, config: s.Config
     """
     scans = with_scan_ids(readers.read_scans(spark, mzml, f"{out}/scans"))
     targets = readers.read_any_library(spark, library, f"{out}/library")
+    targets = tagged_library(targets, config.tag) if config.tag else targets
     precursors = stored(with_ids(s.add_decoys(targets, config.decoys, config.tag or "mTRAQ")), "precursors")
     fragments = stored(readers.library_fragments(precursors), "fragments")
     found, calibration = first_search(scans, fragments, precursors, config)
