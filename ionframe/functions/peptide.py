@@ -81,9 +81,9 @@ def substitute_decoy(tokens: Column) -> Column:
 
 
 def token_mass(token: Column) -> Column:
-    """A residue token's mass; null where a residue or one of its modifications is unknown."""
+    """A residue token's mass; null where a residue or one of its modifications is unknown. A modification may be its mass, as in C[+57.02]."""
     known = F.map_concat(_map(MODIFICATION_MASS), _map({f"{t}-{c}": base + d for t, (_, base, chans) in MASS_TAGS.items() for c, d in chans.items()}))
-    mods = F.aggregate(modifications(token), F.lit(0.0), lambda a, m: a + F.try_element_at(known, m))
+    mods = F.aggregate(modifications(token), F.lit(0.0), lambda a, m: a + F.coalesce(F.try_element_at(known, m), m.try_cast("double")))
     letter = F.regexp_extract(token, r"^([A-Z])", 1)
     return F.when(letter == "", mods).otherwise(F.try_element_at(_map(RESIDUE_MASS), letter) + mods)
 
@@ -102,6 +102,25 @@ def fragment_mz(tokens: Column, ion: Column, idx: Column, charge: Column, loss:
     return F.when((idx >= 1) & (idx <= n), neutral / charge + F.lit(PROTON))
 
 
+def named_peaks(seq: Column, mz: Column, intensity: Column, rel: float = 20e-6, charges: tuple[int, ...] = (1, 2)) -> Column:
+    """Fragments (mz, intensity, name) for the b and y ions of a peptide that have a peak within the tolerance, each with its nearest one; the order is by m/z."""
+    tokens, peaks = residues(seq), F.arrays_zip(mz.alias("mz"), intensity.alias("intensity"))
+    none = F.lit(None).cast("string")
+
+    def ion(kind: str, i: Column, z: int) -> Column:
+        return F.struct(fragment_mz(tokens, F.lit(kind), i, F.lit(z), none).alias("at"), F.concat(F.lit(kind), i.cast("string"), F.lit(f"_{z}")).alias("name"))
+
+    places = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    ions = F.filter(F.flatten(F.transform(places, lambda i: F.array(*[ion(k, i, z) for k in "by" for z in charges]))), lambda x: x["at"].isNotNull())
+
+    def nearest(x: Column) -> Column:
+        near = F.filter(peaks, lambda p: F.abs(p["mz"] - x["at"]) <= rel * x["at"])
+        return F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["mz"] - x["at"]).alias("d"), p["mz"].alias("mz"), p["intensity"].alias("intensity"), x["name"].alias("name"))))
+
+    hits = F.filter(F.transform(ions, nearest), lambda h: h.isNotNull())
+    return F.array_sort(F.transform(hits, lambda h: F.struct(h["mz"].alias("mz"), h["intensity"].alias("intensity"), h["name"].alias("name"))))
+
+
 def tag_positions(tokens: Column, rules: str) -> Column:
     """How many tags each token takes: rule n is the first token, a letter its residues."""
     letters = rules.replace("n", "")

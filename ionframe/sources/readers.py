@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.peptide import fragment_name, split_fragment, stripped
+from ..functions.peptide import fragment_name, named_peaks, split_fragment, stripped
 
 SCANS = "run string, scan_num long, ms_level int, rt double, inj_time double, tic double, prec_mz double, win_lo double, win_hi double, ce double, scan_lo double, scan_hi double, mz array<double>, intensity array<double>"
 
@@ -156,15 +156,16 @@ def _blob(raw: bytes, n: int, kind: str) -> list[float]:
 
 
 def read_any_library(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
-    """A library by its kind: .blib files as SQLite, others as tables. With a cache folder the parsed library is written there as Parquet
+    """A library by its kind: .blib files as SQLite, whose peaks get the names of the b and y ions that they fit (others go, and entries without
+    any), others as tables. With a cache folder the parsed library is written there as Parquet
     once and read from there afterwards; delete the folder when the source changes."""
     if cache and exists(spark, f"{cache}/_SUCCESS"):
         return spark.read.parquet(cache)
     if path.rstrip("/").endswith(".blib"):
         raw = read_blib(spark, path)
-        frags = F.transform(F.arrays_zip("mz", "intensity"), lambda p, i: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"), F.concat(F.lit("p"), (i + 1).cast("string"), F.lit("_1")).alias("name")))
+        frags = named_peaks(F.col("mod_seq"), F.col("mz"), F.col("intensity"))
         none = {c: F.lit(None).cast("double" if c == "im" else "string") for c in ("im", "protein_group", "protein_name", "genes", "uniprot_id")}
-        library = raw.select("mod_seq", "charge", stripped(F.col("mod_seq")).alias("seq"), "prec_mz", "irt", *[v.alias(k) for k, v in none.items()], F.array_sort(frags).alias("frags"), F.lit(False).alias("is_decoy"))
+        library = raw.select("mod_seq", "charge", stripped(F.col("mod_seq")).alias("seq"), "prec_mz", "irt", *[v.alias(k) for k, v in none.items()], frags.alias("frags"), F.lit(False).alias("is_decoy")).where(F.size("frags") > 0)
     else:
         library = read_library(spark, path)
     if cache:

@@ -39,6 +39,32 @@ def test_one_file_in_many_tasks_equals_the_plain_reader(spark, file):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_spectrum_library_with_decoys(spark, tmp_path):
+    import sqlite3
+    import zlib
+
+    import numpy as np
+
+    from ionframe.functions import peptide
+    from ionframe.plans import search
+
+    seq = "AC[+57.02146]DEK"
+    df = spark.createDataFrame([(seq,)], "s string").withColumn("t", peptide.residues(F.col("s")))
+    mz = lambda k, i: df.select(peptide.fragment_mz(F.col("t"), F.lit(k), F.lit(i), F.lit(1), F.lit(None).cast("string"))).head()[0]
+    peaks = sorted([(mz("b", 2), 10.0), (mz("y", 1), 30.0), (mz("y", 3) * (1 + 5e-6), 20.0), (333.33, 99.0)])
+    with sqlite3.connect(tmp_path / "x.blib") as db:
+        db.execute("create table RefSpectra (id int, peptideModSeq text, precursorCharge int, precursorMZ real, retentionTime real, numPeaks int)")
+        db.execute("create table RefSpectraPeaks (RefSpectraID int, peakMZ blob, peakIntensity blob)")
+        a, b = np.array([p[0] for p in peaks], "<f8").tobytes(), np.array([p[1] for p in peaks], "<f4").tobytes()
+        db.execute("insert into RefSpectra values (1, ?, 2, 300.5, 12.5, 4), (2, 'A[+5]X', 2, 1, 1, 4)", (seq,))
+        db.executemany("insert into RefSpectraPeaks values (?, ?, ?)", [(1, zlib.compress(a), b), (2, a, b)])
+    library = readers.read_any_library(spark, f"file://{tmp_path}/x.blib")
+    row = library.collect()
+    assert len(row) == 1 and [f.name for f in row[0].frags] == [n for _, n in sorted([(mz("b", 2), "b2_1"), (mz("y", 1), "y1_1"), (mz("y", 3), "y3_1")])]
+    both = search.add_decoys(library).orderBy("is_decoy").collect()
+    assert both[1].mod_seq == "EDC[+57.02146]AK" and len(both[1].frags) == 3 and both[1].frags != both[0].frags
+
+
 def test_filters_come_before_decoding(spark, file):
     df = readers.read_mzml(spark, f"file://{file}")
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
