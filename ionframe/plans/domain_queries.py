@@ -299,11 +299,22 @@ def result_outputs(spark, sf_dir):
 
 @query("""SELECT CAST(floor(epoch_us(ts)/600000000) AS BIGINT) AS slot, event_type, count(*) AS n, round(sum(value),2) AS total FROM events GROUP BY 1, 2""")
 def windowed_stream(spark, sf_dir):
-    """The windows of a file stream of events, as far as they are complete or not, written by one available-now run."""
-    from ..streaming.scans import process_batches, read_stream
+    """All windows of a file stream of events, kept in the stream's state, after one available-now run."""
+    from ..streaming.scans import read_stream, windowed, write_windows
 
     at = folder(spark, "stream")
     t(spark, sf_dir, "events").select("ts", "event_type", "value").write.parquet(f"{at}/in")
-    process_batches(read_stream(spark, f"{at}/in", "ts timestamp_ntz, event_type string, value double"), lambda b: b, f"{at}/out", f"{at}/state").awaitTermination()
-    got = spark.read.parquet(f"{at}/out").groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return got.select((F.unix_micros(F.col("window.start").cast("timestamp")) / 600_000_000).cast("long").alias("slot"), "event_type", "n", "total")
+    stream = read_stream(spark, f"{at}/in", "ts timestamp_ntz, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    write_windows(windowed(stream, "ts", ["event_type"], "value"), f"{at}/out", f"{at}/state", closed_only=False).awaitTermination()
+    got = spark.read.parquet(f"{at}/out")
+    return got.select((F.unix_micros("start") / 600_000_000).cast("long").alias("slot"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query()
+def retention_times(spark, sf_dir):
+    """A part's price predicted from its peptide by the model that is fitted on all parts."""
+    from ..operators import retention
+
+    own = parts(spark, sf_dir).select("p_partkey", "seq", "p_retailprice")
+    model = retention.fit(own, "seq", "p_retailprice", 1.0)
+    return own.select("p_partkey", F.round(model(F.col("seq")), 3).alias("predicted"))

@@ -11,6 +11,7 @@ from ..functions.isotopes import patterns
 from ..functions.peptide import composition, precursor_key, sibling_channels, stripped, tag_library, untagged
 from ..operators import quant, scoring, spectra
 from ..operators.calibrate import Calibration
+from ..operators.retention import Predictor, chosen
 from ..operators.traces import apex_area
 from ..shared import stored
 from ..sources import readers, writers
@@ -37,10 +38,11 @@ def first_search(scans: DataFrame, fragments: DataFrame, precursors: DataFrame,
     return matches, s.probe_calibration(matches)
 
 
-def calibrated(precursors: DataFrame, scans: DataFrame, calibration: Calibration, config: s.Config) -> tuple[DataFrame, DataFrame, s.Config]:
-    """Precursors with library times turned into run times, scans with peaks freed from the instrument's mass error, and
+def calibrated(precursors: DataFrame, scans: DataFrame, calibration: Calibration, config: s.Config, predictor: Predictor | None = None) -> tuple[DataFrame, DataFrame, s.Config]:
+    """Precursors with library times turned into run times (or times predicted from their sequences), scans with peaks freed from the instrument's mass error, and
     tolerances that are never wider than those asked for."""
-    moved = precursors.withColumn("irt", calibration.predicted_rt(F.col("irt")))
+    own = calibration.predicted_rt(F.col("irt"))
+    moved = precursors.withColumn("irt", F.coalesce(predictor(stripped(F.col("mod_seq"))), own) if predictor else own)
     peaks = scans.withColumn("mz", calibration.corrected_peaks(F.col("mz"), F.col("rt"), F.col("ms_level")))
     narrow = lambda asked, found, least: min(asked, max(found, least))
     tolerances = {"rt_tol": narrow(config.rt_tol, calibration.rt_tol, 0.05), "ms1_tol": narrow(config.ms1_tol, calibration.ms1_tol, 1e-6), "mz_tol": narrow(config.mz_tol, calibration.mz_tol, 1e-6)}
@@ -121,7 +123,11 @@ def run(spark: SparkSession, mzml: str, library: str, out: str, config: s.Config
     found, calibration = first_search(scans, fragments, precursors, config)
     writers.write_first_search(found, f"{out}/first_search")
     writers.write_calibration(spark, calibration, f"{out}/calibration")
-    moved, scans, narrow = calibrated(precursors, scans, calibration, config)
+    predictor = None
+    if config.predict_rt:
+        known = found.join(precursors.select("prec_id", "mod_seq"), "prec_id").select(stripped(F.col("mod_seq")).alias("seq"), "irt", "rt")
+        predictor = chosen(stored(known, "known"), calibration.predicted_rt(F.col("irt")), "seq", "rt", least=config.predict_least)
+    moved, scans, narrow = calibrated(precursors, scans, calibration, config, predictor)
     psm = stored(s.search(scans.where("ms_level = 2"), fragments, moved, narrow, scans if config.ms1_required else None), "psm")
     ids = quantified(identified(psm, scans, precursors, config), scans, narrow, psm)
     shown = calibration.corrected_mz(F.col("prec_mz"), F.col("rt"))  # where the run's survey scans show the precursor

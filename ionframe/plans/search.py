@@ -34,6 +34,8 @@ class Config:
     top: int = 10
     nearby: int = 2
     isotopes: int = 6
+    predict_rt: bool = True
+    predict_least: int = 1000
     q_threshold: float = 0.01
     folds: int = 5
     trees: int = 200
