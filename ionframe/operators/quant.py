@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..shared import stored
 from .joins import nearest, nearest_match, range_join
 from .solve import nnls
-from .traces import pearson
+from .traces import pearson, pearson_p
 
 
 def nearest_survey(scans: DataFrame) -> DataFrame:
@@ -134,10 +134,11 @@ def picked(traces: DataFrame, on: list[str], x: str, y: str, apex: str) -> DataF
 
 
 def trace_correlations(traces: DataFrame, reference: DataFrame, on: list[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """(key, iso, r, n): Pearson's r of each isotope's trace with a reference trace; null below `least` points."""
+    """(key, iso, r, n, p): Pearson's r of each isotope's trace with a reference trace, null below `least` points, and its p-value."""
     both = traces.join(reference.select(*on, x, F.col(y).cast("double").alias("_ref")), [*on, x]).where(f"{y} is not null and _ref is not null and not isnan({y}) and not isnan(_ref)")
     got = both.groupBy(*on, "iso").agg(pearson(y, "_ref").alias("r"), F.count("*").alias("n"))
-    return got.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
+    got = got.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")))
+    return got.withColumn("p", pearson_p(F.col("r"), F.col("n")))
 
 
 def fit_channels(mz: np.ndarray, intensity: np.ndarray, at: list[np.ndarray], share: list[np.ndarray], rel: float) -> np.ndarray:

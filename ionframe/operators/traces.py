@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,47 @@ def pearson(a: str, b: str):
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+# Coefficients of Lanczos' approximation of the gamma function for g = 7.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 0.5, to about 1e-14."""
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:]):
+        series = series + F.lit(c) / (x + i)
+    t = x + 6.5
+    return F.lit(0.9189385332046727) + (x - 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def beta_share(x: Column, a: Column, b: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for a, b >= 0.5 by its continued fraction, on the side where that converges fast."""
+
+    def side(x: Column, a: Column, b: Column) -> Column:
+        tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+        def turn(s: Column, i: Column) -> Column:  # one even and one odd step
+            even = i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i))
+            odd = -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))
+            d1, c1 = 1 / tiny(1 + even * s["d"]), tiny(1 + even / s["c"])
+            d2, c2 = 1 / tiny(1 + odd * d1), tiny(1 + odd / c1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+        first = 1 / tiny(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) / a
+        return front * F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda i: i.cast("double")), start, turn)["h"]
+
+    near = x < (a + 1) / (a + b + 2)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(near, side(x, a, b)).otherwise(1 - side(1 - x, b, a))
+
+
+def pearson_p(r: Column, n: Column) -> Column:
+    """The two-sided p-value of Pearson's r over n points: how often unrelated values would have one as large. Null below three points or without an r."""
+    p = beta_share(F.greatest(F.lit(0.0), 1 - r * r), (n - 2) / F.lit(2.0), F.lit(0.5))
+    return F.when((n >= 3) & ~F.isnan(r) & r.isNotNull(), p)
+
+
 def trapezoid(df: DataFrame, on: list[str], x: str, y: str, out: str = "area") -> DataFrame:
     """(key, out): trapezoid area of y over x; 0 for a single point."""
     w = Window.partitionBy(*on).orderBy(x)
