@@ -16,7 +16,7 @@ from ._common import chunks, mix64, only, stored
 _BREAK = b"\xff"  # never a byte of UTF-8
 _TABLE = bytes(32 if c == 9 else 255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
 _PROBES = 3
-_FILTERED = 3  # n-grams of up to so many words are counted first, and longer ones only where all these within them are frequent
+_FILTERED = 2  # n-grams of up to so many words are counted first, and longer ones only where all these within them are frequent; 3 halves the second scan's rows and doubles the first one's
 
 
 def split(text: str) -> list[bytes]:
@@ -254,7 +254,7 @@ def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, kn
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 18, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """Exact counts: (lang, n) of all words, and (lang, w1..w<longest>, f, word) of all n-grams with f >= least.
 
-    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words, pairs and triples by
+    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words and pairs by
     one hash each; an n-gram can only be frequent if those within it are. The frequent ones go into a bit filter of at most filter_bytes, the only
     thing sent to all tasks; the second scan counts what passes, by its words. Should two words share a hash, both are among
     the second scan's words: then it is all done again with another seed.
