@@ -91,6 +91,21 @@ def monotone(df: DataFrame, raw: str, order: Order, out: str) -> DataFrame:
     return own.withColumn("_m", F.min(raw).over(w)).join(F.broadcast(beyond), "_part").withColumn(out, F.least("_m", "_b")).drop("_part", "_m", "_b")
 
 
+def around(df: DataFrame, mark: Column, order: list[str], before: str, after: str) -> DataFrame:
+    """df with the nearest marks at or before and at or after each row in a global rising order; null where there is none.
+
+    A mark is a struct (null in rows that bear none) that sorts as its row does. Each range takes its own, and the last mark of the ranges
+    before and the first of those beyond (one row per range) fill its ends. df should be a stored table: it is read several times.
+    """
+    own = dealt(df.withColumn("_m", mark), [(c, False) for c in order])
+    ends = own.groupBy("_part").agg(F.min("_m").alias("_a"), F.max("_m").alias("_z"))
+    ends = ends.select("_part", F.max("_z").over(Window.orderBy("_part").rowsBetween(_AHEAD, -1)).alias("_e0"), F.min("_a").over(Window.orderBy(F.desc("_part")).rowsBetween(_AHEAD, -1)).alias("_e1"))
+    w, up, down = Window.partitionBy("_part"), [F.asc(c) for c in order], [F.desc(c) for c in order]
+    last = lambda o: F.last("_m", ignorenulls=True).over(w.orderBy(*o).rowsBetween(_AHEAD, Window.currentRow))
+    local = own.withColumns({"_l": last(up), "_r": last(down)}).join(F.broadcast(ends), "_part")
+    return local.withColumns({before: F.coalesce("_l", "_e0"), after: F.coalesce("_r", "_e1")}).drop("_part", "_m", "_l", "_r", "_e0", "_e1")
+
+
 def exact_medians(df: DataFrame, on: list[str], value: str, out: str = "median", accuracy: int = 100_000) -> DataFrame:
     """(on, out): each key's median, the mean of the middle two of an even number, exactly and without all of a key in one task.
 

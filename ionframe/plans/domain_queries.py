@@ -160,7 +160,7 @@ def signed_nearest(spark, sf_dir):
 def feature_spectrum(spark, sf_dir):
     f = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").alias("mz"), F.col("p_size").alias("rt_apex"))
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan_num"), F.col("s_nationkey").alias("rt"), (F.col("s_acctbal") - 250).alias("win_lo"), (F.col("s_acctbal") + 250).alias("win_hi"))
-    return joins.feature_spectrum(f, s, 500).select(F.col("feature_id").alias("p_partkey"), F.col("scan_num").alias("s_suppkey"))
+    return joins.feature_spectrum(f, s).select(F.col("feature_id").alias("p_partkey"), F.col("scan_num").alias("s_suppkey"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)*0.5,6) AS area FROM events")
