@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import range_join
+from .joins import nearest_holding
 
 
 def within_tolerance(x: Column, y: Column, rel: float, absolute: float = 0.0) -> Column:
@@ -27,13 +27,14 @@ def probe_features(features: DataFrame, per_bin: int, bins: int = 5) -> DataFram
     return own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_bin).drop("_r", "_a", "_b")
 
 
-def closest_feature(precursors: DataFrame, features: DataFrame, rel: float, width: float = 0.05) -> DataFrame:
+def closest_feature(precursors: DataFrame, features: DataFrame, rel: float) -> DataFrame:
     """Each precursor's feature with the nearest m/z among those that span its time and lie within the tolerance;
     null if none. precursors: prec_id, mz, rt; features: feature_id, mz, rt_start, rt_end."""
-    p = precursors.select("prec_id", F.col("mz").alias("_mz"), F.col("rt").alias("_rt"), (F.col("mz") * (1 - rel)).alias("_lo"), (F.col("mz") * (1 + rel)).alias("_hi"))
-    hit = range_join(features, "mz", p, "_lo", "_hi", width, open_lo=False).where("_rt between rt_start and rt_end")
+    p = precursors.select("prec_id", F.col("mz").cast("double").alias("_mz"), F.col("rt").cast("double").alias("_rt"))
+    hit = nearest_holding(p, "_rt", "_mz", features, "rt_start", "rt_end", "mz", "feature_id").where(F.col("mz").between(F.col("_mz") * (1 - rel), F.col("_mz") * (1 + rel)))
     # by the absolute difference, the smaller feature_id of equals; the signed one goes along
-    best = hit.groupBy("prec_id").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("_mz")).alias("d"), "feature_id", (F.col("mz") - F.col("_mz")).alias("mz_diff"))).alias("m")).select("prec_id", "m.feature_id", "m.mz_diff")
+    best = hit.groupBy("_rt", "_mz").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("_mz")).alias("d"), "feature_id", (F.col("mz") - F.col("_mz")).alias("mz_diff"))).alias("m"))
+    best = p.join(best, ["_rt", "_mz"]).select("prec_id", "m.feature_id", "m.mz_diff")
     return precursors.join(best, "prec_id", "left")
 
 

@@ -40,3 +40,45 @@ def test_scans_are_solved_without_a_python_group_each(spark):
             a[at.index(k), cols.index(p)], b[at.index(k)] = v, o
         x = np.array([got[s, p] for p in cols])
         assert np.linalg.norm(a @ x - b) == pytest.approx(np.linalg.norm(a @ nnls(a, b) - b), abs=1e-6)
+
+
+def test_ranges_are_counted_without_pairs(spark):
+    from ionframe.operators import joins
+
+    r = np.random.default_rng(7)
+    x, y = r.integers(-40, 40, 500), r.integers(-45, 45, 90)
+    pts = spark.createDataFrame([("ab"[i % 2] if i % 9 else None, float(v)) for i, v in enumerate(x)], "k string, x double")
+    rng = spark.createDataFrame([("ab"[i % 2], i, float(v), float(v + i % 6 - 1)) for i, v in enumerate(y)], "k string, i int, lo double, hi double")
+    for open_lo in (True, False):
+        for open_hi in (True, False):
+            want = {w.i: w["count"] for w in joins.range_join(pts, "x", rng, "lo", "hi", 5, ["k"], open_lo, open_hi).groupBy("i").count().collect()}
+            assert {g.i: g.n for g in joins.range_counts(pts, "x", rng, ["i"], "lo", "hi", ["k"], open_lo, open_hi).collect()} == want
+
+
+def test_nearest_of_the_holding_ranges_without_pairs(spark):
+    from ionframe.operators import joins, probes
+
+    r = np.random.default_rng(8)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(r.integers(0, 300, 200), r.integers(1, 60, 200)))]
+    ranges = [(i, float(a), float(a + w), float(b)) for i, (a, w, b) in enumerate(zip(r.integers(-20, 310, 70), r.integers(-1, 150, 70), r.integers(1, 60, 70)))]
+    f = spark.createDataFrame(points, "feature_id int, mz double, rt_apex double")
+    s = spark.createDataFrame(ranges, "scan_num int, win_lo double, win_hi double, rt double")
+    got = joins.feature_spectrum(f, s)
+    hit = {i: min(((abs(t - b), n) for n, lo, hi, t in ranges if lo <= a <= hi), default=None) for i, a, b in points}
+    assert {g.feature_id: g.scan_num for g in got.collect()} == {i: h[1] for i, h in hit.items() if h}
+    p = f.select(F.col("feature_id").alias("prec_id"), F.col("mz").alias("rt"), F.col("rt_apex").alias("mz"))
+    own = s.select(F.col("scan_num").alias("feature_id"), F.col("rt").alias("mz"), F.col("win_lo").alias("rt_start"), F.col("win_hi").alias("rt_end"))
+    near = {i: min(((abs(t - b), n) for n, lo, hi, t in ranges if lo <= a <= hi and b * 0.8 <= t <= b * 1.2), default=(0, None))[1] for i, a, b in points}
+    assert {g.prec_id: g.feature_id for g in probes.closest_feature(p, own, 0.2).collect()} == near
+
+
+def test_nearest_match_without_pairs(spark):
+    from ionframe.operators import joins
+
+    r = np.random.default_rng(9)
+    centres = [(i, "abc"[i % 3], float(v)) for i, v in enumerate(r.integers(1, 200, 90))]
+    points = [("ab"[i % 2], float(v)) for i, v in enumerate(r.integers(1, 200, 60))]
+    got = joins.nearest_match(spark.createDataFrame(centres, "i int, k string, c double"), ["i"], "c", spark.createDataFrame(points, "k string, x double"), "x", 0.05, ["k"], [])
+    assert "_bucket" not in plan(got)
+    want = {i: min(((abs(x - c), -x) for m, x in points if m == k and abs(x - c) <= 0.05 * c), default=None) for i, k, c in centres}
+    assert {g.i: (g.x, g.rel_error) for g in got.collect()} == {i: (-w[1], (-w[1] - c) / c) for (i, _, c), w in zip(centres, want.values()) if w}
