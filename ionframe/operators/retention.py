@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from .calibrate import better_by_cdf
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 ENDS = 3  # residues of either end that have weights of their own
-KERNEL = 2  # residues of a window
 
 
 @dataclass(frozen=True)
@@ -22,39 +23,63 @@ class Predictor:
     weights: tuple[float, ...]
 
     def __call__(self, seq: Column) -> Column:
-        terms = F.zip_with(features(seq), F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w)
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+        weights = np.array(self.weights)
+
+        def predicted(seqs: pa.Array) -> pa.Array:
+            x = matrix(seqs) @ weights
+            return pa.array(x, mask=pc.is_null(seqs).to_numpy(zero_copy_only=False))
+
+        return F.arrow_udf(predicted, "double")(seq)
 
 
 # Classes of residues for windows (acid, base, polar, aliphatic, aromatic and the rest).
 CLASSES = ("DE", "HKR", "NQST", "AILMV", "FWY", "CGP")
 
 
+CODES = np.full(256, 20)  # of bytes; 20: any other letter
+CODES[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(20)
+CLASS_OF = np.array([next(i for i, c in enumerate(CLASSES) if a in c) for a in LETTERS] + [-1])
+
+
+def matrix(seqs: pa.Array) -> np.ndarray:
+    """Features of bare sequences, one row each; their number doesn't depend on the sequence. Unknown letters count for nothing but the length."""
+    texts = ["" if s is None else s for s in seqs.to_pylist()]
+    n = np.array([len(s) for s in texts], np.int64)
+    codes = CODES[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)]  # a byte a letter
+    row, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    place = np.arange(len(codes)) - starts[row]
+    own, classes = np.zeros((len(n), 21)), np.zeros((len(n), len(CLASSES) ** 2))
+    np.add.at(own, (row, codes), 1.0)
+    ends = np.zeros((len(n), 2 * ENDS, 21))
+    for i in range(ENDS):
+        first, last = place == i, place == n[row] - 1 - i
+        ends[row[first], i, codes[first]] = 1.0
+        ends[row[last], ENDS + i, codes[last]] = 1.0
+    a, b = CLASS_OF[codes[:-1]], CLASS_OF[codes[1:]]
+    pairs = np.flatnonzero((row[:-1] == row[1:]) & (a >= 0) & (b >= 0))
+    np.add.at(classes, (row[pairs], a[pairs] * len(CLASSES) + b[pairs]), 1.0)
+    return np.concatenate([np.ones((len(n), 1)), np.log(1.0 + n)[:, None], n[:, None], own[:, :20], ends[:, :, :20].reshape(len(n), -1), classes], 1)
+
+
 def features(seq: Column) -> Column:
-    """The array of a bare sequence's features; its length doesn't depend on the sequence. Unknown letters count for nothing but the length."""
-    n = F.char_length(seq)
-    count = lambda text, what: (F.char_length(text) - F.char_length(F.translate(text, what, ""))).cast("double")
-    own = [count(seq, a) for a in LETTERS]
-    places = [F.substring(seq, i + 1, 1) for i in range(ENDS)] + [F.when(n > i, F.substring(seq, -(i + 1), 1)).otherwise("") for i in range(ENDS)]
-    ends = [(p == a).cast("double") for p in places for a in LETTERS]
-    classed = F.translate(seq, "".join(CLASSES), "".join(str(i) * len(c) for i, c in enumerate(CLASSES)))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - KERNEL + 1)), lambda i: F.substring(classed, i, F.lit(KERNEL)))
-    number = lambda kind: F.size(F.filter(windows, lambda w: w == F.lit(kind))).cast("double")
-    pairs = [number(f"{a}{b}") for a in range(len(CLASSES)) for b in range(len(CLASSES))]
-    return F.array(F.lit(1.0), F.ln(1.0 + n), n.cast("double"), *own, *ends, *pairs)
+    """The rows of matrix as arrays; null for a null sequence."""
+
+    def arrays(seqs: pa.Array) -> pa.Array:
+        x = matrix(seqs)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()), mask=pc.is_null(seqs))
+
+    return F.arrow_udf(arrays, "array<double>")(seq)
 
 
 def fit(ids: DataFrame, seq: str, rt: str, ridge: float = 0.1) -> Predictor:
     """Ridge regression of times on features; one aggregation sums the products (their number is fixed), and the driver solves the normal equations."""
-    rows = ids.where(F.col(seq).isNotNull() & F.col(rt).isNotNull()).select(F.concat(features(F.col(seq)), F.array(F.col(rt).cast("double"))).alias("v"))
+    rows = ids.where(F.col(seq).isNotNull() & F.col(rt).isNotNull()).select(F.col(seq).alias("s"), F.col(rt).cast("double").alias("t"))
 
     def products(batches):
-        import pyarrow as pa
-
         total = None
         for batch in batches:
             if batch.num_rows:
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                v = np.column_stack([matrix(batch.column("s")), batch.column("t").to_numpy(zero_copy_only=False)])
                 total = v.T @ v if total is None else total + v.T @ v
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["at", "p"])
