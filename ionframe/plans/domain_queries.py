@@ -25,6 +25,11 @@ def parts(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size", seq.alias("seq"))
 
 
+def spread(df):
+    """df over all cores: a table of few bytes is read by one task, whatever its rows cost later."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -83,7 +88,7 @@ def sql_isotopes(spark, sf_dir):
     from ..functions.registered import register
 
     register(spark)
-    return spark.sql("SELECT p_partkey, i.iso, round(i.share, 6) AS share FROM {parts} p, LATERAL isotope_pattern(p.seq, 2) i", parts=parts(spark, sf_dir).select("p_partkey", "seq"))
+    return spark.sql("SELECT p_partkey, i.iso, round(i.share, 6) AS share FROM {parts} p, LATERAL isotope_pattern(p.seq, 2) i", parts=spread(parts(spark, sf_dir).select("p_partkey", "seq")))
 
 
 @query(f"""WITH x AS (SELECT p_partkey, list_filter(string_split(replace(regexp_replace({SEQ}, '([KR])', '\\1|', 'g'), '|P', 'P'), '|'), lambda x: x <> '') AS w FROM part),
@@ -94,7 +99,7 @@ def sql_digest(spark, sf_dir):
     from ..functions.registered import register
 
     register(spark)
-    return spark.sql("SELECT p_partkey, d.start, d.missed, d.peptide FROM {parts} p, LATERAL digest(p.seq, 2, 2, 50) d", parts=parts(spark, sf_dir).select("p_partkey", "seq"))
+    return spark.sql("SELECT p_partkey, d.start, d.missed, d.peptide FROM {parts} p, LATERAL digest(p.seq, 2, 2, 50) d", parts=spread(parts(spark, sf_dir).select("p_partkey", "seq")))
 
 
 @query(f"""WITH x AS (SELECT p_partkey, p_retailprice, p_size, {SEQ} AS seq FROM part), c(channel, mass) AS (VALUES ('0', 140.0949630177::DOUBLE), ('4', 144.1020624177::DOUBLE), ('8', 148.1091618309::DOUBLE)),
@@ -127,7 +132,7 @@ def fragment_names(spark, sf_dir):
   HAVING sum(v)>0.5 AND count(*) FILTER (k<=10)>2 AND count(*) FILTER (k=1)>=1 AND count(*) FILTER (k<=3)>=2""")
 def first_search_acceptance(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_num"), F.lit(0).alias("prec_id"), "l_linenumber", "l_returnflag", "l_extendedprice")
-    rows = spectra.top_ranks(spectra.normalised(rows, "l_extendedprice", ["scan_num"]), [F.desc("l_extendedprice"), "l_linenumber"], ["scan_num"]).where("l_returnflag <> 'N'")
+    rows = spectra.normalised(spectra.top_ranks(rows, [F.desc("l_extendedprice"), "l_linenumber"], ["scan_num"]), "l_extendedprice", ["scan_num"]).where("l_returnflag <> 'N'")  # ranks first: their sort serves the sums too
     return spectra.first_search_accepted(rows, 0.5, 2).select(F.col("scan_num").alias("l_orderkey"), F.round("matched", 6).alias("matched"), "n_top")
 
 
@@ -315,6 +320,6 @@ def retention_times(spark, sf_dir):
     """A part's price predicted from its peptide by the model that is fitted on all parts."""
     from ..operators import retention
 
-    own = parts(spark, sf_dir).select("p_partkey", "seq", "p_retailprice")
+    own = spread(parts(spark, sf_dir).select("p_partkey", "seq", "p_retailprice"))
     model = retention.fit(own, "seq", "p_retailprice", 1.0)
     return own.select("p_partkey", F.round(model(F.col("seq")), 3).alias("predicted"))
