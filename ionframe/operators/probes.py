@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import nearest_holding
+from .ranks import exact_quantiles
 
 
 def within_tolerance(x: Column, y: Column, rel: float, absolute: float = 0.0) -> Column:
@@ -42,10 +43,10 @@ def percentile_relaxation(df: DataFrame, high: list[str], low: list[str], outlie
     """Rows above percentile p of the `high` columns and below 100 - p of the `low` ones, for the first p at
     which outliers are under `share` or fewer than `least` rows are left; and that p.
 
-    All percentiles come from one aggregation, and so do the counts at every p.
+    A column's percentiles come from one count of its values, and the counts at every p from one aggregation.
     """
     steps = list(range(start, stop + 1, step))
-    quantiles = df.agg(*[F.percentile(c, F.array(*[F.lit((p if c in high else 100 - p) / 100) for p in steps])).alias(c) for c in [*high, *low]]).head()
+    quantiles = {c: exact_quantiles(df, c, [(p if c in high else 100 - p) / 100 for p in steps]) for c in [*high, *low]}
     keep = [F.lit(True) for _ in steps]
     for c in [*high, *low]:
         for i, bound in enumerate(quantiles[c] or [None] * len(steps)):

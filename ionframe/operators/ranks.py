@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DayTimeIntervalType, DoubleType, FloatType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
+from ..shared import stored
+
 Order = list[tuple[str, bool]]
 _AHEAD = Window.unboundedPreceding
 
@@ -106,6 +108,22 @@ def around(df: DataFrame, mark: Column, order: list[str], before: str, after: st
     return local.withColumns({before: F.coalesce("_l", "_e0"), after: F.coalesce("_r", "_e1")}).drop("_part", "_m", "_l", "_r", "_e0", "_e1")
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float] | None:
+    """A column's quantiles, exact and interpolated between neighbours; None if it has no values. Distinct values are counted and numbered in
+    ranges of their order, so no task holds them all; the driver gets two rows a share."""
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "values")
+    n = counts.agg(F.sum("_c")).head()[0]
+    if not n:
+        return None
+    at = [p * (n - 1) for p in shares]
+    wanted = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    placed = running(counts, F.col("_c"), [("_x", False)], "_upto")
+    ranks = F.filter(F.array(*[F.lit(k) for k in wanted]), lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_c")))
+    found = {r["k"]: r["_x"] for r in placed.select("_x", F.explode(ranks).alias("k")).collect()}  # two rows a share at most
+    both = [(x, found[math.floor(x)], found[math.ceil(x)]) for x in at]
+    return [lo if lo == hi else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi for x, lo, hi in both]
+
+
 def exact_medians(df: DataFrame, on: list[str], value: str, out: str = "median", accuracy: int = 100_000) -> DataFrame:
     """(on, out): each key's median, the mean of the middle two of an even number, exactly and without all of a key in one task.
 
