@@ -82,3 +82,54 @@ def test_nearest_match_without_pairs(spark):
     assert "_bucket" not in plan(got)
     want = {i: min(((abs(x - c), -x) for m, x in points if m == k and abs(x - c) <= 0.05 * c), default=None) for i, k, c in centres}
     assert {g.i: (g.x, g.rel_error) for g in got.collect()} == {i: (-w[1], (-w[1] - c) / c) for (i, _, c), w in zip(centres, want.values()) if w}
+
+
+def test_quantiles_are_exact_in_ranges(spark):
+    from ionframe.operators.ranks import exact_quantiles
+
+    r = np.random.default_rng(3)
+    v = np.round(r.normal(0, 3, 4001), 2)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    shares = [0.0, 0.2, 0.35, 0.5, 0.777, 1.0]
+    assert exact_quantiles(df, "v", shares) == pytest.approx(np.quantile(v, shares).tolist(), abs=1e-12)
+    assert exact_quantiles(df.where("v is null"), "v", [0.5]) is None
+
+
+def test_ranks_and_shares_of_a_scan_need_one_sort(spark):
+    from ionframe.plans.domain_queries import first_search_acceptance
+    from ionframe.plans.queries import topn_norm
+
+    for q in (topn_norm, first_search_acceptance):
+        text = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Sort [") == text.split("== Initial Plan ==")[0].count("Sort [") == 1
+
+
+def test_zero_peaks_have_no_anchor_in_sql_either(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from ionframe.plans import queries as q
+
+    spark.createDataFrame([("a", 0.0), ("a", 20.0), ("a", 20.004), ("b", 0.0)], "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    got = q.QUERIES["merge_anchor"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"select {', '.join(got.columns)} from ({q.SQL['merge_anchor']})").fetchall())
+
+
+def test_nnls_in_sql_takes_rows_together(spark):
+    from ionframe.functions.registered import nnls_rows
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    a = [None if i == 3 else r.random((i % 5, 2 + i % 3)).tolist() for i in range(40)]
+    b = [None if i == 7 else r.random(i % 5 + (i == 9)).tolist() for i in range(40)]
+    kind = pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64())
+    for cut in (0, 4):
+        got = nnls_rows(pa.array(a, kind[0])[cut:], pa.array(b, kind[1])[cut:]).to_pylist()
+        for x, p, q in zip(got, a[cut:], b[cut:], strict=True):
+            if not p or q is None or len(p) != len(q):
+                assert x is None
+            else:
+                assert x == pytest.approx(nnls(np.array(p), np.array(q)).tolist(), abs=1e-7)
+    ragged = nnls_rows(pa.array([[[1.0], [2.0]], [[1.0, 0.0]]], kind[0]), pa.array([[1.0, 2.0], [3.0]], kind[1])).to_pylist()
+    assert ragged[0] == pytest.approx([1.0]) and ragged[1] == pytest.approx([3.0, 0.0])
