@@ -11,18 +11,20 @@ from ..shared import stored
 from .calibrate import gaussian_of_counts, interpolation, local_sums, lowess
 from .ranks import exact_medians, running
 
-PER_PART = 8  # blocks of a part
+PER_PART = 32  # blocks of a part
+MOST = 256  # rows of a block, however many rows there are
+GROUP = 64  # blocks whose moments are also held as one
 POWERS = 12
 
 
 def _part_fit(rows: pd.DataFrame, blocks: pd.DataFrame, part: int, n: int, size: int, k: int) -> pd.DataFrame:
-    """The part's own rows with their fits. rows: those of the blocks that hold the part or the ends of its windows; blocks: moments of all
-    blocks that its windows touch."""
+    """The part's own rows with their fits. rows: those of the blocks that hold the part or the ends of its windows; blocks: moments of the
+    blocks, or runs of `span` blocks, that its windows touch."""
     rows, blocks = rows.sort_values("pos"), blocks.sort_values("block")
     pos, x, y, w = (rows[c].to_numpy() for c in ("pos", "x", "y", "w"))
     block = pos // size
     starts = blocks["block"].to_numpy() * size
-    ends = np.minimum(starts + size, n)
+    ends = np.minimum(starts + blocks["span"].to_numpy() * size, n)
     mid, half = blocks["mid"].to_numpy(), blocks["half"].to_numpy()
     moments = np.stack([np.stack([blocks[f"{c}{p}"].to_numpy() for p in range(POWERS)], 1) for c in ("a", "b")])
 
@@ -53,8 +55,16 @@ def _part_fit(rows: pd.DataFrame, blocks: pd.DataFrame, part: int, n: int, size:
     return rows.iloc[own].assign(fit=fit)
 
 
-def _windows(blocks: pd.DataFrame, k: int, n: int, size: int) -> pd.DataFrame:
-    """(part, block, raw): the blocks that each part's windows touch, and of which it needs the rows; from the blocks' ends alone."""
+def _cover(low: int, high: int, group: int):
+    """(block, span): the blocks low..high - 1, whole groups as one."""
+    while low < high:
+        span = group if low % group == 0 and low + group <= high else 1
+        yield low, span
+        low += span
+
+
+def _windows(blocks: pd.DataFrame, k: int, n: int, size: int, group: int) -> pd.DataFrame:
+    """(part, block, span, raw): the blocks, or whole groups of them, that each part's windows touch, and the blocks of which it needs the rows; from the blocks' ends alone."""
     blocks = blocks.sort_values("block")
     first, last, count = blocks["first_x"].to_numpy(), blocks["last_x"].to_numpy(), len(blocks)
     at = np.arange(count) * size
@@ -68,16 +78,17 @@ def _windows(blocks: pd.DataFrame, k: int, n: int, size: int) -> pd.DataFrame:
         right = min(count - 1, int(np.searchsorted(least, 2 * last[b1])))
         lo, hi = left * size, min(right * size, n - k)
         raw = {*range(left, max(right, hi // size) + 1), *range(max(0, lo + k - 1) // size, min(n - 1, hi + k) // size + 1), *range(b0, b1 + 1)}
-        touched = range(min(raw), max(raw) + 1)
-        out += [(part, b, b in raw) for b in touched]
-    return pd.DataFrame(out, columns=["part", "block", "raw"])
+        own = sorted(raw)
+        out += [(part, b, 1, True) for b in own]
+        out += [(part, b, span, False) for last_raw, next_raw in zip(own, own[1:]) for b, span in _cover(last_raw + 1, next_raw, group)]
+    return pd.DataFrame(out, columns=["part", "block", "span", "raw"])
 
 
-def local_regression(df: DataFrame, x: str, y: str, frac: float = 0.2, robust: int = 3, on: list[str] | None = None, small: int = 20_000, blocks: int = 1024) -> DataFrame:
+def local_regression(df: DataFrame, x: str, y: str, frac: float = 0.2, robust: int = 3, on: list[str] | None = None, small: int = 20_000, blocks: int = 1024, group: int = GROUP) -> DataFrame:
     """(on, pos, n, x, y, fit): locally weighted lines, as calibrate.lowess fits them, over all rows of each key.
 
-    Keys of up to `small` rows are fitted in one task each. Larger ones are cut into up to `blocks` blocks of neighbouring ranks; a task gets the rows of a few blocks and of those
-    where its windows end, and of the blocks in between their moments: the weight is a polynomial on either side of a point. So each round
+    Keys of up to `small` rows are fitted in one task each. Larger ones are cut into `blocks` blocks of neighbouring ranks, or more of MOST rows each, so that what is summed row by row doesn't grow with a key; a task gets the rows of a few blocks and of those
+    where its windows end, and of the blocks in between their moments, of whole groups of `group` blocks at once: the weight is a polynomial on either side of a point. So each round
     shuffles a key's rows about four times and holds no more than some blocks in a task. Rows with a null x or y take no part. pos numbers a key's rows by
     x and then y, from 0.
     """
@@ -105,18 +116,19 @@ def local_regression(df: DataFrame, x: str, y: str, frac: float = 0.2, robust: i
 
     ranked = running(rows.where(F.col("n") > small), F.lit(1), [(c, False) for c in [*on, "x", "y"]], "_one").drop("_one")
     heads = counts.where(F.col("n") > small).select(*on, (F.sum("n").over(Window.orderBy(*on)) - F.col("n")).alias("_before"))  # one row per large key
-    size = F.greatest(F.lit(64), F.ceil(F.col("n") / blocks)).cast("long")
+    size = F.greatest(F.lit(64), F.least(F.lit(MOST), F.ceil(F.col("n") / blocks))).cast("long")
     state = ranked.join(heads, on).withColumns({"pos": F.col("rank") - 1 - F.col("_before"), "size": size, "w": F.lit(1.0)}).drop("rank", "_before")
     state = stored(state.withColumn("block", F.floor(F.col("pos") / F.col("size"))), "ranked")
     window = F.least("n", F.greatest(F.lit(2), F.ceil(F.lit(frac) * F.col("n")))).cast("long")
     ends = stored(state.groupBy(*on, "block").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x"), F.first("n").alias("n"), F.first("size").alias("size")).withColumn("k", window), "blocks")
-    ends = ends.withColumns({"mid": (F.col("first_x") + F.col("last_x")) / 2, "half": (F.col("last_x") - F.col("first_x")) / 2})
+    wide = ends.groupBy(*on, (F.floor(F.col("block") / group) * group).alias("block")).agg(F.min("first_x").alias("first_x"), F.max("last_x").alias("last_x"))
+    runs = {span: d.select(*on, "block", F.lit(span).cast("long").alias("span"), ((F.col("first_x") + F.col("last_x")) / 2).alias("mid"), ((F.col("last_x") - F.col("first_x")) / 2).alias("half")) for span, d in ((1, ends), (group, wide))}
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
         head = part.iloc[0]
-        return _windows(part, int(head["k"]), int(head["n"]), int(head["size"])).assign(**{c: head[c] for c in on}, k=int(head["k"]))
+        return _windows(part, int(head["k"]), int(head["n"]), int(head["size"]), group).assign(**{c: head[c] for c in on}, k=int(head["k"]))
 
-    plans = stored(ends.groupBy(*on).applyInPandas(plan, f"{types}, part long, block long, raw boolean, k long"), "windows")
+    plans = stored(ends.groupBy(*on).applyInPandas(plan, f"{types}, part long, block long, span long, raw boolean, k long"), "windows")
 
     def fit(rows: pd.DataFrame, moments: pd.DataFrame) -> pd.DataFrame:
         head = rows.iloc[0]
@@ -127,10 +139,14 @@ def local_regression(df: DataFrame, x: str, y: str, frac: float = 0.2, robust: i
     for turn in range(robust + 1):
         v = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("x") - F.col("mid")) / F.when(F.col("half") > 0, F.col("half")).otherwise(1.0)))
         power = lambda p: F.col("w") if p == 0 else F.col("w") * F.pow("_v", F.lit(float(p)))
-        placed = state.join(ends.select(*on, "block", "mid", "half"), [*on, "block"]).withColumn("_v", v)
-        moments = placed.groupBy(*on, "block", "mid", "half").agg(*[F.sum(power(p)).alias(f"a{p}") for p in range(POWERS)], *[F.sum(power(p) * F.col("y")).alias(f"b{p}") for p in range(POWERS)])
+        sums = [*[F.sum(power(p)).alias(f"a{p}") for p in range(POWERS)], *[F.sum(power(p) * F.col("y")).alias(f"b{p}") for p in range(POWERS)]]
+        moments = None
+        for span, run in runs.items():
+            placed = state.withColumn("block", F.floor(F.col("block") / span) * span).join(run, [*on, "block"]).withColumn("_v", v)
+            own = placed.groupBy(*on, "block", "span", "mid", "half").agg(*sums)
+            moments = own if moments is None else moments.unionByName(own)
         left = state.toDF(*state.columns).join(plans.toDF(*plans.columns).where("raw"), [*on, "block"]).groupBy(*on, "part")  # toDF: columns apart from those of moments
-        state = stored(left.cogroup(moments.join(plans, [*on, "block"]).groupBy(*on, "part")).applyInPandas(fit, fitted_schema), "fitted")
+        state = stored(left.cogroup(moments.join(plans, [*on, "block", "span"]).groupBy(*on, "part")).applyInPandas(fit, fitted_schema), "fitted")
         if turn < robust:
             r = F.abs(F.col("y") - F.col("fit"))
             spread = exact_medians(state.select(*on, r.alias("_r")), on, "_r", "_m").join(state.groupBy(*on).agg(F.max(r).alias("_top")), on)

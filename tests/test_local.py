@@ -28,6 +28,26 @@ def test_parts_equal_the_whole(spark):
     assert local.local_regression(df.where("false"), "u", "v").count() == 0
 
 
+def test_groups_of_blocks_equal_the_whole(spark):
+    r = np.random.default_rng(5)
+    n = 9000
+    x = np.concatenate([r.random(n // 2) * 3, r.normal(1.5, 0.02, n // 4), r.integers(0, 30, n // 4) / 10])
+    y = np.sin(3 * x) + r.standard_cauchy(n) * 0.2
+    xs, fit = calibrate.lowess(x, y, 0.6)
+    got = local.local_regression(spark.createDataFrame(pd.DataFrame({"u": x, "v": y})), "u", "v", 0.6, small=2000, blocks=140, group=4).toPandas().sort_values("pos")
+    assert got.pos.tolist() == list(range(n)) and np.abs(got.fit - fit[np.searchsorted(xs, got.x)]).max() < 1e-9
+
+
+@pytest.mark.parametrize("n", [400_000, 3_200_000])
+def test_rows_and_moments_of_a_part_do_not_grow_with_the_key(n):
+    size = min(local.MOST, n // 1024)
+    at = np.arange(0, n, size)
+    plan = local._windows(pd.DataFrame({"block": np.arange(len(at)), "first_x": at / n, "last_x": np.minimum(at + size, n) / n}), int(0.3 * n), n, size, local.GROUP)
+    own = plan.groupby("part")
+    assert own["raw"].sum().max() * size < 40_000 and own.size().max() < 400
+    assert all(sorted(b for f, s in zip(d.block, d.span) for b in range(f, f + s)) == list(range(d.block.min(), d.block.max() + 1)) for _, d in own)
+
+
 def test_medians_are_exact(spark):
     r = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": r.integers(0, 3, 5001), "v": np.where(r.random(5001) < 0.4, 7.0, r.standard_cauchy(5001))})
