@@ -124,6 +124,26 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[floa
     return [lo if lo == hi else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi for x, lo, hi in both]
 
 
+def exact_bounds(counts: DataFrame, key: str, value: str, n: str, parts: int) -> dict[int, list[float]]:
+    """Per key (an int), the distinct values at the ends of the first parts - 1 of `parts` equal shares of its rows. counts: (key, value, n), repeated
+    values count together. Values are numbered in ranges of their order, all keys at once; the driver gets at most parts rows a key, so keys must be few."""
+    own = stored(counts.groupBy(F.col(key).alias("_k"), F.col(value).alias("_x")).agg(F.sum(n).alias("_c")), "values")
+    total = {r["_k"]: r["_n"] for r in own.groupBy("_k").agg(F.sum("_c").alias("_n")).collect()}
+    before, wanted = 0, []
+    for k in sorted(total):
+        wanted += [(k, before + math.ceil(total[k] * i / parts) - 1) for i in range(1, parts)]
+        before += total[k]
+    if not wanted:
+        return {}
+    placed = running(own, F.col("_c"), [("_k", False), ("_x", False)], "_upto")
+    asked = F.broadcast(own.sparkSession.createDataFrame(wanted, "_k int, _at long"))
+    hit = placed.join(asked, "_k").where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))).select("_k", "_x").distinct()
+    out: dict[int, list[float]] = {}
+    for r in hit.collect():
+        out.setdefault(r["_k"], []).append(r["_x"])
+    return {k: sorted(x) for k, x in out.items()}
+
+
 def exact_medians(df: DataFrame, on: list[str], value: str, out: str = "median", accuracy: int = 100_000) -> DataFrame:
     """(on, out): each key's median, the mean of the middle two of an even number, exactly and without all of a key in one task.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
+from .forest import forest_scores
 from .ranks import exact_medians, monotone, running
 
 
@@ -91,7 +92,8 @@ def cross_validated(df: DataFrame, features: list[str], label: str, group: str,
 
     model: rf (random forest), gbt (boosted trees), mlp (multilayer perceptron), lda (linear discriminant in
     closed form from mean and covariance aggregates). Missing features count as 0. The rows are stored once before the
-    folds, so that what made them doesn't run again for each fit.
+    folds, so that what made them doesn't run again for each fit. A random forest is grown over counted cells of binned features (forest.forest_scores)
+    where a fold has at most 262,144 of them, and by Spark's own level after level beyond that.
     """
     from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -99,6 +101,8 @@ def cross_validated(df: DataFrame, features: list[str], label: str, group: str,
 
     own = df.fillna(0.0, subset=features).withColumn("_fold", group_folds(F.col(group), folds)).withColumn("_y", F.col(label).cast("double"))
     own = stored(own, "folds")
+    if model == "rf" and (got := forest_scores(own, features, "_y", "_fold", folds, trees, depth, seed, out)) is not None:
+        return got.select(*df.columns, out)
     if model != "lda":
         own = VectorAssembler(inputCols=features, outputCol="_x").transform(own)
     makers = {
