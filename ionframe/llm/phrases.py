@@ -1,4 +1,4 @@
-"""Phrase collocations: counts of word n-grams from suffix arrays per shard, merged by key, and scores of their cuts."""
+"""Phrase collocations: counts of word n-grams from distinct suffixes per shard, sorted and added up by prefix, and scores of their cuts."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from ._common import chunks, mix64, only, stored
 _BREAK = b"\xff"  # never a byte of UTF-8
 _TABLE = bytes(32 if c == 9 else 255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
 _PROBES = 3
-_FILTERED = 2  # n-grams of up to so many words are counted first, and longer ones only where all these within them are frequent; 3 halves the second scan's rows and doubles the first one's
 
 
 def split(text: str) -> list[bytes]:
@@ -38,28 +37,6 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
         known += step
 
 
-def intervals(ids: np.ndarray, longest: int):
-    """(n, starts, counts) for n = 1..longest: one start of each distinct n-gram without a break (id 0), and how often it occurs.
-
-    Suffixes that share their first n ids lie side by side in the suffix array; where the common prefix of
-    neighbours is shorter than n, an interval ends.
-    """
-    if not len(ids):
-        return
-    order = suffix_array(ids, longest)
-    padded = np.concatenate([ids, np.zeros(longest, ids.dtype)])
-    same = np.ones(len(order) - 1, bool)  # whether a suffix shares n ids with the one before it
-    whole = np.ones(len(order), bool)
-    for n in range(1, longest + 1):
-        nth = padded[order + n - 1]
-        same &= nth[1:] == nth[:-1]
-        whole &= nth != 0
-        heads = np.flatnonzero(np.concatenate([[True], ~same]))
-        counts = np.diff(np.append(heads, len(order)))
-        use = whole[heads]
-        yield n, order[heads[use]], counts[use]
-
-
 class _Shard:
     """Words of whole texts as ids, up to a number of words, then counted together. Ids differ by language."""
 
@@ -110,18 +87,17 @@ def _passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
-def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, schema: str, finish=None) -> DataFrame:
-    """emit(state, ids, hashes, lang, lang hashes, words, lang names, intervals) of each shard of a task's rows, and finish(state) at
-    its end, as rows of schema. state is the task's own."""
+def _scan(docs: DataFrame, seed: int, shard_words: int, emit, schema: str) -> DataFrame:
+    """emit(ids, hashes, lang, lang hashes, words, lang names) of each shard of a task's rows, as rows of schema."""
 
     def run(batches):
-        shard, state = _Shard(seed), {}
+        shard = _Shard(seed)
 
         def flush():
             ids, hashes, lang, names, langs = shard.tables()
             shard.clear()
             lang_hash = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in langs] or [0], np.uint64)
-            for out in emit(state, ids, hashes, lang, lang_hash[lang], names, langs, intervals(ids, longest)):
+            for out in emit(ids, hashes, lang, lang_hash[lang], names, langs):
                 yield from (out.slice(at, 1 << 16) for at in range(0, out.num_rows, 1 << 16))
             pa.default_memory_pool().release_unused()
 
@@ -137,24 +113,26 @@ def _scan(docs: DataFrame, seed: int, longest: int, shard_words: int, emit, sche
                             yield from flush()
         if shard.words:
             yield from flush()
-        if finish:
-            yield from finish(state)
 
     return docs.mapInArrow(run, schema)
 
 
-def _first_counts(docs: DataFrame, seed: int, shard_words: int, longest: int) -> DataFrame:
-    """(lang, h, n): counts of n-grams of up to _FILTERED words by hash (lang null), and the number of words of each language (h null)."""
+def _first_counts(docs: DataFrame, seed: int, shard_words: int) -> DataFrame:
+    """(lang, h, w, n, word, other): counts of words by hash (w; h also tells languages apart), with the first and last word of that hash,
+    and the number of words of each language (h null)."""
 
-    def emit(_, ids, hashes, lang, lang_hash, names, langs, found):
-        for n, starts, counts in found:
-            if n == 1:
-                per = np.bincount(lang[ids[starts]], counts, len(langs)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.nulls(len(langs), pa.int64()), pa.array(per)], names=["lang", "h", "n"])
-            h = _gram_hash(hashes, lang_hash, ids, starts, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.array(h), pa.array(counts.astype(np.int64))], names=["lang", "h", "n"])
+    def emit(ids, hashes, lang, lang_hash, names, langs):
+        counts = np.bincount(ids, minlength=len(hashes))[1:].astype(np.int64)
+        every = np.arange(len(hashes))
+        per = np.bincount(lang[1:], counts, len(langs)).astype(np.int64)
+        nothing = pa.nulls(len(langs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), nothing, nothing, pa.nulls(len(langs), pa.string()), pa.array(per)], names=["lang", "h", "w", "word", "n"])
+        h = _gram_hash(hashes, lang_hash, every, every[1:], 1).view(np.int64)
+        named = pa.array([x.decode() for x in names[1:]], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[1:])), pa.array(h), pa.array(hashes[1:].view(np.int64)), named, pa.array(counts)], names=["lang", "h", "w", "word", "n"])
 
-    return _scan(docs, seed, min(_FILTERED, longest), shard_words, emit, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    words = _scan(docs, seed, shard_words, emit, "lang string, h long, w long, word string, n long")
+    return words.groupBy("lang", "h", "w").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
 
 
 def _filter_of(frequent: DataFrame, most_bytes: int) -> np.ndarray:
@@ -173,98 +151,116 @@ def _filter_of(frequent: DataFrame, most_bytes: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-class _Merged:
-    """Counts of n-grams of several shards, added up by key before they leave the task."""
-
-    def __init__(self):
-        self.parts: list[tuple] = []
-        self.rows = 0
-        self.words: dict[tuple, str] = {}
+def suffixes(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, counts): one start of each distinct suffix, cut after `longest` ids and at a break (id 0), and how often it occurs. What starts at a break is left out.
 
-    def add(self, h: np.ndarray, lang: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((h, lang, keys, counts))
-        self.rows += len(h)
+    Equal ones lie side by side in the suffix array, as they are equal up to the break.
+    """
+    order = suffix_array(ids, longest)
+    padded = np.concatenate([ids, np.zeros(longest, ids.dtype)])
+    same = np.ones(len(order) - 1, bool)
+    over = np.zeros(len(order) - 1, bool)  # whether both have come to a break
+    for n in range(longest):
+        nth = padded[order + n]
+        equal = nth[1:] == nth[:-1]
+        same &= over | equal
+        over |= equal & (nth[1:] == 0)
+    heads = np.flatnonzero(np.concatenate([[True], ~same]))
+    counts = np.diff(np.append(heads, len(order)))
+    use = ids[order[heads]] != 0
+    return order[heads[use]], counts[use]
+
+
+def _prefixes(longest: int, least: int):
+    """Counts of all n-grams of 2 words and more from those of suffixes sorted by w1, lang, w2, ...: rows of the same first n words lie side by side.
+    A group that goes on in the next batch is carried over; only counts of at least `least` are let out."""
+    cols = [f"w{k}" for k in range(1, longest + 1)]
 
-    def merge(self) -> None:
-        """One row a key: equal hashes lie side by side, and neighbours are one key if all its parts are equal."""
-        h, lang, keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, lang, keys, counts = h[order], lang[order], keys[order], counts[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lang[1:] != lang[:-1]) | (keys[1:] != keys[:-1]).any(1)]))
-        self.parts = [(h[new], lang[new], keys[new], np.add.reduceat(counts, new))]
-        self.rows = len(new)
+    def run(batches):
+        carried: dict[int, tuple] = {}
 
+        def rows(n, langs, keys, counts):
+            columns = [pa.array(keys[:, k]) if k < n else pa.nulls(len(counts), pa.int64()) for k in range(longest)]
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *columns, pa.array(counts)], names=["lang", *cols, "f"])
 
-def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, task_rows: int = 150_000) -> DataFrame:
-    """(lang, w1.., word, f): exact counts by the words' hashes of all n-grams that pass the filter, and of longer ones all of whose parts pass. A task adds up
-    its shards' counts and lets go of them when it holds over task_rows keys of one length."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("lang").dictionary_encode()
+            names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            filled = np.stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in cols], 1).sum(1)
+            words = np.stack([batch.column(c).fill_null(0).to_numpy() for c in cols], 1)
+            f = batch.column("f").to_numpy()
+            for n in range(2, longest + 1):
+                at = np.flatnonzero(filled >= n)
+                if not len(at):
+                    continue
+                own, keys = lang[at], words[at, :n]
+                heads = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (keys[1:] != keys[:-1]).any(1)]))
+                sums = np.add.reduceat(f[at], heads)
+                own, keys = own[heads], keys[heads]
+                if n in carried:
+                    name, key, count = carried.pop(n)
+                    if name == names[own[0]] and (key == keys[0]).all():
+                        sums[0] += count
+                    elif count >= least:
+                        yield rows(n, [name], key[None], np.array([count]))
+                carried[n] = names[own[-1]], keys[-1].copy(), int(sums[-1])
+                out = np.flatnonzero(sums[:-1] >= least)
+                if len(out):
+                    yield rows(n, [names[i] for i in own[out].tolist()], keys[out], sums[out])
+        for n, (name, key, count) in carried.items():
+            if count >= least:
+                yield rows(n, [name], key[None], np.array([count]))
+
+    return run
+
+
+def _exact_counts(docs: DataFrame, seed: int, shard_words: int, longest: int, known, first: DataFrame, least: int) -> DataFrame:
+    """(lang, w1.., f, word, other): exact counts by the words' hashes of all n-grams that occur at least `least` times, with the word's spellings where n is 1.
+
+    Every word's suffix of up to `longest` words goes out once a shard, with its count, cut at the first word that doesn't pass the filter; so there
+    is at most one row a word, whatever is frequent. Sorted, they give the counts of their prefixes.
+    """
     cols = [f"w{k}" for k in range(1, longest + 1)]
 
-    def rows(state, n):
-        merged = state["merged"][n]
-        if not merged.rows:
-            return
-        merged.merge()
-        _, lang, keys, counts = merged.parts[0]
-        names = pa.array(state["langs"], pa.string())
-        word = pa.array([merged.words[x] for x in zip(lang.tolist(), keys[:, 0].tolist(), strict=True)] if n == 1 else [None] * len(counts), pa.string())
-        state["merged"][n] = _Merged()
-        columns = [pa.array(keys[:, k].view(np.int64)) if k < n else pa.nulls(len(counts), pa.int64()) for k in range(longest)]
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), *columns, word, pa.array(counts)], names=["lang", *cols, "word", "f"])
-
-    def emit(state, ids, hashes, lang, lang_hash, names, langs, found):
-        if not state:
-            state |= {"langs": [], "merged": {n: _Merged() for n in range(1, longest + 1)}}
-        state["langs"] += [x for x in langs if x not in state["langs"]]
-        lang_of = np.array([state["langs"].index(x) for x in langs] or [0])[lang]
-        passed = {0: ids != 0}  # by length: the starts of n-grams that pass
-        for n, starts, counts in found:
-            if n <= _FILTERED:
-                inner = passed[n - 1].copy()
-                inner[: len(ids) - n + 1] &= passed[n - 1][1 : len(ids) - n + 2] if n > 1 else True
-                inner[max(0, len(ids) - n + 1) :] = False
-                at = np.flatnonzero(inner)
-                passed[n] = np.zeros(len(ids), bool)
-                passed[n][at] = _passes(known.value, _gram_hash(hashes, lang_hash, ids, at, n))
-                keep = passed[n][starts]
-            else:
-                keep = np.logical_and.reduce([passed[_FILTERED][starts + k] for k in range(n - _FILTERED + 1)])
-            starts, counts = starts[keep], counts[keep].astype(np.int64)
-            keys = np.stack([hashes[ids[starts + k]] for k in range(n)], 1)
-            merged = state["merged"][n]
-            merged.add(_gram_hash(hashes, lang_hash, ids, starts, n), lang_of[ids[starts]], keys, counts)
-            if n == 1:
-                for i, key in zip(ids[starts].tolist(), zip(lang_of[ids[starts]].tolist(), keys[:, 0].tolist(), strict=True), strict=True):
-                    word = names[i].decode()
-                    if merged.words.setdefault(key, word) != word:  # two words under one hash: both must be seen further on
-                        yield pa.RecordBatch.from_arrays([pa.array([langs[lang[i]]]), *[pa.array([hashes[i]]).cast(pa.int64(), safe=False) if k == 0 else pa.nulls(1, pa.int64()) for k in range(longest)], pa.array([word]), pa.array([0], pa.int64())], names=["lang", *cols, "word", "f"])
-            if merged.rows > task_rows:
-                merged.merge()
-                if merged.rows > task_rows // 2:
-                    yield from rows(state, n)
-
-    def finish(state):
-        for n in state.get("merged", {}):
-            yield from rows(state, n)
-
-    grams = _scan(docs, seed, longest, shard_words, emit, ", ".join(["lang string", *[f"{c} long" for c in cols], "word string, f long"]), finish)
-    return grams.groupBy("lang", *cols).agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+    def emit(ids, hashes, lang, lang_hash, names, langs):
+        every = np.arange(len(hashes))
+        passes = _passes(known.value, _gram_hash(hashes, lang_hash, every, every, 1))
+        passes[0] = False
+        ids = np.concatenate([np.where(passes[ids], ids, 0), np.zeros(longest, ids.dtype)])
+        starts, counts = suffixes(ids, longest)
+        more = ids[starts + 1] != 0  # single words are counted already
+        starts, counts, on, columns = starts[more], counts[more], np.ones(int(more.sum()), bool), []
+        for k in range(longest):
+            nth = ids[starts + k]
+            on = on & (nth != 0)
+            columns.append(pa.array(hashes[nth].view(np.int64), mask=~on))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[ids[starts]])), *columns, pa.array(counts.astype(np.int64))], names=["lang", *cols, "f"])
+
+    schema = ", ".join(["lang string", *[f"{c} long" for c in cols], "f long"])
+    words = first.where("h is not null").select("lang", F.col("w").alias("w1"), *[F.lit(None).cast("long").alias(c) for c in cols[1:]], F.col("n").alias("f"), "word", "other")
+    if longest < 2:
+        return words
+    ends = _scan(docs, seed, shard_words, emit, schema).repartition("lang", *cols[:2]).sortWithinPartitions("w1", "lang", *cols[1:])
+    grams = ends.mapInArrow(_prefixes(longest, least), schema)
+    return grams.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("other")).unionAll(words)
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", shard_words: int = 1 << 18, filter_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """Exact counts: (lang, n) of all words, and (lang, w1..w<longest>, f, word) of all n-grams with f >= least.
 
-    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words and pairs by
-    one hash each; an n-gram can only be frequent if those within it are. The frequent ones go into a bit filter of at most filter_bytes, the only
-    thing sent to all tasks; the second scan counts what passes, by its words. Should two words share a hash, both are among
-    the second scan's words: then it is all done again with another seed.
+    w are 64-bit hashes of words (null past the n-gram's end), `word` the word itself where n is 1. Two scans. The first counts words; an n-gram can
+    only be frequent if its words are. The frequent ones go into a bit filter of at most filter_bytes, the only
+    thing sent to all tasks; the second scan counts suffixes of words that pass, and their prefixes are the n-grams. Should two words share a hash, both are among
+    the first scan's words: then it is all done again with another seed.
     """
     docs = only(docs, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     spark = docs.sparkSession
     for seed in itertools.count():
-        first = stored(_first_counts(docs, seed, shard_words, longest).where(F.col("h").isNull() | (F.col("n") >= least)), "pairs")
+        first = stored(_first_counts(docs, seed, shard_words).where(F.col("h").isNull() | (F.col("n") >= least)), "words")
         known = spark.sparkContext.broadcast(_filter_of(first.where("h is not null"), filter_bytes))
-        grams = stored(_exact_counts(docs, seed, shard_words, longest, known).where(F.col("f") >= least), "grams")
+        grams = stored(_exact_counts(docs, seed, shard_words, longest, known, first, least), "grams")
         if grams.where("word <> other").isEmpty():
             return first.where("h is null").select("lang", "n"), grams.drop("other")
 

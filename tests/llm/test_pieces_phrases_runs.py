@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,33 @@ def test_runs_of_odd_rows(odd):
     assert runs.digests(odd.where("false")).count() == 0
     with pytest.raises(ValueError, match="two periods"):
         runs.runs([1, 1], 1, 1)
+
+
+def test_suffixes_are_at_most_one_row_a_word(spark, monkeypatch):
+    """Where every n-gram is frequent, the second scan sends one row a word, not one for each length."""
+    sent = []
+    scan = phrases._scan
+    monkeypatch.setattr(phrases, "_scan", lambda *a: sent.append(scan(*a)) or sent[-1])
+    rows = [("en", " ".join(str(i) for i in range(200)))] * 3 + [(None, "a a a a a a a . a a")]
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(1), least=3)
+    assert sorted(tuple(x) for x in got.collect()) == plain_phrases(rows, 3, 5)
+    words = sum(len(t.replace(".", " ").split()) for _, t in rows)
+    assert [s.count() for s in sent][-1] <= words
+
+
+def test_counts_of_prefixes_go_over_batches():
+    r = random.Random(4)
+    rows = Counter((r.choice(["x", "y"]), *(r.choice([-5, 0, 7]) for _ in range(r.randint(2, 4)))) for _ in range(400))
+    plain = Counter()
+    for key, f in rows.items():
+        plain.update({key[: n + 1]: f for n in range(2, len(key))})
+    table = sorted(((k[1], k[0], *((x is not None, x or 0) for x in (*k[2:], None, None, None)[:3])), k, f) for k, f in rows.items())
+    for size in (1, 3, 1000):
+        batches = []
+        for i in range(0, len(table), size):
+            part = table[i : i + size]
+            columns = [pa.array([k[j] if j < len(k) else None for _, k, _ in part], pa.int64()) for j in range(1, 5)]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([k[0] for _, k, _ in part]), *columns, pa.array([f for *_, f in part])], names=["lang", "w1", "w2", "w3", "w4", "f"]))
+        out = [x for b in phrases._prefixes(4, 9)(iter(batches)) for x in b.to_pylist()]
+        got = {tuple(v for k, v in x.items() if k != "f" and v is not None): x["f"] for x in out}
+        assert got == {k: f for k, f in plain.items() if f >= 9} and len(out) == len(got)
