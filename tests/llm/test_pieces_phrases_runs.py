@@ -262,3 +262,40 @@ def test_counts_of_prefixes_go_over_batches():
         out = [x for b in phrases._prefixes(4, 9)(iter(batches)) for x in b.to_pylist()]
         got = {tuple(v for k, v in x.items() if k != "f" and v is not None): x["f"] for x in out}
         assert got == {k: f for k, f in plain.items() if f >= 9} and len(out) == len(got)
+
+
+@pytest.mark.parametrize("table_words, bucket_rows, longest", [(1 << 20, 100, 5), (4, 300, 5), (4, 1 << 20, 7), (1, 300, 2)])
+def test_phrases_with_few_numbers_and_small_buckets(spark, table_words, bucket_rows, longest):
+    """Words without a number are counted by their hashes, and a pair spread over buckets is added up again."""
+    rows = [(r.choice(["en", "de", None]), " ".join(r.choices("abcdefgh.", weights=[40, 20, 10, 8, 8, 5, 5, 2, 4], k=60))) for r in map(random.Random, range(60))]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(3)
+    got = phrases.collocations(df, least=4, longest=longest, top=100000, shard_words=150, table_words=table_words, bucket_rows=bucket_rows)
+    assert sorted(tuple(x) for x in got.collect()) == plain_phrases(rows, 4, longest, 100000)
+
+
+def test_words_of_two_languages_that_share_a_hash(spark, monkeypatch):
+    """Under the first seed one word comes twice, as two that share a hash would; the counts are made again with the next."""
+    seen = []
+    most = phrases._most_frequent
+
+    def sharing(*args):
+        seen.append(most(*args))
+        return pa.concat_tables([seen[-1], seen[-1].slice(0, 1)]) if len(seen) == 1 else seen[-1]
+
+    monkeypatch.setattr(phrases, "_most_frequent", sharing)
+    df = spark.createDataFrame([("en", "aa bb. aa bb. cc aa bb")], "lang string, text string")
+    assert [x.phrase for x in phrases.collocations(df, least=2).collect()] == ["aa bb"]
+    assert len(seen) == 2 and seen[0].column("w") != seen[1].column("w")
+
+
+def test_suffixes_are_sent_in_few_bytes(spark, monkeypatch):
+    """What the second scan sends is under 12 bytes a suffix; five hashes and a count were 48."""
+    sent = []
+    scan = phrases._scan
+    monkeypatch.setattr(phrases, "_scan", lambda *a: sent.append(scan(*a)) or sent[-1])
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [("en", " ".join(r.choices(vocabulary, weights=[1 / (i + 3) for i in range(3000)], k=4000))) for _ in range(20)]
+    phrases.phrase_counts(spark.createDataFrame(rows, "lang string, text string").coalesce(1), least=3)
+    columns = [f"coalesce(length({c}), 0)" if t in ("binary", "string") else f"if({c} is null, 0, {8 if t == 'bigint' else 4})" for c, t in sent[-1].dtypes]
+    assert sent[-1].selectExpr(f"sum({' + '.join(columns)})").first()[0] < 12 * 80_000
